@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import sharding, sql, url_rules
+from storyloom.llm import sharding, simhash, sql, url_rules
 from storyloom.llm._common import slim, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,7 +41,7 @@ p AS (SELECT *, row_number() OVER (ORDER BY fraction, source, h) - 1 AS place, c
 s AS (SELECT *, ((place * 16) // total)::INTEGER AS shard FROM p)
 SELECT doc_id, (octet_length(encode(text)) + 1)::BIGINT AS size, {sql.crc32("text")}::BIGINT AS text_crc32, 'rows' AS law,
   shard, (row_number() OVER (PARTITION BY shard ORDER BY place) - 1)::BIGINT AS slot, NULL::INTEGER AS grown_shard
-FROM s"""
+FROM s, crc_table"""
 
 # ---------------------------------------------------------------- op8
 
@@ -71,3 +71,13 @@ f AS (SELECT p.row, max_by(struct_pack(rule := rule_host || rule_path, action :=
   FROM p JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY 1)
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.action, CASE WHEN host = '' THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN f USING (row)"""
+
+# ---------------------------------------------------------------- op5
+
+
+def op5_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.classes(table(spark, sf_dir, "documents"), shingle=3, most=3)
+    return out.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+QUERIES["op5_simhash_classes"] = op5_simhash_classes

@@ -10,8 +10,8 @@ crc_table AS MATERIALIZED (
 """
 
 
-def crc32(text: str, table: str = "(SELECT t FROM crc_table)") -> str:
-    """SQL for the crc32 of a text expression, which must not be null."""
+def crc32(text: str, table: str = "t") -> str:
+    """SQL for the crc32 of a text expression, which must not be null; crc_table stands in the FROM clause."""
     digits = f"list_transform(regexp_extract_all(hex({text}), '..'), lambda x: ('0x' || x)::BIGINT)"
     step = f"lambda c, b: xor(c >> 8, {table}[1 + (xor(c, b) & 255)])"
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {digits}), {step}), 4294967295)"
