@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import sharding, simhash, sql, url_rules
+from storyloom.llm import packing, sharding, simhash, sql, url_rules
 from storyloom.llm._common import slim, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +82,14 @@ def op5_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_simhash_classes"] = op5_simhash_classes
+
+# ---------------------------------------------------------------- op3
+
+
+def op3_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096, with_ids=False)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+QUERIES["op3_complement_packing"] = op3_complement_packing
