@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import packing, sharding, simhash, sql, url_rules
-from storyloom.llm._common import slim, table
+from storyloom.llm import lattice, packing, sharding, simhash, sql, url_rules
+from storyloom.llm._common import fold, slim, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +93,13 @@ def op3_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_complement_packing"] = op3_complement_packing
+
+# ---------------------------------------------------------------- op1
+
+
+def op1_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lattice.score(docs, fold("doc_id") % 10 == 0, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES["op1_lattice_scores"] = op1_lattice_scores
