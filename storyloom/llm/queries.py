@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import lattice, packing, sharding, simhash, sql, url_rules
+from storyloom.llm import decontamination, lattice, packing, sharding, simhash, sql, url_rules
 from storyloom.llm._common import fold, slim, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,36 @@ def op1_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_lattice_scores"] = op1_lattice_scores
+
+# ---------------------------------------------------------------- op7
+
+
+def op7_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+QUERIES["op7_phrase_index"] = op7_phrase_index
+#: Words of a text, for DuckDB: the same classes of bytes.
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLES["op7_phrase_index"] = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {WORDS} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, array_to_string(w[i + 1 : i + 10], ' ') AS phrase, least(len(w), 10) AS k
+  FROM b, LATERAL (SELECT unnest(range(greatest(len(w) - 9, CASE WHEN len(w) > 0 THEN 1 ELSE 0 END))) AS i)),
+sizes AS (SELECT DISTINCT k FROM win),
+g AS (SELECT row, i, k, array_to_string(w[i + 1 : i + k], ' ') AS phrase
+  FROM d, sizes, LATERAL (SELECT unnest(range(greatest(len(w) - k + 1, 0))) AS i)),
+m AS (SELECT row, i, win.k, item FROM g JOIN win USING (phrase, k)),
+h AS (SELECT row, count(DISTINCT place) AS n_hit FROM (SELECT row, unnest(range(i, i + k)) AS place FROM (SELECT DISTINCT row, i, k FROM m)) GROUP BY 1),
+i AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item FROM m) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (row) LEFT JOIN i USING (row)"""
