@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import decontamination, lattice, packing, sharding, simhash, sql, url_rules
+from storyloom.llm import decontamination, langid, lattice, packing, sharding, simhash, sql, url_rules
 from storyloom.llm._common import fold, slim, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,14 @@ i AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS it
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (row) LEFT JOIN i USING (row)"""
+
+# ---------------------------------------------------------------- op9
+
+
+def op9_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", fold("doc_id") % 3 == 1)
+    model = langid.train(docs.where("NOT held_out"), sample=2000, landmarks=256)
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES["op9_string_kernel_language"] = op9_string_kernel_language
