@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import decontamination, langid, lattice, packing, sharding, simhash, sql, url_rules
+from storyloom.llm import decontamination, langid, lattice, licenses, packing, sharding, simhash, sql, url_rules
 from storyloom.llm._common import fold, slim, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,34 @@ def op9_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_string_kernel_language"] = op9_string_kernel_language
+
+# ---------------------------------------------------------------- op10
+
+
+def op10_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(table(spark, sf_dir, "documents"), threshold=0.8)
+    joined = [F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")]
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", *joined, "score")
+
+
+QUERIES["op10_license_join"] = op10_license_join
+_PHRASES = ", ".join(f"('{p}', '{label}')" for p, label in licenses.PHRASES.items())
+_TEMPLATES = ", ".join(f"({k}, '{label}', '{body}')" for k, (label, body) in enumerate(licenses.TEMPLATES))
+ORACLES["op10_license_join"] = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, text, {WORDS} AS w FROM documents),
+phrases(phrase, label) AS (VALUES {_PHRASES}),
+p AS (SELECT string_split(phrase, ' ') AS parts, label FROM phrases),
+hits AS (SELECT row, i, label FROM d, p, LATERAL (SELECT unnest(range(greatest(len(w) - len(parts) + 1, 0))) AS i)
+  WHERE w[i + 1] = parts[1] AND w[i + 1 : i + len(parts)] = parts),
+b AS (SELECT row, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS own FROM hits GROUP BY 1),
+templates(id, label, text) AS (VALUES {_TEMPLATES}),
+t AS (SELECT id, label, list_distinct({WORDS}) AS tw FROM templates),
+blocks AS (SELECT DISTINCT row, list_distinct({WORDS}) AS bw FROM (SELECT row, unnest(string_split(coalesce(text, ''), chr(10))) AS text FROM d)),
+m AS (SELECT row, label, len(list_intersect(bw, tw)) / len(tw)::DOUBLE AS share FROM blocks, t
+  WHERE len(list_intersect(bw, tw)) >= greatest(1, ceil(0.8 * len(tw) - 1e-9))),
+s AS (SELECT row, list(DISTINCT label) AS found, max(share) AS share FROM m GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  array_to_string(list_sort(coalesce(own, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(own, []), coalesce(found, [])))), ',') AS labels,
+  CASE WHEN coalesce(n_base, 0) > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN b USING (row) LEFT JOIN s USING (row)"""
