@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import decontamination, langid, lattice, licenses, packing, sharding, simhash, sql, url_rules
+from storyloom.llm import decontamination, langid, lattice, licenses, packing, secrets, sharding, simhash, sql, url_rules
 from storyloom.llm._common import fold, slim, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,3 +178,46 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(own, []), coalesce(found, [])))), ',') AS labels,
   CASE WHEN coalesce(n_base, 0) > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score
 FROM d LEFT JOIN b USING (row) LEFT JOIN s USING (row)"""
+
+# ---------------------------------------------------------------- op2
+
+
+def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    found = secrets.scan(docs, owner=F.col("source"), repository=F.concat_ws("/", "source", "lang"))
+    base = F.filter("spans", lambda s: s["kind"] != secrets.OWNED)
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k, *_ in secrets.KINDS]
+    return found.select("doc_id", *counts, F.sha2(secrets.digest(base), 256).alias("base_sha256"), secrets.digest("spans").alias("spans"))
+
+
+QUERIES["op2_secret_ownership"] = op2_secret_ownership
+#: As the operator's kinds, written out: RE2 folds more letters than A-Z when told to ignore case.
+_ANY_CASE = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_ASSIGN = "(" + _ANY_CASE + """)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _spans_sql(kind: str, rank: int, pattern: str, value: str, least: int) -> str:
+    return f"""
+  SELECT row, owner, repository, {rank} AS rank, '{kind}' AS kind, start, start + length(m) AS stop, v FROM (
+    SELECT row, owner, repository, ms[i] AS m, {value} AS v,
+      list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS start
+    FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (
+      SELECT row, owner, repository, text, string_split_regex(text, '{pattern}') AS parts, regexp_extract_all(text, '{pattern}') AS ms,
+        regexp_extract_all(text, '{pattern}', {2 if kind == "assign" else 0}) AS vs FROM d)))
+  WHERE length(v) >= {least}"""
+
+
+ORACLES["op2_secret_ownership"] = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repository FROM documents),
+base AS ({" UNION ALL ".join([_spans_sql("assign", 0, _ASSIGN, "vs[i]", 6), _spans_sql("access", 1, "AKIA[A-Z0-9]+", "ms[i]", 20), _spans_sql("hex", 2, "[0-9a-f]+", "ms[i]", 24)])}),
+bare AS (SELECT * FROM ({_spans_sql("owned", 3, "[A-Za-z0-9_-]{20,}", "ms[i]", 20)}) b
+  WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= 10
+    AND NOT EXISTS (SELECT 1 FROM base WHERE base.row = b.row AND base.start < b.stop AND b.start < base.stop)),
+own AS (SELECT v, count(DISTINCT owner) AS owners FROM (SELECT v, owner FROM base UNION ALL SELECT v, owner FROM bare) GROUP BY 1),
+spans AS (SELECT row, rank, kind, start, stop FROM base UNION ALL SELECT row, rank, kind, start, stop FROM bare JOIN own USING (v) WHERE owners = 1),
+s AS (SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, rank) FILTER (kind != 'owned') AS own,
+    string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, rank) AS spans FROM spans GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN s USING (row)"""
