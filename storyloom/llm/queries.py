@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import decontamination, langid, lattice, licenses, packing, secrets, sharding, simhash, sql, url_rules
+from storyloom.llm import decontamination, langid, lattice, licenses, multi_index, packing, secrets, sharding, simhash, sql, url_rules
 from storyloom.llm._common import fold, slim, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -221,3 +221,13 @@ s AS (SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN s USING (row)"""
+
+# ---------------------------------------------------------------- op6
+
+
+def op6_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return multi_index.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5, share=0.5)
+
+
+QUERIES["op6_inverted_multi_index"] = op6_inverted_multi_index
