@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storyloom.llm._common import alnum_words, cut, quoted, rows, texts
 
@@ -126,10 +127,12 @@ def _verify(words: list[bytes], matches: list[dict], size: int, slop: int) -> tu
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", size: int = 10, slop: int = 0, part_bytes: int = 32 << 20
+    docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", size: int = 10, slop: int = 0, part_bytes: int = 32 << 20, carry: bool = False
 ) -> DataFrame:
     """(doc_id, n_words, n_hit, n_near, items) for every row of docs; items is the sorted array of item ids, as strings.
 
+    With `carry`, a struct `row` has all of the document's own columns.
+
     Words: `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` with A-Z lower-cased. A window is `size` consecutive words of an
     item, or the whole item if it has fewer (but some). n_hit counts the document's words inside exact
     matches, n_near the places of matches within the slop that aren't exact (0 without a slop). A null text
@@ -148,18 +151,28 @@ def contamination(
         found = own if found is None else found.unionByName(own)
     grouped = found.groupBy("doc_id", "print").agg(F.collect_set(F.struct("phrase", "items", "starts")).alias("matches"))
     grouped = grouped.select(F.col("doc_id").alias("d"), F.col("print").alias("p"), "matches")
+    others = [c for c in docs.columns if c != text] if carry else []
+    row = F.struct(*[quoted(docs, c).alias(c) for c in others]) if others else F.struct(F.lit(0).alias("none"))
+    given = docs.select(quoted(docs, doc_id).alias("doc_id"), quoted(docs, text).alias("text"), row.alias("other"))
     marked = given.withColumn("print", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = marked.join(grouped, marked.doc_id.eqNullSafe(grouped.d) & (marked.print == grouped.p), "left").select("doc_id", "text", "matches")
-    ddl = f"doc_id {given.schema['doc_id'].dataType.simpleString()}, n_words bigint, n_hit bigint, n_near bigint, items array<string>"
+    joined = marked.join(grouped, marked.doc_id.eqNullSafe(grouped.d) & (marked.print == grouped.p), "left").select("doc_id", "text", "other", "matches")
+    names = ["doc_id", "text", "other", "n_words", "n_hit", "n_near", "items"] if carry else ["doc_id", "n_words", "n_hit", "n_near", "items"]
+    schema = T.StructType([f for f in given.schema if f.name in names])
+    for name in names[-4:]:
+        schema = schema.add(name, T.ArrayType(T.StringType()) if name == "items" else T.LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches):
             out = []
-            for body, matches in zip(texts(batch.column(1)), batch.column(2).to_pylist()):
+            for body, matches in zip(texts(batch.column(1)), batch.column(3).to_pylist()):
                 words = alnum_words(body)
                 out.append((len(words), *(_verify(words, matches, size, slop) if matches else (0, 0, []))))
             columns = list(zip(*out)) or [()] * 4
             made = [pa.array(c, pa.int64()) for c in columns[:3]] + [pa.array(columns[3], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", "n_words", "n_hit", "n_near", "items"])
+            yield pa.RecordBatch.from_arrays([*(batch.columns[:3] if carry else batch.columns[:1]), *made], names=names)
 
-    return joined.mapInArrow(run, ddl)
+    out = joined.mapInArrow(run, schema)
+    if not carry:
+        return out
+    whole = F.struct(*[(F.col("text") if c == text else F.col("other")[c]).alias(c) for c in docs.columns])
+    return out.select("doc_id", *names[-4:], whole.alias("row"))

@@ -124,8 +124,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: i
     return Model.fit([np.frombuffer(b, "<i4") for _, b in held], [name for name, _ in held], landmarks, ridge)
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs without the text, with lang_pred and score (0 to 1).
+def identify(docs: DataFrame, model: Model, text: str = "text", with_text: bool = False) -> DataFrame:
+    """docs with lang_pred and score (0 to 1), and without the text unless it is asked for.
 
     lang_pred is `und`, with score 0, where the text is null or has no letter of any script, and everywhere
     if the model knows no language; else a language of the model, with the share of its margin among all.
@@ -134,11 +134,13 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     kept = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
     packed = docs.select(*[quoted(docs, c) for c in kept], quoted(docs, text).alias("__text"))
-    schema = docs.select(*[quoted(docs, c) for c in kept]).schema.add("lang_pred", "string").add("score", "double")
+    given = [*kept, *[text] * with_text]
+    schema = docs.select(*[quoted(docs, c) for c in given]).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches, 64):
             names, scores = zip(*model.predict(texts(batch.column(len(kept)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
+            made = [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(given)], *made], names=[*given, "lang_pred", "score"])
 
     return packed.mapInArrow(run, schema)

@@ -98,7 +98,7 @@ def digest(spans: Column | str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact(text: Column, spans: Column | str) -> Column:
+def redact(text: Column, spans: str) -> Column:
     """The text with its spans replaced: by [EXAMPLE] where all values of a stretch are copied ones, else by [SECRET]."""
     stretch = "array<struct<start:int,end:int,example:boolean>>"
 
@@ -117,3 +117,14 @@ def redact(text: Column, spans: Column | str) -> Column:
 
     rest = F.substring(text, F.element_at(merged, -1)["end"] + 1, F.char_length(text))
     return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(F.transform(merged, before), ""), rest))
+
+
+def redact_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs with every span of scan() replaced in its text; rows without spans, null texts among them, stay as they are."""
+    found = scan(docs, doc_id, text, **options).where(F.size("spans") > 0).dropDuplicates(["doc_id", "print"])
+    found = found.select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"), F.col("spans").alias("__spans"))
+    body = quoted(docs, text)
+    same = quoted(docs, doc_id).eqNullSafe(found["__id"]) & (F.xxhash64(F.coalesce(body, F.lit(""))) == found["__print"])
+    joined = docs.join(found, same, "left")
+    new = F.when(F.col("__spans").isNull(), body).otherwise(redact(body, "__spans"))
+    return joined.select(*[new.alias(c) if c == text else quoted(docs, c) for c in docs.columns])

@@ -256,3 +256,15 @@ def near_duplicates(
     same = every.doc_id.eqNullSafe(chosen.kept_id) & (every.node == chosen.node)
     return every.join(chosen, same, "left").select(every.doc_id, every.node, F.coalesce("keep", F.lit(False)).alias("keep"))
 
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs that near_duplicates keeps, one of each group; of a row that repeats, one stays."""
+    judged = near_duplicates(docs, doc_id, text, **options).where("keep").select(F.col("doc_id").alias("__id"), F.col("node").alias("__kept"))
+    marked = docs.select("*", text_key(quoted(docs, text)).alias("__node"))
+    same = quoted(marked, doc_id).eqNullSafe(judged["__id"]) & (marked["__node"] == judged["__kept"])
+    kept = marked.join(judged, same, "left_semi")
+    given = docs.select(quoted(docs, doc_id).alias("id"), text_key(quoted(docs, text)).alias("node"))
+    if not given.groupBy("id", "node").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([doc_id, "__node"])
+    return kept.drop("__node")
