@@ -28,6 +28,8 @@ from storyloom.llm._common import cut, quoted, rows, texts
 REMEMBERED = 1_000_000
 #: A control character that the tokenizer keeps as a token of its own, between words encoded together.
 MARK = "\x01"
+#: Marks that may close a word; none begins a unit of the tokenizer together with letters.
+CLOSING = b".,;:!?|)"
 
 
 @lru_cache(maxsize=2)
@@ -52,8 +54,33 @@ class WordEncoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, words: list[bytes]) -> None:
-        alone = [w for w in words if b"\x01" in w]
-        joined = [w for w in words if b"\x01" not in w]
+        """Adds words to those known; what can be put together from parts that repeat more is not encoded whole.
+
+        The tokenizer lower-cases, and parts letters from what follows them, so a word ending in closing
+        marks is its core and the marks. A special token's name keeps its case.
+        """
+        parts = {}
+        for word in words:
+            low = word if b"<|" in word else word.lower()
+            core = low.rstrip(CLOSING)
+            if core and len(core) < len(low) and 97 <= core[-1] <= 122:
+                parts[word] = (core, low[len(core) :])
+            elif low != word:
+                parts[word] = (low,)
+        new = set(words).difference(parts).union(*parts.values()) - self.known.keys()
+        self._encode(list(new))
+        for word, own in parts.items():
+            self.known[word] = b"".join([self.known[p] for p in own])
+
+    def _encode(self, words: list[bytes]) -> None:
+        pieces, joined = self.tokenizer.model.tokenize, []
+        for word in words:
+            if word.isalpha():  # ASCII letters alone are one unit to the tokenizer, as they stand
+                self.known[word] = np.array([t.id for t in pieces(word.decode().lower())], "<u4").tobytes()
+            elif b"\x01" in word:
+                self.known[word] = np.array(self._ids(word.decode()), "<u4").tobytes()
+            else:
+                joined.append(word)
         for at in range(0, len(joined), 2000):
             part = joined[at : at + 2000]
             ids = np.array(self._ids(f" {MARK} ".join(w.decode() for w in part)), "<u4")
@@ -63,8 +90,6 @@ class WordEncoder:
             for word, end in zip(part, [*ends.tolist(), len(ids)]):
                 self.known[word] = held[4 * start : 4 * end]
                 start = end + 1
-        for word in alone:
-            self.known[word] = np.array(self._ids(word.decode()), "<u4").tobytes()
 
     def encode(self, batch: list[bytes | None]) -> Iterator[bytes]:
         split = [(t or b"").split() for t in batch]
