@@ -80,39 +80,50 @@ def _position(segment: np.ndarray) -> np.ndarray:
     return np.bitwise_count(np.where(segment > 0, segment - np.uint64(1), 0)).astype(np.int64)
 
 
-def _forest(fps: np.ndarray, most: int, deeper: bool = True) -> list[tuple[int, int]]:
-    """Links of a spanning forest over the distinct fingerprints at most `most` bits apart, nearest first."""
-    n = len(fps)
-    if n > 4096 and deeper:
-        # Split again: of four 16-bit pieces, two at least differ by one bit at most if most is 3; one is enough.
-        keys = np.concatenate([((fps >> np.uint64(16 * s)) & np.uint64(0xFFFF) & ~np.uint64(1 << b)) | np.uint64((s * 16 + b) << 32) for s in range(4) for b in range(16)])
-        at = np.tile(np.arange(n), 64)
-        order = np.argsort(keys, kind="stable")
-        cuts = np.flatnonzero(np.diff(keys[order])) + 1
-        links = [(a, b) for part in np.split(at[order], cuts) if len(part) > 1 for a, b in _forest(fps[part], most, deeper=False)]
-        return links
-    found = []
-    for i in range(0, n, 512):
-        d = np.bitwise_count(fps[i : i + 512, None] ^ fps[None, i:])
-        a, b = np.nonzero(d <= most)
-        up = b > a
-        found.append(np.stack([d[a[up], b[up]], a[up] + i, b[up] + i], 1).astype(np.int64))
-    pairs = np.concatenate(found)
-    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    links = []
-    for _, a, b in pairs.tolist():
-        if (ra := root(a)) != (rb := root(b)):
-            parent[rb] = ra
-            links.append((int(fps[a]), int(fps[b])))
-    return links
+def _groups(fps: np.ndarray) -> list[np.ndarray]:
+    """Rows to compare with one another: all of them, or, of very many, those that share most of a second key.
+
+    Of four 16-bit pieces of two fingerprints up to seven bits apart, one differs by one bit at most.
+    """
+    if len(fps) <= 4096:
+        return [np.arange(len(fps))]
+    piece = [(fps >> np.uint64(16 * s)) & np.uint64(0xFFFF) for s in range(4)]
+    keys = np.concatenate([(piece[s] & ~np.uint64(1 << b)) | np.uint64((s * 16 + b) << 32) for s in range(4) for b in range(16)])
+    order = np.argsort(keys, kind="stable")
+    return np.split(np.tile(np.arange(len(fps)), 64)[order], np.flatnonzero(np.diff(keys[order])) + 1)
+
+
+def _forest(fps: np.ndarray, most: int) -> np.ndarray:
+    """Links of a spanning forest over different fingerprints at most `most` bits apart, within a group nearest first."""
+    label, links = np.arange(len(fps)), []
+    for own in _groups(fps):
+        if (label[own] == label[own[0]]).all():
+            continue
+        for i in range(0, len(own), 512):
+            bits = np.bitwise_count(fps[own[i : i + 512], None] ^ fps[None, own])
+            for distance in range(1, most + 1):
+                a, b = np.nonzero(bits == distance)
+                a, b = own[a + i], own[b]
+                while (apart := label[a] != label[b]).any():  # one link for each two trees that it joins
+                    a, b = a[apart], b[apart]
+                    _, first = np.unique(np.stack([label[a], label[b]], 1), axis=0, return_index=True)
+                    heads = {}
+
+                    def head(x: int, heads: dict[int, int] = heads) -> int:
+                        while x in heads:
+                            x = heads[x]
+                        return x
+
+                    for k in first.tolist():
+                        x, y = head(int(label[a[k]])), head(int(label[b[k]]))
+                        if x != y:
+                            heads[max(x, y)] = min(x, y)
+                            links.append((fps[a[k]], fps[b[k]]))
+                    moved = np.arange(len(fps))
+                    for x in heads:
+                        moved[x] = head(x)
+                    label = moved[label]
+    return np.array(links, np.uint64).reshape(-1, 2)
 
 
 def _meet(keys: np.ndarray, fps: np.ndarray, most: int, width: int) -> Iterator[np.ndarray]:
@@ -122,8 +133,7 @@ def _meet(keys: np.ndarray, fps: np.ndarray, most: int, width: int) -> Iterator[
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.append(starts, len(keys)))
     for at, n in zip(starts[sizes > RUN].tolist(), sizes[sizes > RUN].tolist()):
-        if links := _forest(fps[at : at + n], most):
-            yield np.array(links, np.uint64)
+        yield _forest(fps[at : at + n], most)
     small = np.repeat(sizes, sizes) <= RUN
     keys, fps = keys[small], fps[small]
     mask = np.uint64((1 << width) - 1)
