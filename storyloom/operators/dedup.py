@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as tx
@@ -54,8 +54,9 @@ def shingle_pairs(articles: DataFrame, size: int = 5, threshold: float = 0.75, l
     """
     body = F.substring(F.lower(tx.clean(F.col("content"))), 1, prefix)
     texts = articles.where(F.char_length("content") >= least).groupBy(body.alias("body")).agg(F.min("article_id").alias("id"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("body") - (size - 1)), lambda i: F.xxhash64(F.substring(F.col("body"), i, size))))
-    sets = texts.where(F.char_length("body") >= size).select("id", grams.alias("grams"))
+    chars = texts.where(F.char_length("body") >= size).select("id", F.split("body", "").alias("chars"))
+    grams = F.transform(F.sequence(F.lit(0), F.size("chars") - size), lambda i: F.xxhash64(*[F.get("chars", i + k) for k in range(size)]))
+    sets = chars.select("id", F.array_distinct(grams).alias("grams"))
     spread = sets.select("id", F.explode("grams").alias("gram"))
     counts = spread.groupBy("gram").agg(F.count("*").alias("n"))
     ordered = spread.join(counts, "gram").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g"))
@@ -65,6 +66,7 @@ def shingle_pairs(articles: DataFrame, size: int = 5, threshold: float = 0.75, l
     meets = heads.join(other, "gram").where((F.col("id") < F.col("b")) & (F.least("size", "size_b") >= threshold * F.greatest("size", "size_b")))
     pairs = meets.select(F.col("id").alias("a"), "b").distinct()
     left, right = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
-    common = F.size(F.array_intersect("ga", "gb"))
-    similarity = common / (F.size("ga") + F.size("gb") - common)
-    return pairs.join(left, "a").join(right, "b").select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
+    common, both = F.size(F.array_intersect("ga", "gb")), F.size("ga") + F.size("gb")
+    # Jaccard >= t, written so that the intersection is evaluated once for a pair that fails.
+    near = pairs.join(left, "a").join(right, "b").where(common >= threshold / (1 + threshold) * both)
+    return near.select("a", "b", (common / (both - common)).alias("similarity"))

@@ -21,8 +21,8 @@ def match_rules(articles: DataFrame, rules: list[tuple[str, str, str, str, str]]
     def hit(kind: str, pattern: str, target: Column) -> Column:
         if kind == "regex":
             return F.regexp_like(target, F.lit(pattern))
-        groups = [g.split(" and ") for g in pattern.lower().split(" or ")] if kind == "boolean" else [[pattern.lower()]]
-        whole = [reduce(Column.__and__, [F.contains(target, F.lit(t.strip())) for t in g]) for g in groups]
+        groups = [[t.strip() for t in g.split(" and ")] for g in pattern.lower().split(" or ")] if kind == "boolean" else [[pattern.lower()]]
+        whole = [reduce(Column.__and__, [F.contains(target, F.lit(t)) for t in g]) for g in groups]
         return reduce(Column.__or__, whole)
 
     found = [F.when(hit(kind, pattern, targets[target]), F.struct(F.lit(topic).alias("topic"), F.lit(label).alias("label"), F.lit(kind).alias("kind"))) for topic, label, kind, pattern, target in rules]
