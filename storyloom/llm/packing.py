@@ -257,19 +257,22 @@ def _plan(histogram: dict[int, int], capacity: int, depth: int) -> list[tuple[tu
     return done
 
 
-def _places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, ...]]:
-    """By length: the first piece number of each run, and the run's first sequence and offset (runs in order)."""
-    found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+def _runs(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
+    """(length, first, until, sequence, offset): pieces of this length with numbers from first up to until.
+
+    Piece first + k goes into sequence + k, at the offset. There are as many rows as lengths in all patterns.
+    """
+    found = []
     used: dict[int, int] = defaultdict(int)
     sequence = 0
     for parts, many in patterns:
         offset = 0
         for length in parts:
-            found[length].append((used[length], sequence, offset))
+            found.append((length, used[length], used[length] + many, sequence, offset))
             used[length] += many
             offset += length
         sequence += many
-    return {length: tuple(np.array(x, np.int64) for x in zip(*runs)) for length, runs in found.items()}
+    return found
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece"), rows_per_cell: int = 20_000) -> DataFrame:
@@ -282,7 +285,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, length: str = "length", order:
     counted = {r[0]: r[1] for r in pieces.groupBy(quoted(pieces, length)).count().collect()}
     if any(x is None or not 0 < x <= capacity for x in counted):
         raise ValueError("a piece's length must be from 1 to the capacity")
-    places = _places(plan(counted, capacity))
+    runs = pieces.sparkSession.createDataFrame(_runs(plan(counted, capacity)), "size int, first long, until long, sequence long, offset long")
     cells = max(1, -(-max(counted.values(), default=0) // rows_per_cell))
     payload = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     keyed = pieces.select(
@@ -297,22 +300,11 @@ def pack(pieces: DataFrame, capacity: int = 4096, length: str = "length", order:
     within = Window.partitionBy("length", "cell").orderBy("by")
     numbered = keyed.withColumn("r", F.row_number().over(within)).join(counts, ["length", "cell"])
     numbered = numbered.select("row", "length", (F.col("before") + F.col("r") - 1).alias("number"))
-    schema = pieces.select(F.struct(*[quoted(pieces, c).alias(c) for c in payload]).alias("row")).schema.add("sequence_id", "long").add("offset", "long")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lengths, numbers = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-            sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-            for n in np.unique(lengths).tolist():
-                mine = lengths == n
-                first, start, at = places[n]
-                run = np.searchsorted(first, numbers[mine], "right") - 1
-                sequence[mine] = start[run] + numbers[mine] - first[run]
-                offset[mine] = at[run]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sequence), pa.array(offset)], names=["row", "sequence_id", "offset"])
-
-    placed = numbered.mapInArrow(run, schema)
-    return placed.select(*[F.col("row")[c].alias(c) for c in payload], "sequence_id", "offset")
+    # The runs are bounded by the capacity (a few for each pattern, and each pattern uses up a length or a gap).
+    inside = (F.col("length") == F.col("size")) & (F.col("number") >= F.col("first")) & (F.col("number") < F.col("until"))
+    placed = numbered.join(F.broadcast(runs), inside)
+    sequence = (F.col("sequence") + F.col("number") - F.col("first")).alias("sequence_id")
+    return placed.select(*[F.col("row")[c].alias(c) for c in payload], sequence, "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
