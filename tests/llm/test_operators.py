@@ -340,8 +340,8 @@ def test_recall(spark, sf):
 def test_index_with_forced_cells_blocks_and_copies(spark):
     draw = np.random.default_rng(0)
     rows = [(i, draw.normal(size=8).tolist()) for i in range(900)]
-    rows += [(1000 + i, [1.0, 0, 0, 0, 0, 0, 0, 0]) for i in range(300)]
-    rows += [(2000, None), (2050, [0.0] * 8), (2100, [1.0, None, 0, 0, 0, 0, 0, 0]), (2150, [float("nan")] * 8), (2200, [float("inf")] * 8), (2250, [1.0, 2.0]), (None, [0.5] * 8), (1000, [1.0, 0, 0, 0, 0, 0, 0, 0])]
+    rows += [(1000 + i, [1.0] + [0.0] * 7) for i in range(300)]
+    rows += [(2000, None), (2050, [0.0] * 8), (2100, [1.0, None] + [0.0] * 6), (2150, [float("nan")] * 8), (2200, [float("inf")] * 8), (2250, [1.0, 2.0]), (None, [0.5] * 8), (1000, [1.0] + [0.0] * 7)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = multi_index.nearest(df, df.where("vec_id % 50 = 0"), share=0.6, least=10, centroids=8, sample=200, block_rows=50, block_queries=7).toPandas()
     assert set(got.query_id) == set(range(0, 900, 50)) | set(range(1000, 1300, 50))
