@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from storyloom.llm._common import alnum_words, cut, quoted, rows, texts
 
 #: Postings are kept of so many of a window's terms, the rarest ones.
-RAREST = 3
+RAREST = 2
 
 
 def _windows(items: list[tuple[object, bytes | None]], size: int) -> dict[bytes, set[str]]:
@@ -87,28 +87,30 @@ def _candidates(docs: DataFrame, windows: dict[bytes, set[str]], slop: int) -> D
     """(doc_id, print, phrase, items, starts) for windows whose rarest terms all stand where they should."""
     spark = docs.sparkSession
     counts = term_counts(docs, {w for phrase in windows for w in phrase.split()})
-    queries, numbers = [], {}
-    for phrase, items in windows.items():
+    queries, phrases, numbers = [], [], {}
+    for number, (phrase, items) in enumerate(windows.items()):
         words = phrase.split()
         if slop == 0 and not all(counts.get(w) for w in words):
             continue
-        by_count = sorted((counts.get(w, 0), w, at) for at, w in enumerate(words))
-        rarest = [(numbers.setdefault(w, len(numbers)), at) for n, w, at in by_count if n or slop == 0][:RAREST]
+        by_count = sorted((n, w, at) for at, w in enumerate(words) if (n := counts.get(w, 0)))[:RAREST]
+        rarest = [(numbers.setdefault(w, len(numbers)), at) for _, w, at in by_count]
         if rarest:
-            queries.append((phrase.decode(), sorted(items), [t for t, _ in rarest], [at for _, at in rarest]))
+            queries.append((number, [t for t, _ in rarest], [at for _, at in rarest]))
+            phrases.append((number, phrase.decode(), sorted(items)))
     index = cut(postings(docs, numbers))
-    found = spark.createDataFrame(queries, "phrase string, items array<string>, terms array<int>, offsets array<int>")
+    found = spark.createDataFrame(queries, "window int, terms array<int>, offsets array<int>")
     first = index.select(F.col("term").alias("t"), "doc_id", "print", "places")
     found = found.join(first, found.terms[0] == F.col("t")).select(
-        "doc_id", "print", "phrase", "items", "terms", "offsets", F.expr(f"filter(transform(places, p -> p - offsets[0]), s -> s >= -{slop})").alias("starts")
+        "doc_id", "print", "window", "terms", "offsets", F.expr(f"filter(transform(places, p -> p - offsets[0]), s -> s >= -{slop})").alias("starts")
     )
     for k in range(1, RAREST):
         later = index.select(F.col("term").alias("t"), F.col("doc_id").alias("d"), F.col("print").alias("p"), F.col("places").alias("shifted"))
         same = (F.get("terms", F.lit(k)) == later.t) & F.col("doc_id").eqNullSafe(later.d) & (F.col("print") == later.p)
         meets = f"filter(starts, s -> exists(shifted, p -> abs(p - offsets[{k}] - s) <= {slop}))" if slop else f"array_intersect(starts, transform(shifted, p -> p - offsets[{k}]))"
         left = F.when(F.size("terms") <= k, F.col("starts")).otherwise(F.expr(meets))
-        found = found.join(later, same, "left").select("doc_id", "print", "phrase", "items", "terms", "offsets", left.alias("starts")).where("size(starts) > 0")
-    return found.select("doc_id", "print", "phrase", "items", "starts")
+        found = found.join(later, same, "left").select("doc_id", "print", "window", "terms", "offsets", left.alias("starts")).where("size(starts) > 0")
+    named = spark.createDataFrame(phrases, "window int, phrase string, items array<string>")
+    return found.select("doc_id", "print", "window", "starts").join(named, "window").select("doc_id", "print", "phrase", "items", "starts")
 
 
 def _verify(words: list[bytes], matches: list[dict], size: int, slop: int) -> tuple[int, int, list[str]]:
