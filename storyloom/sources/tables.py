@@ -46,7 +46,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of reports: report_id, ts, subject (kind of event), source_id (user), value, country (of the user's nation)."""
     nations = read(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("country"))
     events = read(spark, sf_dir, "events")
-    return events.join(F.broadcast(nations), (F.col("user_id") % 25) == F.col("n_nationkey")).select(
+    return events.join(nations, (F.col("user_id") % 25) == F.col("n_nationkey")).select(
         F.col("event_id").alias("report_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("subject"), F.col("user_id").alias("source_id"), "value", "country"
     )
 
