@@ -225,6 +225,70 @@ def _shingle_sets(nodes: DataFrame, shingle: int) -> DataFrame:
     return nodes.select("node", "text").mapInArrow(run, "node string, grams array<bigint>")
 
 
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets have this Jaccard similarity or more."""
+    left, right = (sets.select(F.col("node").alias(n), F.col("grams").alias(f"grams_{n}")) for n in "uv")
+    common = F.size(F.array_intersect("grams_u", "grams_v"))
+    return pairs.join(left, "u").join(right, "v").where(common >= similarity * (F.size("grams_u") + F.size("grams_v") - common)).select("u", "v")
+
+
+def _open(members: DataFrame, close: DataFrame) -> DataFrame:
+    """(node, class, part, large) of the classes that the links leave in several parts; a class of two has no further pair."""
+    found = components(close).withColumnRenamed("root", "part")
+    placed = members.join(found, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    left = placed.groupBy("class").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
+    return cut(placed.join(left.where("n > 2 AND low < high").select("class", (F.col("n") > RUN).alias("large")), "class"))
+
+
+def _joined(inside: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): every pair of one class and different parts that can be similar enough, by a prefix-filtered join.
+
+    Shingles are ordered by how many texts of the class have them, rarest first. Pairs of one part are never made.
+    """
+    spread = inside.join(sets, "node").select("class", "part", "node", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    counts = spread.groupBy("class", "gram").agg(F.count("*").alias("n"))
+    ordered = spread.join(counts.where("n > 1"), ["class", "gram"]).groupBy("class", "part", "node", "size").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g"))
+    # Shingles of one text only come first in the order and meet nothing; they use up places of the prefix.
+    places = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9).cast("int") + 1 - (F.col("size") - F.size("g"))
+    heads = cut(ordered.where(places > 0).select("class", "part", "node", "size", F.explode(F.slice("g.gram", F.lit(1), places)).alias("gram")))
+    parts = heads.select("class", "gram", "part").distinct()
+    meets = parts.withColumnRenamed("part", "part_u").join(parts.withColumnRenamed("part", "part_v"), ["class", "gram"]).where("part_u < part_v")
+    for n in "uv":
+        own = heads.select("class", "gram", F.col("part").alias(f"part_{n}"), F.col("node").alias(n), F.col("size").alias(f"size_{n}"))
+        meets = meets.join(own, ["class", "gram", f"part_{n}"])
+    return meets.where(F.least("size_u", "size_v") >= similarity * F.greatest("size_u", "size_v")).select("u", "v").distinct()
+
+
+def _complete(pairs: DataFrame, sets: DataFrame, close: DataFrame, similarity: float) -> DataFrame:
+    """Links that connect whatever is connected by similar pairs inside the components of `pairs`, whether in `pairs` or not.
+
+    In a class of more than RUN texts the one whose shingles most others have is first compared with all the
+    others, again among what has no such centre yet, while a round settles a quarter of them. What then is in
+    different parts of a class is joined exactly, so rounds only save pairs that are connected anyway.
+    """
+    members = cut(components(pairs).withColumnRenamed("root", "class"))
+    inside, centred, before = _open(members, close), None, None
+    while True:
+        free = inside.where("large")
+        if centred is not None:
+            free = free.join(free.join(centred, "node").select("part").distinct(), "part", "left_anti")
+        left = free.count()
+        if not left or (before is not None and left > 0.75 * before):
+            break
+        before = left
+        spread = free.join(sets, "node").select("class", "node", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+        counts = spread.groupBy("class", "gram").agg(F.count("*").alias("n"))
+        shared = spread.join(counts, ["class", "gram"]).groupBy("class", "node").agg((F.sum("n") / F.first("size")).alias("mean"))
+        centres = cut(shared.groupBy("class").agg(F.max(F.struct("mean", "node")).alias("top")).select("class", F.col("top.node").alias("u")))
+        own = centres.join(inside.select(F.col("node").alias("u"), F.col("part").alias("part_u")), "u")
+        tried = own.join(inside, "class").where("part != part_u").select("u", F.col("node").alias("v"))
+        close = cut(close.unionByName(_similar(tried, sets, similarity)))
+        named = centres.select(F.col("u").alias("node"))
+        centred = named if centred is None else centred.unionByName(named)
+        inside = _open(members, close)
+    return close.unionByName(_similar(cut(_joined(inside, sets, similarity)), sets, similarity))
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, most: int = 3, seeds: tuple[int, ...] = (42, 1, 2)
 ) -> DataFrame:
@@ -232,8 +296,8 @@ def near_duplicates(
 
     Texts with the same words are one node. Candidates are nodes whose SimHash fingerprints over words,
     weighted by the square root of their counts, are at most `most` bits apart for one of the seeds; a link
-    is a candidate pair whose sets of `shingle`-word shingles have a Jaccard similarity of at least
-    `similarity`, checked exactly on whole texts. (A fingerprint over the shingles themselves differs in
+    is a pair of nodes, connected by candidates, whose sets of `shingle`-word shingles have a Jaccard
+    similarity of at least `similarity`, checked exactly on whole texts; no such pair is left out. (A fingerprint over the shingles themselves differs in
     about ten bits at 0.8, which is why candidates come from words.) Of each component the smallest id stays,
     of equal ids the smaller text key; null ids come last. `node` is text_key(text).
     """
@@ -255,10 +319,7 @@ def near_duplicates(
     ends = ends.join(nodes, "node").select("node", F.col("first.doc_id").alias("first_id"))
     found_texts = keyed.alias("d").join(ends.alias("e"), F.expr("d.doc_id <=> e.first_id AND d.node = e.node")).select("d.node", "d.text")
     sets = cut(_shingle_sets(found_texts.dropDuplicates(["node"]), shingle))
-    left, right = (sets.select(F.col("node").alias(n), F.col("grams").alias(f"grams_{n}")) for n in "uv")
-    common = F.size(F.array_intersect("grams_u", "grams_v"))
-    close = pairs.join(left, "u").join(right, "v").where(common >= similarity * (F.size("grams_u") + F.size("grams_v") - common)).select("u", "v")
-    found = components(close)
+    found = components(_complete(pairs, sets, cut(_similar(pairs, sets, similarity)), similarity))
     placed = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     picked = placed.groupBy("root").agg(F.min(F.struct("first", "node")).alias("pick"))
     chosen = picked.select(F.col("pick.first.doc_id").alias("kept_id"), F.col("pick.node").alias("node"), F.lit(True).alias("keep"))

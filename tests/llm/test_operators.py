@@ -312,6 +312,53 @@ def test_near_duplicates(spark):
     assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
 
 
+def _groups(n, edges):
+    root = list(range(n))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    return [top(x) for x in range(n)]
+
+
+def test_near_duplicates_around_one_original(spark):
+    draw = random.Random(11)
+    body = [f"w{int(draw.paretovariate(0.7))}" for _ in range(300)]
+    copies = []
+    for _ in range(300):
+        own = body[:]
+        for at in draw.sample(range(2, 298, 6), 5):
+            own[at] = f"x{draw.randint(0, 10**6)}"
+        copies.append(own)
+    copies.insert(200, body)  # copies are alike to the original only: about 0.84, and 0.71 to one another
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in copies]
+    fps = [[simhash.fingerprint([x.encode() for x in w], 1, seed, 0.5) & (2**64 - 1) for seed in (42, 1, 2)] for w in copies]
+    pairs = [(a, b) for b in range(len(copies)) for a in range(b)]
+    candidates = [(a, b) for a, b in pairs if any((x ^ y).bit_count() <= 3 for x, y in zip(fps[a], fps[b]))]
+    alike = {(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    classes = _groups(len(copies), candidates)
+    want = _groups(len(copies), [(a, b) for a, b in alike if classes[a] == classes[b]])
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(copies)], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == set(want)
+    assert len(set(want)) < 150
+
+
+def test_near_duplicates_in_different_parts_are_joined(spark):
+    """Without any link to begin with, nor a centre, the prefix join alone finds all pairs of a class."""
+    draw = random.Random(5)
+    base = draw.sample(range(10**6), 120)
+    sets = {f"n{k:02}": sorted({*draw.sample(base, 110), *draw.sample(range(10**6, 2 * 10**6), k % 7)}) for k in range(40)}
+    alike = {(a, b) for a in sets for b in sets if a < b and len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})}
+    inside = spark.createDataFrame([(n, "c", n, False) for n in sets], "node string, class string, part string, large boolean")
+    grams = spark.createDataFrame(list(sets.items()), "node string, grams array<bigint>")
+    made = {(r.u, r.v) for r in simhash._joined(inside, grams, 0.8).collect()}
+    assert alike and alike <= made and all(a < b for a, b in made)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 2000 + i) for i in range(50)] + [(5, 5), (None, 3)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
