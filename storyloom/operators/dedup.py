@@ -45,6 +45,11 @@ def cascade(stages: list[DataFrame]) -> DataFrame:
     return every.groupBy("article_id").agg(best).select("article_id", "best.duplicate_of", "best.stage")
 
 
+def _bodies(articles: DataFrame, size: int, least: int, prefix: int) -> DataFrame:
+    body = F.substring(F.lower(tx.clean(F.col("content"))), 1, prefix)
+    return articles.where(F.char_length("content") >= least).select("article_id", body.alias("body")).where(F.char_length("body") >= size)
+
+
 def shingle_pairs(articles: DataFrame, size: int = 5, threshold: float = 0.75, least: int = 300, prefix: int = 2000) -> DataFrame:
     """(a, b, similarity) for different texts whose character shingles have this Jaccard similarity or more.
 
@@ -52,8 +57,7 @@ def shingle_pairs(articles: DataFrame, size: int = 5, threshold: float = 0.75, l
     n - ceil(threshold n) + 1 of each text are joined, with a length filter, and what meets is verified. The
     reference's prefix of each text is the feature, not a cap.
     """
-    body = F.substring(F.lower(tx.clean(F.col("content"))), 1, prefix)
-    texts = articles.where(F.char_length("content") >= least).groupBy(body.alias("body")).agg(F.min("article_id").alias("id"))
+    texts = _bodies(articles, size, least, prefix).groupBy("body").agg(F.min("article_id").alias("id"))
     chars = texts.where(F.char_length("body") >= size).select("id", F.split("body", "").alias("chars"))
     grams = F.transform(F.sequence(F.lit(0), F.size("chars") - size), lambda i: F.xxhash64(*[F.get("chars", i + k) for k in range(size)]))
     sets = chars.select("id", F.array_distinct(grams).alias("grams"))
@@ -70,3 +74,45 @@ def shingle_pairs(articles: DataFrame, size: int = 5, threshold: float = 0.75, l
     # Jaccard >= t, written so that the intersection is evaluated once for a pair that fails.
     near = pairs.join(left, "a").join(right, "b").where(common >= threshold / (1 + threshold) * both)
     return near.select("a", "b", (common / (both - common)).alias("similarity"))
+
+
+def shingle_members(articles: DataFrame, size: int = 5, threshold: float = 0.75, least: int = 300, prefix: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): shingle_pairs, and its whole membership, a row for every article that it compares.
+
+    members has article_id, body_id (the smallest article of the same body), class_id (the smallest body_id
+    reachable over pairs) and links (the number of other articles at least this similar, equal bodies counted).
+    """
+    pairs = shingle_pairs(articles, size, threshold, least, prefix).localCheckpoint()
+    bodies = _bodies(articles, size, least, prefix).select("article_id", F.sha2("body", 256).alias("key"))
+    firsts = bodies.groupBy("key").agg(F.min("article_id").alias("body_id"), F.count("*").alias("copies"))
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).localCheckpoint()
+    near = both.join(firsts.select(F.col("body_id").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("near"))
+    named = firsts.join(near.withColumnRenamed("a", "body_id"), "body_id", "left").join(_least_reachable(both), "body_id", "left")
+    links = (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links")
+    return bodies.join(named, "key").select("article_id", "body_id", F.coalesce("class_id", "body_id").alias("class_id"), links), pairs
+
+
+def _least_reachable(both: DataFrame) -> DataFrame:
+    """(body_id, class_id): the smallest node reachable over links given in both directions.
+
+    Each round takes the least label among the neighbours and then that label's own label, which halves chains.
+    """
+    now = both.groupBy(F.col("a").alias("body_id")).agg(F.least(F.first("a"), F.min("b")).alias("class_id"))
+    while True:
+        now = now.localCheckpoint()
+        around = both.join(now.withColumnRenamed("body_id", "b"), "b").groupBy(F.col("a").alias("body_id")).agg(F.min("class_id").alias("around"))
+        least = now.join(around, "body_id").select("body_id", F.col("class_id").alias("before"), F.least("class_id", "around").alias("label"))
+        jump = now.select(F.col("body_id").alias("label"), F.col("class_id").alias("jump"))
+        after = least.join(jump, "label").select("body_id", "before", F.least("label", "jump").alias("class_id")).localCheckpoint()
+        now = after.select("body_id", "class_id")
+        if after.where("class_id != before").isEmpty():
+            return now
+
+
+def shingle_links(articles: DataFrame, **options) -> DataFrame:
+    """(a, b, similarity, class_id): shingle_pairs, and each further copy of a body (b) beside that body's first article (a)."""
+    members, pairs = shingle_members(articles, **options)
+    members = members.localCheckpoint()
+    classes = members.select(F.col("article_id").alias("a"), "class_id")
+    copies = members.where("article_id != body_id").select(F.col("body_id").alias("a"), F.col("article_id").alias("b"), F.lit(1.0).alias("similarity"), "class_id")
+    return pairs.join(classes, "a").select("a", "b", "similarity", "class_id").unionByName(copies)

@@ -126,7 +126,12 @@ def cascade(spark, sf):
 
 @register("dup8_shingle_jaccard")
 def shingle_jaccard(spark, sf):
-    return dedup.shingle_pairs(tb.articles(spark, sf))
+    return dedup.shingle_links(tb.articles(spark, sf))
+
+
+@register("dup8_shingle_classes")
+def shingle_classes(spark, sf):
+    return dedup.shingle_members(tb.articles(spark, sf))[0]
 
 
 @register(

@@ -31,6 +31,38 @@ def test_shingle_pairs_are_all_pairs(spark):
     assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+def test_every_copy_has_its_class(spark):
+    draw = random.Random(8)
+    rows, at = [], 0
+    for base in range(6):
+        words = ["".join(draw.choices("abcdefgh", k=draw.randint(2, 7))) for _ in range(90)]
+        for variant in range(4):
+            own = words[:]
+            for _ in range(variant * 4):
+                own[draw.randrange(90)] = "".join(draw.choices("xyz", k=4))
+            text = " ".join(own)
+            for copy in (text, text.upper(), text.replace(" ", "\n "))[: 1 + (base + variant) % 3]:
+                rows.append(((at := at + 1) * 7 % 101, copy))
+    long = " ".join("".join(draw.choices("ijkl", k=5)) for _ in range(500))
+    rows += [(200, long), (201, long + " a further end"), (202, "short"), (203, None), (204, " " * 400)]
+    compared = [r for r in rows if r[0] < 202]
+    sets = {i: shingles(t) for i, t in compared}
+    near = {i: {j for j in sets if j != i and len(sets[i] & sets[j]) >= 0.75 * len(sets[i] | sets[j])} for i in sets}
+    want = {}
+    for i in sets:
+        reached, left = {i}, [i]
+        while left:
+            left += (new := near[left.pop()] - reached)
+            reached |= new
+        want[i] = (min(reached), len(near[i]))
+    df = spark.createDataFrame(rows, "article_id long, content string")
+    members, _ = dedup.shingle_members(df)
+    assert {r.article_id: (r.class_id, r.links) for r in members.collect()} == want
+    links = dedup.shingle_links(df).collect()
+    assert {x for r in links for x in (r.a, r.b)} == {i for i in near if near[i]}
+    assert all(r.b in near[r.a] and r.class_id == want[r.a][0] for r in links)
+
+
 def test_cascade_takes_the_first_stage(spark):
     first = spark.createDataFrame([(2, 1)], "article_id long, duplicate_of long")
     second = spark.createDataFrame([(2, 0), (3, 1)], "article_id long, duplicate_of long")
