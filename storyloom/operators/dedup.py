@@ -116,3 +116,9 @@ def shingle_links(articles: DataFrame, **options) -> DataFrame:
     classes = members.select(F.col("article_id").alias("a"), "class_id")
     copies = members.where("article_id != body_id").select(F.col("body_id").alias("a"), F.col("article_id").alias("b"), F.lit(1.0).alias("similarity"), "class_id")
     return pairs.join(classes, "a").select("a", "b", "similarity", "class_id").unionByName(copies)
+
+
+def shingles(articles: DataFrame, **options) -> DataFrame:
+    """Every later article of a shingle class and the class's earliest one."""
+    members = shingle_members(articles, **options)[0].select("article_id", "class_id")
+    return first_by(articles.select("article_id", "published_at").join(members, "article_id"), F.col("class_id"))

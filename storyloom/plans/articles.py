@@ -124,6 +124,13 @@ def cascade(spark, sf):
     return dedup.cascade([dedup.exact(rows), dedup.paragraph(rows)])
 
 
+@register("dup1_cascade_shingles")
+def cascade_shingles(spark, sf):
+    """dup1_cascade with the shingle classes as a further stage."""
+    rows = tb.articles(spark, sf)
+    return dedup.cascade([dedup.exact(rows), dedup.paragraph(rows), dedup.shingles(rows)])
+
+
 @register("dup8_shingle_jaccard")
 def shingle_jaccard(spark, sf):
     return dedup.shingle_links(tb.articles(spark, sf))

@@ -1,6 +1,9 @@
 import random
 
+from pyspark.sql import functions as F
+
 from storyloom.operators import dedup
+from storyloom.plans import articles as plans
 
 
 def shingles(text, size=5):
@@ -68,3 +71,16 @@ def test_cascade_takes_the_first_stage(spark):
     second = spark.createDataFrame([(2, 0), (3, 1)], "article_id long, duplicate_of long")
     got = {r.article_id: (r.duplicate_of, r.stage) for r in dedup.cascade([first, second]).collect()}
     assert got == {2: (1, 1), 3: (1, 2)}
+
+
+def test_cascade_has_the_shingle_stage(spark, monkeypatch):
+    draw = random.Random(9)
+    base = " ".join("".join(draw.choices("abcdefgh", k=5)) for _ in range(150))
+    other = " ".join("".join(draw.choices("mnopqrst", k=5)) for _ in range(150))
+    # 2 is the earliest; 1 opens with another character, 3 ends otherwise, 4 equals 3 but for its title, 5 equals 2
+    rows = [(1, 5, "a", "X" + base[1:]), (2, 1, "a", base), (3, 3, "b", base + " end"), (4, 4, "c", base + " end"), (5, 9, "a", base), (6, 0, "a", other), (7, 2, "a", None)]
+    df = spark.createDataFrame(rows, "article_id long, published_at long, title string, content string").withColumn("source", F.lit("s"))
+    monkeypatch.setattr(plans.tb, "articles", lambda *_: df)
+    got = {r.article_id: (r.duplicate_of, r.stage) for r in plans.cascade_shingles(spark, "").collect()}
+    assert got == {5: (2, 1), 3: (2, 2), 4: (2, 2), 1: (2, 3)}
+    assert 1 not in {r.article_id for r in plans.cascade(spark, "").collect()}
