@@ -58,8 +58,8 @@ def shingle_pairs(articles: DataFrame, size: int = 5, threshold: float = 0.75, l
     reference's prefix of each text is the feature, not a cap.
     """
     texts = _bodies(articles, size, least, prefix).groupBy("body").agg(F.min("article_id").alias("id"))
-    chars = texts.where(F.char_length("body") >= size).select("id", F.split("body", "").alias("chars"))
-    grams = F.transform(F.sequence(F.lit(0), F.size("chars") - size), lambda i: F.xxhash64(*[F.get("chars", i + k) for k in range(size)]))
+    chars = texts.where(F.char_length("body") >= size)
+    grams = F.transform(F.sequence(F.lit(1), F.char_length("body") - size + 1), lambda i: F.xxhash64(F.substring("body", i, F.lit(size))))
     sets = chars.select("id", F.array_distinct(grams).alias("grams"))
     spread = sets.select("id", F.explode("grams").alias("gram"))
     counts = spread.groupBy("gram").agg(F.count("*").alias("n"))
