@@ -1,32 +1,37 @@
 """SimHash near-duplicates, found through deletion variants.
 
-Fingerprints that differ in at most k bits are cut into k // 2 + 1 segments; one segment then differs by one
-bit at most. Every segment is indexed once for each of its bits with that bit left out, so two such
-fingerprints meet under at least one key of a plain equality join; the whole distance is verified there.
-Equal fingerprints are collapsed first, and a key that very many different fingerprints share gives a
-spanning forest of its links instead of all its pairs, so copies never multiply.
+Fingerprints that differ in at most k bits are cut into k // 2 + 1 segments (two at least); one segment then
+differs by one bit at most. Every segment is indexed once for each of its bits with that bit left out, so two
+such fingerprints meet under at least one key of a plain equality join; the whole distance is verified there
+by bit_count. Equal fingerprints are collapsed first. A segment's variants share its other bits, so what is
+shuffled is one row for each quarter of a segment; the variants are made behind the shuffle, and only keys
+that two fingerprints have go on to the join.
+
+A key that very many different fingerprints have is cut further by pieces of the remaining bits, one of which
+must be equal; what is crowded even then is dealt into tiles of bounded size, each of which gives a spanning
+forest of its links, so copies never multiply and no task holds a whole key.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storyloom.llm._common import cut, quoted, rows, space_words, texts
 from storyloom.llm.components import components
 
-#: A key shared by more different fingerprints than this gives a spanning forest, not pairs.
+#: A key shared by more different fingerprints than this is cut further.
 RUN = 64
-#: Rows of the index that one task holds.
-INDEX_ROWS = 2_000_000
+#: Fingerprints of one side of a tile.
+TILE = 2048
 
 
 def shingle_digests(words: list[bytes], size: int, seed: int = 42) -> list[bytes]:
@@ -40,146 +45,175 @@ def shingle_digests(words: list[bytes], size: int, seed: int = 42) -> list[bytes
     return [digest(joined[a:b], seed) for a, b in zip(starts, ends[min(size, len(words)) - 1 :])]
 
 
-def _signs(digests: list[bytes], weights: np.ndarray | None) -> int:
-    """Bits set in over half the weight, as a signed 64-bit number."""
+def _signs(digests: list[bytes]) -> int:
+    """Bits set in over half the digests, as a signed 64-bit number."""
     if not digests:
         return 0
-    total = np.zeros(64)
+    total = np.zeros(64, np.int64)
     for at in range(0, len(digests), 65536):
-        bits = np.unpackbits(np.frombuffer(b"".join(digests[at : at + 65536]), np.uint8)).reshape(-1, 64)
-        total += bits.sum(0, dtype=np.uint32) if weights is None else weights[at : at + 65536] @ bits
-    half = (len(digests) if weights is None else weights.sum()) / 2
-    return int.from_bytes(np.packbits(total > half).tobytes(), "big", signed=True)
+        total += np.unpackbits(np.frombuffer(b"".join(digests[at : at + 65536]), np.uint8)).reshape(-1, 64).sum(0, dtype=np.uint32)
+    return int.from_bytes(np.packbits(total > len(digests) / 2).tobytes(), "big", signed=True)
 
 
-def fingerprint(words: list[bytes], shingle: int, seed: int, power: float) -> int:
-    """A word list's fingerprint; a shingle found n times weighs n ** power."""
-    if power == 1:
-        return _signs(shingle_digests(words, shingle, seed), None)
-    counts = Counter(shingle_digests(words, shingle, seed))
-    return _signs(list(counts), np.array([n**power for n in counts.values()]))
-
-
-def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, seeds: tuple[int, ...] = (42,), power: float = 1.0) -> DataFrame:
-    """docs without the text, with `fps`: one 64-bit fingerprint for each seed. Null and empty texts have fingerprint 0."""
+def _with_fingerprints(docs: DataFrame, text: str, make: Callable[[pa.Array], pa.Array], batch_rows: int) -> DataFrame:
+    """docs without the text, with `fps`: an array of 64-bit fingerprints."""
     kept = [c for c in docs.columns if c != text]
     packed = docs.select(*[quoted(docs, c) for c in kept], quoted(docs, text).alias("__text"))
     schema = docs.select(*[quoted(docs, c) for c in kept]).schema.add("fps", T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows(batches):
-            words = map(space_words, texts(batch.column(len(kept))))
-            fps = pa.array([[fingerprint(w, shingle, s, power) for s in seeds] for w in words], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], fps], names=[*kept, "fps"])
+        for batch in rows(batches, batch_rows):
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], make(batch.column(len(kept)))], names=[*kept, "fps"])
 
     return packed.mapInArrow(run, schema)
 
 
-def _position(segment: np.ndarray) -> np.ndarray:
-    """The place of the only bit of each number (0 for none)."""
-    return np.bitwise_count(np.where(segment > 0, segment - np.uint64(1), 0)).astype(np.int64)
+def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
+    """docs without the text, with `fps`: one 64-bit fingerprint over the shingles. Null and empty texts have fingerprint 0."""
+
+    def make(column: pa.Array) -> pa.Array:
+        return pa.array([[_signs(shingle_digests(space_words(t), shingle))] for t in texts(column)], pa.list_(pa.int64()))
+
+    return _with_fingerprints(docs, text, make, 2000)
+
+
+def _mixed(hashes: np.ndarray, view: int) -> np.ndarray:
+    """Another independent-looking hash for each view, made from one (the finaliser of SplitMix64)."""
+    x = hashes + np.uint64((view * 0x9E3779B97F4A7C15) & (2**64 - 1))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def _groups(fps: np.ndarray) -> list[np.ndarray]:
-    """Rows to compare with one another: all of them, or, of very many, those that share most of a second key.
+def _word_bits(hashes: np.ndarray, views: int) -> np.ndarray:
+    return np.concatenate([np.unpackbits(_mixed(hashes, v).view(np.uint8).reshape(-1, 8), axis=1) for v in range(views)], 1).astype(np.float32)
 
-    Of four 16-bit pieces of two fingerprints up to seven bits apart, one differs by one bit at most.
+
+def word_fingerprints(docs: DataFrame, text: str = "text", views: int = 5, power: float = 0.5) -> DataFrame:
+    """docs without the text, with `fps`: `views` fingerprints over the words, a word found n times weighing n ** power.
+
+    Equal word lists have equal fingerprints; without words they are 0.
     """
-    if len(fps) <= 4096:
-        return [np.arange(len(fps))]
-    piece = [(fps >> np.uint64(16 * s)) & np.uint64(0xFFFF) for s in range(4)]
-    keys = np.concatenate([(piece[s] & ~np.uint64(1 << b)) | np.uint64((s * 16 + b) << 32) for s in range(4) for b in range(16)])
-    order = np.argsort(keys, kind="stable")
-    return np.split(np.tile(np.arange(len(fps)), 64)[order], np.flatnonzero(np.diff(keys[order])) + 1)
+
+    def make(column: pa.Array) -> pa.Array:
+        split = pc.ascii_split_whitespace(pc.ascii_lower(column.fill_null("")))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64)
+        order = np.argsort(hashes, kind="stable")  # the order of addition is the text's own, whatever else is in the batch
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        hashes, full = hashes[order], np.array([len(words[i]) > 0 for i in order], bool)
+        place = rank[coded.indices.to_numpy()]
+        owner = np.repeat(np.arange(len(column)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        owner, place = owner[full[place]], place[full[place]]
+        pairs, counts = np.unique(owner * len(words) + place, return_counts=True)
+        owner, place, weights = pairs // max(1, len(words)), pairs % max(1, len(words)), (counts**power).astype(np.float32)
+        ends = np.searchsorted(owner, np.arange(len(column) + 1))
+        table = _word_bits(hashes, views) if len(hashes) <= 60_000 else None
+        out = np.zeros((len(column), views), ">i8")
+        for i, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
+            total = np.zeros(64 * views, np.float32)
+            for at in range(a, b, 8192):
+                own = place[at : min(b, at + 8192)]
+                total += weights[at : at + len(own)] @ (table[own] if table is not None else _word_bits(hashes[own], views))
+            out[i] = np.packbits(total > weights[a:b].sum() / 2).view(">i8")
+        offsets = np.arange(len(column) + 1, dtype=np.int32) * views
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.astype(np.int64).ravel()))
+
+    return _with_fingerprints(docs, text, make, 500)
 
 
 def _forest(fps: np.ndarray, most: int) -> np.ndarray:
-    """Links of a spanning forest over different fingerprints at most `most` bits apart, within a group nearest first."""
+    """Links of a spanning forest over different fingerprints at most `most` bits apart, nearest first."""
     label, links = np.arange(len(fps)), []
-    for own in _groups(fps):
-        if (label[own] == label[own[0]]).all():
-            continue
-        for i in range(0, len(own), 512):
-            bits = np.bitwise_count(fps[own[i : i + 512], None] ^ fps[None, own])
-            for distance in range(1, most + 1):
-                a, b = np.nonzero(bits == distance)
-                a, b = own[a + i], own[b]
-                while (apart := label[a] != label[b]).any():  # one link for each two trees that it joins
-                    a, b = a[apart], b[apart]
-                    _, first = np.unique(np.stack([label[a], label[b]], 1), axis=0, return_index=True)
-                    heads = {}
-
-                    def head(x: int, heads: dict[int, int] = heads) -> int:
-                        while x in heads:
-                            x = heads[x]
-                        return x
-
-                    for k in first.tolist():
-                        x, y = head(int(label[a[k]])), head(int(label[b[k]]))
-                        if x != y:
-                            heads[max(x, y)] = min(x, y)
-                            links.append((fps[a[k]], fps[b[k]]))
-                    moved = np.arange(len(fps))
-                    for x in heads:
-                        moved[x] = head(x)
-                    label = moved[label]
+    for i in range(0, len(fps), 512):
+        bits = np.bitwise_count(fps[i : i + 512, None] ^ fps[None])
+        for distance in range(1, most + 1):
+            a, b = np.nonzero(bits == distance)
+            a = a + i
+            while (apart := label[a] != label[b]).any():  # one link for each two trees that it joins
+                a, b = a[apart], b[apart]
+                _, first = np.unique(np.stack([label[a], label[b]], 1), axis=0, return_index=True)
+                heads = {}
+
+                def head(x: int, heads: dict[int, int] = heads) -> int:
+                    while x in heads:
+                        x = heads[x]
+                    return x
+
+                for k in first.tolist():
+                    x, y = head(int(label[a[k]])), head(int(label[b[k]]))
+                    if x != y:
+                        heads[max(x, y)] = min(x, y)
+                        links.append((fps[a[k]], fps[b[k]]))
+                moved = np.arange(len(fps))
+                for x in heads:
+                    moved[x] = head(x)
+                label = moved[label]
     return np.array(links, np.uint64).reshape(-1, 2)
 
 
-def _meet(keys: np.ndarray, fps: np.ndarray, most: int, width: int) -> Iterator[np.ndarray]:
-    """Links among the fingerprints that share a key; each is given under one of its keys."""
-    order = np.lexsort((fps, keys))
-    keys, fps = keys[order], fps[order]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    sizes = np.diff(np.append(starts, len(keys)))
-    for at, n in zip(starts[sizes > RUN].tolist(), sizes[sizes > RUN].tolist()):
-        yield _forest(fps[at : at + n], most)
-    small = np.repeat(sizes, sizes) <= RUN
-    keys, fps = keys[small], fps[small]
-    mask = np.uint64((1 << width) - 1)
-    for step in range(1, int(sizes[sizes <= RUN].max(initial=1))):
-        same = np.flatnonzero(keys[step:] == keys[:-step])
-        if not len(same):
-            break
-        a, b, j = fps[same], fps[same + step], (keys[same] >> np.uint64(32)).astype(np.int64)
-        near = np.bitwise_count(a ^ b) <= most
-        a, b, j = a[near], b[near], j[near]
-        mine, before = np.zeros(len(a), bool), np.zeros(len(a), bool)
-        for s in range(-(-64 // width)):  # a link belongs to its first segment with one bit at most, and to that bit
-            segment = ((a ^ b) >> np.uint64(s * width)) & mask
-            close = np.bitwise_count(segment) <= 1
-            mine |= ~before & close & (j // width == s) & (_position(segment) == j % width)
-            before |= close
-        yield np.stack([a[mine], b[mine]], 1)
+def _near(met: DataFrame, key: list[str], most: int) -> DataFrame:
+    """(key, u, v): the pairs that share a key and are at most `most` bits apart; a pair may come under several keys."""
+    left, right = (met.select(*key, F.col("fp").alias(n)) for n in "uv")
+    return left.join(right, key).where(F.expr(f"u < v AND bit_count(u ^ v) <= {most}")).select("key", "u", "v")
+
+
+def _sized(met: DataFrame, key: list[str]) -> DataFrame:
+    return met.withColumn("n", F.count("*").over(Window.partitionBy(*key))).where("n > 1")
+
+
+def _tiled(crowded: DataFrame, key: list[str], most: int) -> DataFrame:
+    """(key, u, v): spanning forests of the links of each key, by tiles of two of its buckets each."""
+    dealt = crowded.withColumn("sides", F.ceil(F.col("n") / TILE).cast("int")).withColumn("side", F.expr("cast(pmod(xxhash64(fp), sides) AS int)"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, sides - 1)")))
+    tiles = dealt.select("fp", *key, F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
+
+    def run(tile: pa.Table) -> pa.Table:
+        u, v = _forest(np.sort(tile["fp"].to_numpy().view(np.uint64)), most).view(np.int64).T
+        own = pa.array(np.repeat(tile["key"].to_numpy()[:1], len(u)))
+        return pa.table([own, pa.array(np.ascontiguousarray(u)), pa.array(np.ascontiguousarray(v))], names=["key", "u", "v"])
+
+    return tiles.groupBy(*key, "low", "high").applyInArrow(run, "key bigint, u bigint, v bigint")
 
 
 def links(fps: DataFrame, most: int = 3) -> DataFrame:
-    """(u, v): links between different fingerprints (column `fp`) at most `most` bits apart.
+    """(view, u, v): links between different fingerprints (column `fp`) of one view, at most `most` bits apart.
 
-    Every pair is there, but for keys with more than RUN fingerprints: there a spanning forest of the links,
-    so that connected fingerprints stay connected. Nulls are left out; repeated fingerprints count once.
+    A column `view` (a small number) tells kinds of fingerprints apart; without it all are of view 0. Every
+    pair is there once, but for crowded keys: there a spanning forest of the links, so that connected
+    fingerprints stay connected. Nulls are left out; repeated fingerprints count once.
     """
-    segments = most // 2 + 1
+    segments = max(2, most // 2 + 1)
     width = 64 // segments
-    if 64 % segments:
-        raise ValueError("the number of segments, most // 2 + 1, must divide 64")
-    distinct = cut(fps.select("fp").where("fp IS NOT NULL").distinct())
-    parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 64 * distinct.count() // INDEX_ROWS)
-    variants = distinct.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("j"))
-    segment = F.expr(f"shiftrightunsigned(fp, {width} * (j div {width})) & {(1 << width) - 1}L")
-    wild = segment.bitwiseAND(F.expr(f"~shiftleft(1L, j % {width})"))
-    index = variants.select("fp", F.expr("shiftleft(cast(j AS bigint), 32)").bitwiseOR(wild).alias("key"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
-        if not held:
-            return
-        all_fps, keys = (np.concatenate(x).view(np.uint64) for x in zip(*held))
-        for found in _meet(keys, all_fps, most, width):
-            u, v = found.view(np.int64).T
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(u)), pa.array(np.ascontiguousarray(v))], names=["u", "v"])
-
-    return index.repartition(parts, "key").mapInArrow(run, "u bigint, v bigint")
+    if 64 % (4 * segments):
+        raise ValueError("the number of segments, most // 2 + 1, must divide 16")
+    quarter = width // 4
+    segment = f"(shiftrightunsigned(fp, {width} * (p div 4)) & {(1 << width) - 1}L)"
+    view = F.col("view").cast("int") if "view" in fps.columns else F.lit(0)
+    distinct = fps.select(view.alias("view"), "fp").where("fp IS NOT NULL").distinct()
+    rest = distinct.select("view", "fp", F.explode(F.expr(f"sequence(0, {4 * segments - 1})")).alias("p"))
+    rest = rest.withColumn("rest", F.expr(f"{segment} & ~shiftleft({(1 << quarter) - 1}L, {quarter} * (p % 4)) | shiftleft(cast(view * {4 * segments} + p AS bigint), 32)")).repartition("rest")
+    variants = rest.withColumn("j", F.explode(F.expr(f"sequence(0, {quarter - 1})"))).select(
+        "rest", "fp", F.expr(f"{segment} & ~shiftleft(1L, {quarter} * (p % 4) + j) | shiftleft(cast(view * 64 + p * {quarter} + j AS bigint), 32)").alias("key")
+    )
+    met = cut(_sized(variants, ["rest", "key"]).select("key", "fp", "n"))
+    found = _near(met.where(f"n <= {RUN}"), ["key"], most)
+    crowded = met.where(f"n > {RUN}")
+    kind = F.expr("cast(shiftrightunsigned(key, 38) AS int)").alias("view")
+    if crowded.isEmpty():
+        return found.select(kind, "u", "v").distinct()
+    # Of the bits outside the key's segment, most + 1 pieces, one of which two linked fingerprints have in common.
+    size = (64 - width) // (most + 1)
+    at = f"({width} * ((shiftrightunsigned(key, 32) % 64) div {width} + 1))"
+    others = F.expr(f"if({at} = 64, fp & {(1 << (64 - width)) - 1}L, shiftrightunsigned(fp, cast({at} AS int)) | shiftleft(fp, cast(64 - {at} AS int)))")
+    pieces = crowded.select("key", "fp", others.alias("others")).withColumn("piece", F.explode(F.expr(f"sequence(0, {most})")))
+    pieces = pieces.select("key", "fp", "piece", F.expr(f"shiftrightunsigned(others, {size} * piece) & {(1 << size) - 1}L").alias("part"))
+    key = ["key", "piece", "part"]
+    closer = cut(_sized(pieces, key))
+    found = found.unionByName(_near(closer.where(f"n <= {RUN}"), key, most)).unionByName(_tiled(closer.where(f"n > {RUN}"), key, most))
+    return found.select(kind, "u", "v").distinct()
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, most: int = 3) -> DataFrame:
@@ -290,12 +324,12 @@ def _complete(pairs: DataFrame, sets: DataFrame, close: DataFrame, similarity: f
 
 
 def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, most: int = 3, seeds: tuple[int, ...] = (42, 1, 2)
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, most: int = 3, views: int = 5
 ) -> DataFrame:
     """(doc_id, node, keep): for every different (id, text), whether it stays as the one of its group.
 
     Texts with the same words are one node. Candidates are nodes whose SimHash fingerprints over words,
-    weighted by the square root of their counts, are at most `most` bits apart for one of the seeds; a link
+    weighted by the square root of their counts, are at most `most` bits apart in one of the `views`; a link
     is a pair of nodes, connected by candidates, whose sets of `shingle`-word shingles have a Jaccard
     similarity of at least `similarity`, checked exactly on whole texts; no such pair is left out. (A fingerprint over the shingles themselves differs in
     about ten bits at 0.8, which is why candidates come from words.) Of each component the smallest id stays,
@@ -303,17 +337,15 @@ def near_duplicates(
     """
     given = docs.select(quoted(docs, doc_id).alias("doc_id"), quoted(docs, text).alias("text"))
     keyed = given.withColumn("node", text_key(F.col("text")))
-    marked = cut(fingerprints(keyed, shingle=1, seeds=seeds, power=0.5))
+    marked = cut(word_fingerprints(keyed, views=views))
     rank = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id")
     nodes = cut(marked.groupBy("node").agg(F.min(rank).alias("first"), F.first("fps").alias("fps")))
-    views = nodes.select("node", F.posexplode("fps").alias("view", "fp"))
-    heads = views.groupBy("view", "fp").agg(F.min("node").alias("head"))
-    pairs = views.join(heads, ["view", "fp"]).where("node != head").select(F.col("head").alias("u"), F.col("node").alias("v"))
-    for view in range(len(seeds)):
-        own = heads.where(F.col("view") == view)
-        found = links(own, most)
-        a, b = own.select(F.col("fp").alias("u"), F.col("head").alias("a")), own.select(F.col("fp").alias("v"), F.col("head").alias("b"))
-        pairs = pairs.unionByName(found.join(a, "u").join(b, "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
+    marks = nodes.select("node", F.posexplode("fps").alias("view", "fp"))
+    heads = cut(marks.groupBy("view", "fp").agg(F.min("node").alias("head")))
+    pairs = marks.join(heads, ["view", "fp"]).where("node != head").select(F.col("head").alias("u"), F.col("node").alias("v"))
+    a, b = (heads.select("view", F.col("fp").alias(n), F.col("head").alias(h)) for n, h in ("ua", "vb"))
+    met = links(heads, most).join(a, ["view", "u"]).join(b, ["view", "v"])
+    pairs = pairs.unionByName(met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
     pairs = cut(pairs.where("u != v").distinct())
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     ends = ends.join(nodes, "node").select("node", F.col("first.doc_id").alias("first_id"))
@@ -328,14 +360,15 @@ def near_duplicates(
     return every.join(chosen, same, "left").select(every.doc_id, every.node, F.coalesce("keep", F.lit(False)).alias("keep"))
 
 
-
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, one of each group; of a row that repeats, one stays."""
-    judged = near_duplicates(docs, doc_id, text, **options).where("keep").select(F.col("doc_id").alias("__id"), F.col("node").alias("__kept"))
-    marked = docs.select("*", text_key(quoted(docs, text)).alias("__node"))
-    same = quoted(marked, doc_id).eqNullSafe(judged["__id"]) & (marked["__node"] == judged["__kept"])
-    kept = marked.join(judged, same, "left_semi")
-    given = docs.select(quoted(docs, doc_id).alias("id"), text_key(quoted(docs, text)).alias("node"))
-    if not given.groupBy("id", "node").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates([doc_id, "__node"])
-    return kept.drop("__node")
+    """The rows of docs that near_duplicates keeps, one of each group; of a row that repeats, one stays.
+
+    Null and empty texts are one text; columns of any name, with dots or of the names used here, stay as they are.
+    """
+    judged = near_duplicates(docs, doc_id, text, **options).where("keep").select(F.col("doc_id").alias("id"), F.col("node").alias("kept"))
+    whole = F.struct(*[quoted(docs, c).alias(c) for c in docs.columns])
+    marked = docs.select(whole.alias("row"), quoted(docs, doc_id).alias("own"), text_key(quoted(docs, text)).alias("node"))
+    kept = marked.join(judged, F.col("own").eqNullSafe(F.col("id")) & (F.col("node") == F.col("kept")), "left_semi")
+    if not marked.groupBy("own", "node").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["own", "node"])
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
