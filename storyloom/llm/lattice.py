@@ -1,16 +1,19 @@
 """Language-model scores from a subword lattice.
 
-A word's lattice has an arc for every piece of an existing vocabulary file that stands in it, and one over
-the whole word if the training texts have it. Its probability is the sum over all paths, found by a forward
-recursion in log space; a text's is the product over its words and the end of the text.
+A word's lattice has an arc for every piece of an existing vocabulary file that stands in it. The sum over
+all paths, P_pieces(word), is found by a forward recursion in log space: the first piece begins a word, others
+follow, and a stop ends it. The pieces' scores are fixed by the file: its own scores are ranks (0, -1, -2, ...
+in the order of merging), so the piece of rank r weighs 1 / (r + 10), begin pieces and following ones (bytes
+last) each scaled to one together with the stop's share. Nothing of that is learnt from the corpus.
 
-    P(word) = (c - D) / N  if the word was seen, plus  D * V / N * P_pieces(word)
+One more arc spans a whole word that the training texts have, so that a text's probability is the product
+over its words and its end of
 
-with c the word's count, N all training tokens, V their number of kinds and D the discount. P_pieces is a
-unigram model over pieces: the first one begins a word, others follow, and a stop ends the word, so it sums
-to one over all words. A piece's score is its share among the pieces of the different training words, as the
-vocabulary's own segmentation cuts them, with the vocabulary's ranks as the prior (a share falling as
-1 / rank). Characters without a piece go through the vocabulary's byte pieces, so every word has a score.
+    P(word) = (c - D) / (N + 1) if the word was seen, plus D * V / (N + 1) * P_pieces(word)
+
+with c the word's count, N all training tokens, V their number of kinds and D the discount. Without that arc
+(whole_words=False) it is P(word) = (N + 1 - E) / (N + 1) * P_pieces(word), E being the end's count.
+Characters without a piece go through the vocabulary's byte pieces, so every word has a score.
 
 No task holds the corpus's words. Texts are dealt into blocks; a block's different words meet the corpus
 counts in one join, and come back as the block's own dictionary, whose size the block bounds.
@@ -52,8 +55,8 @@ class PieceScores:
     stop: float
 
     @staticmethod
-    def learn(path: str, begins: dict[int, int], follows: dict[int, int], words: int, prior: float = 1000.0) -> PieceScores:
-        """begins, follows: how often each piece id begins and follows in the training words; words: their number."""
+    def of_file(path: str, stop: float = 0.4) -> PieceScores:
+        """The file's scores; `stop` is the probability that no piece follows."""
         sp = _processor(path)
         first, later, byte = {}, {}, {}
         for i in range(sp.get_piece_size()):
@@ -66,17 +69,15 @@ class PieceScores:
                 elif "▁" not in piece:
                     later[piece] = i
 
-        def shares(ids: list[int], counts: dict[int, int], extra: int) -> tuple[dict[int, float], float]:
-            weight = {i: 1 / (rank + 10) for rank, i in enumerate(ids)}
-            scale = prior / (sum(weight.values()) + (0.1 if extra >= 0 else 0))
-            own = {i: counts.get(i, 0) + scale * w for i, w in weight.items()}
-            stop = extra + scale * 0.1 if extra >= 0 else 0
-            total = sum(own.values()) + stop
-            return {i: math.log(n / total) for i, n in own.items()}, math.log(stop / total) if stop else -math.inf
+        def shares(pieces: list[int], mass: float) -> dict[int, float]:
+            by_rank = sorted(pieces, key=lambda i: (i in bytes_, -sp.get_score(i), i))
+            weight = {i: 1 / (rank + 10) for rank, i in enumerate(by_rank)}
+            total = sum(weight.values()) / mass
+            return {i: math.log(w / total) for i, w in weight.items()}
 
-        begin, _ = shares(list(first.values()), begins, -1)
-        follow, stop = shares([*later.values(), *byte.values()], follows, words)
-        return PieceScores({p: begin[i] for p, i in first.items()}, {p: follow[i] for p, i in later.items()}, [follow[byte[b]] for b in range(256)], stop)
+        bytes_ = set(byte.values())
+        begin, follow = shares(list(first.values()), 1.0), shares([*later.values(), *bytes_], 1 - stop)
+        return PieceScores({p: begin[i] for p, i in first.items()}, {p: follow[i] for p, i in later.items()}, [follow[byte[b]] for b in range(256)], math.log(stop))
 
     def forward(self, word: str) -> float:
         """Natural logarithm of the word's probability over all segmentations."""
@@ -125,35 +126,19 @@ def block_words(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("block").applyInArrow(run, "block bigint, word binary, n bigint")
 
 
-def piece_counts(words: DataFrame, path: str) -> DataFrame:
-    """(piece, begins, n): how often pieces begin and follow in the given words, as the vocabulary's file cuts them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = _processor(path)
-        found = np.zeros((2, sp.get_piece_size()), np.int64)
-        for batch in rows(batches, 10_000):
-            cut_words = [x for x in sp.encode([w.decode() for w in batch.column(0).to_pylist()], num_threads=1) if x]
-            found[0] += np.bincount([x[0] for x in cut_words], minlength=found.shape[1])
-            found[1] += np.bincount([i for x in cut_words for i in x[1:]], minlength=found.shape[1]).astype(np.int64)
-        kind, piece = np.nonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(kind == 0), pa.array(found[kind, piece])], names=["piece", "begins", "n"])
-
-    return words.select("word").mapInArrow(run, "piece bigint, begins boolean, n bigint").groupBy("piece", "begins").agg(F.sum("n").alias("n"))
-
-
-def _word_scores(totals: DataFrame, scores: PieceScores, n: int, v: int, discount: float) -> DataFrame:
+def _word_scores(totals: DataFrame, scores: PieceScores, n: int, v: int, ends: int, discount: float, whole_words: bool) -> DataFrame:
     """(word, c, base, lp): each word's count and its log10 probabilities in the base and in the lattice model."""
-    unseen = math.log(discount * (v + (n == 0)) / (n + 1))
+    unseen = math.log(discount * (v + (n == 0)) / (n + 1)) if whole_words else math.log((n + 1 - ends) / (n + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches, 10_000):
             words, counts, found = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
             for word, c in zip(words, counts):
                 if word == END:
-                    found.append(math.log((c + 1 - discount) / (n + 1)))
+                    found.append(math.log((c + 1 - discount) / (n + 1)) if whole_words else math.log((ends or 1) / (n + 1)))
                     continue
                 p = unseen + scores.forward(word.decode())
-                if c:
+                if c and whole_words:
                     whole = math.log((c - discount) / (n + 1))
                     p = max(p, whole) + math.log1p(math.exp(-abs(p - whole)))
                 found.append(p)
@@ -178,14 +163,16 @@ def _sum_up(kinds: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return run
 
 
-def score(docs: DataFrame, held_out: Column, vocabulary: str, doc_id: str = "doc_id", text: str = "text", discount: float = 0.5, block_bytes: int = 32 << 20) -> DataFrame:
+def score(
+    docs: DataFrame, held_out: Column, vocabulary: str, doc_id: str = "doc_id", text: str = "text", discount: float = 0.5, stop: float = 0.4, whole_words: bool = True, block_bytes: int = 32 << 20
+) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), scores as log10 probabilities.
 
     Learns from the rows where `held_out` is false and scores every row on its own, repeats included.
     Tokens: the words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, then the end of the text; a null text is an
     empty one. base_score is the unigram model with 0.1 added to each count and one unknown kind. Without
-    training rows all words are unknown (base_score 0 for each token). An empty table gives no rows. Texts
-    are read whole, words of any length included.
+    training rows all words are unknown (base_score 0 for each token). An empty table gives no rows. Further
+    columns, whatever their names, are not looked at. Texts are read whole, words of any length included.
     """
     given = docs.select(quoted(docs, doc_id).alias("doc_id"), quoted(docs, text).alias("text"), held_out.alias("held_out"))
     amount = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -193,11 +180,9 @@ def score(docs: DataFrame, held_out: Column, vocabulary: str, doc_id: str = "doc
     keyed = given.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"))
     found = cut(block_words(keyed))
     totals = cut(found.groupBy("word").agg(F.sum("n").alias("c")))
-    n, v = totals.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    counts = piece_counts(totals.where((F.col("c") > 0) & (F.octet_length("word") > 0)), vocabulary).collect()  # at most two for each piece
-    begins, follows = ({r.piece: r.n for r in counts if r.begins == b} for b in (True, False))
-    scores = PieceScores.learn(vocabulary, begins, follows, sum(begins.values()))
-    scored = _word_scores(totals, scores, n, v, discount)
+    ended = F.sum(F.when(F.octet_length("word") == 0, F.col("c")))
+    n, v, ends = totals.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(ended, F.lit(0))).first()
+    scored = _word_scores(totals, PieceScores.of_file(vocabulary, stop), n, v, ends, discount, whole_words)
     dictionaries = found.select("block", "word").join(scored, "word").select("block", "word", "c", "base", "lp")
     kinds = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
     schema = keyed.select("doc_id", "held_out").schema
