@@ -7,8 +7,8 @@ kernel ridge regression fits one language against the rest. As the landmarks' se
 fixed after that, they are multiplied into one matrix (buckets x languages), and texts are scored in batches
 by a product with it.
 
-The model is fitted on a bounded sample of labelled rows (`sample`, dealt evenly over the languages and
-taken by a hash), which is a parameter; every row is scored, on its whole text.
+The model is fitted on a bounded sample of different labelled texts (`sample`, dealt evenly over the
+languages and taken by a hash), which is a parameter; every row is scored, on its whole text.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.llm._common import quoted, rows, texts
@@ -102,25 +102,25 @@ class Model:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = 2000, landmarks: int = 256, ridge: float = 0.1) -> Model:
-    """A model from the rows with a language: about `sample` of them, evenly over the languages, by a hash.
+    """A model from at most `sample` different texts with a language, dealt evenly over the languages.
 
-    Only the sample's bucket numbers come to the driver, not its texts. Without labelled rows the model
-    knows no language.
+    Texts are ranked within their language by a hash, copies counting once, and the lowest ranks over all
+    languages are taken; so of more than `sample` languages only so many are learnt. Only the sample's bucket
+    numbers come to the driver, not its texts. Null texts and languages are left out; without labelled rows
+    the model knows no language. Other columns, whatever their names, are not looked at.
     """
     given = labelled.select(quoted(labelled, text).alias("text"), quoted(labelled, lang).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r.lang: r["count"] for r in given.groupBy("lang").count().collect()}
-    if not counts:
-        return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32))
-    share = sample / len(counts)
-    limits = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, share / n))])
-    drawn = given.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) / F.lit(1 << 30) < F.element_at(limits, F.col("lang")))
+    given = given.withColumn("h", F.xxhash64("text", F.lit(11)))
+    ranked = given.select("lang", "h").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    lowest = ranked.where(F.col("rank") <= sample).orderBy("rank", "lang").limit(sample).select("lang", "h")
+    drawn = given.join(F.broadcast(lowest), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))  # `sample` rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches, 500):
             sets = [np.flatnonzero(presence(t)).astype("<i4").tobytes() for t in texts(batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sets, pa.binary())], names=["lang", "buckets"])
 
-    held = sorted((r.lang, bytes(r.buckets)) for r in drawn.mapInArrow(run, "lang string, buckets binary").collect())
+    held = sorted((r.lang, bytes(r.buckets)) for r in drawn.select("text", "lang").mapInArrow(run, "lang string, buckets binary").collect())
     return Model.fit([np.frombuffer(b, "<i4") for _, b in held], [name for name, _ in held], landmarks, ridge)
 
 
