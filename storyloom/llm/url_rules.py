@@ -8,8 +8,9 @@ of rules active from there on is known (the rule's own host and its enclosing on
 the last boundary's stack gives every url its active rules. Of those whose path is a prefix of the url's
 path, the longest wins.
 
-Sweeps run in lanes: urls are dealt by a hash of the row, whatever their host, and each lane gets all
-boundaries, so a host with a third of all urls is no hot spot.
+Sweeps run in lanes, as many as shuffle partitions or more: urls are dealt by a hash of all the row's columns,
+whatever their host, so a host with a third of all urls is no hot spot. Each lane gets all boundaries (two for
+each rule's host), so rules are copied lanes times: meant for lists of rules far shorter than a lane.
 """
 
 from __future__ import annotations
@@ -77,10 +78,10 @@ def judge_urls(
     compared as they stand, so a port belongs to the host.
     """
     added = ("host", "path", "rule", "verdict")
-    lanes = max(1, -(-pages.count() // rows_per_lane))
+    lanes = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pages.count() // rows_per_lane))
     u = quoted(pages, url).cast("string")
     rows = pages.select(F.struct(*[quoted(pages, c).alias(c) for c in pages.columns]).alias("row"), url_host(u).alias("host"), url_path(u).alias("path"), u.alias("u"))
-    lane = F.pmod(F.xxhash64("u", F.monotonically_increasing_id()), F.lit(lanes)).alias("lane")
+    lane = F.pmod(F.xxhash64("row"), F.lit(lanes)).alias("lane")
     keyed = rows.select(lane, F.when(F.col("host") == "", F.lit("")).otherwise(reversed_key(F.col("host"))).alias("at"), "row", "host", "path")
     bounds = _boundaries(rules.select("rule_host", "rule_path", "action"))
     bounds = bounds.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).select(F.col("lane").cast("long"), "at", "stack")
