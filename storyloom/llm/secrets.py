@@ -2,7 +2,7 @@
 
 Candidates are found in every text: assignments, access keys and long hexadecimal runs (the base kinds), and
 other long mixed runs of letters and digits. Their hashes are aggregated over the whole corpus by distinct
-repositories and owners. A value that many owners have is a widely copied example; one that a single owner
+repositories and owners. A value that many owners have, or many repositories of several owners, is a widely copied example; one that a single owner
 has and that looks random is a live credential, and then its bare places count as spans of their own (kind
 `owned`) even where no base kind fits.
 
@@ -12,6 +12,8 @@ of what stands between them and of the matches add up to each match's start, in
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,20 +38,45 @@ def _found(text: Column, kind: str, pattern: str, group: int, least: int) -> Col
         prefix = len(pattern.split("[")[0])
         pattern = f"{pattern[:-1]}{{{least - prefix},}}"
     p = F.lit(pattern)
-    parts = F.transform(F.split(text, pattern, -1), F.char_length)
-    whole = F.regexp_extract_all(text, p, F.lit(0))
-    values = F.regexp_extract_all(text, p, F.lit(group)) if group else whole
-    sizes = F.transform(whole, F.char_length)
+    cut_out = F.regexp_extract_all(text, p, F.lit(0))
+    given = F.struct(
+        F.transform(F.split(text, pattern, -1), F.char_length).alias("parts"),
+        F.transform(cut_out, F.char_length).alias("sizes"),
+        (F.regexp_extract_all(text, p, F.lit(group)) if group else cut_out).alias("values"),
+    )
+
+    def spans(g: Column, steps: Column, before: Column) -> Column:
+        def span(size: Column, i: Column) -> Column:
+            at = F.floor(i / BLOCK).cast("int")
+            start = F.get(before, at) + _total(F.slice(steps, at * BLOCK + 1, i - at * BLOCK + 1))
+            return F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (start + size).alias("end"), F.get(g["values"], i).alias("value"))
+
+        return F.filter(F.transform(g["sizes"], span), lambda s: F.char_length(s["value"]) >= least)
+
+    def with_steps(g: Column) -> Column:
+        # From one match's start to the next: the match and what stands between them.
+        return F.transform(g["sizes"], lambda size, i: F.get(g["parts"], i) + F.coalesce(F.get(g["sizes"], i - 1), F.lit(0)))
+
+    def with_blocks(steps: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor(F.size(steps) / BLOCK).cast("int"))
+        totals = F.transform(blocks, lambda k: _total(F.slice(steps, k * BLOCK + 1, F.lit(BLOCK))))
+        return _let(totals, lambda t: F.transform(t, lambda _, k: _total(F.slice(t, F.lit(1), k))))
+
+    made = _let(given, lambda g: _let(with_steps(g), lambda steps: _let(with_blocks(steps), lambda before: spans(g, steps, before))))
+    return F.when(F.regexp_like(text, p), made).otherwise(F.expr(_EMPTY))
+
 
-    def span(size: Column, i: Column) -> Column:
-        def total(a: Column, n: Column) -> Column:
-            return F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda x, y: x + y)
+#: Starts are sums over blocks of so many matches and within one, so a text of very many matches isn't quadratic.
+BLOCK = 256
 
-        start = total(parts, i + 1) + total(sizes, i)
-        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (start + size).alias("end"), F.get(values, i).alias("value"))
 
-    spans = F.filter(F.transform(sizes, span), lambda s: F.char_length(s["value"]) >= least)
-    return F.when(F.regexp_like(text, p), spans).otherwise(F.expr(_EMPTY))
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda x, y: x + y)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once, however often the body has it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 _EMPTY = "cast(array() AS array<struct<start:int,rank:int,kind:string,end:int,value:string>>)"
@@ -65,10 +92,11 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: Col
 
     spans: an array, in order of start and kind, of (start, rank, kind, end, owners, repositories, verdict);
     start and end count code points, end exclusive. owners and repositories say in how many different ones
-    the value stands; the verdict is `copied` from `copied` owners on, `live` for one owner's value that
-    looks random, else `shared`. Base kinds always stay; a bare run is a span of kind `owned` only if it
+    the value stands; the verdict is `copied` from `copied` owners on, or `copied` repositories of several
+    owners, `live` for one owner's value that looks random, else `shared`. Base kinds always stay; a bare run is a span of kind `owned` only if it
     overlaps none of them and its verdict is live. A null text is empty, a null owner or repository is one
-    of its own; repeated rows get a row each; an empty table gives no rows. Texts are read whole.
+    of its own; repeated rows get a row each; an empty table gives no rows. Further columns, whatever their
+    names, are not looked at. Texts are read whole.
     """
     owner = F.lit(None).cast("string") if owner is None else owner
     repository = owner if repository is None else repository
@@ -85,7 +113,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: Col
     # First the distinct owners and repositories of each value, so that a value in a third of all rows is few rows.
     places = spans.select("hash", "owner", "repository").distinct()
     stats = places.groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repository").alias("repositories"))
-    verdict = F.when(F.col("owners") >= copied, "copied").when((F.col("owners") == 1) & _looks_live(F.col("s.value")), "live").otherwise("shared")
+    widely = (F.col("owners") >= copied) | ((F.col("owners") > 1) & (F.col("repositories") >= copied))
+    verdict = F.when(widely, "copied").when((F.col("owners") == 1) & _looks_live(F.col("s.value")), "live").otherwise("shared")
     judged = spans.join(stats, "hash").withColumn("verdict", verdict).where((F.col("s.kind") != OWNED) | (F.col("verdict") == "live"))
     full = F.struct(*[F.col(f"s.{c}").alias(c) for c in ("start", "rank", "kind", "end")], "owners", "repositories", "verdict")
     by_row = judged.groupBy("row").agg(F.array_sort(F.collect_list(full)).alias("spans"))
@@ -98,6 +127,11 @@ def digest(spans: Column | str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def judged(spans: Column | str) -> Column:
+    """kind:start:end:owners:repositories:verdict of the spans, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", *[s[c] for c in ("kind", "start", "end", "owners", "repositories", "verdict")])), ",")
+
+
 def redact(text: Column, spans: str) -> Column:
     """The text with its spans replaced: by [EXAMPLE] where all values of a stretch are copied ones, else by [SECRET]."""
     stretch = "array<struct<start:int,end:int,example:boolean>>"
@@ -120,11 +154,13 @@ def redact(text: Column, spans: str) -> Column:
 
 
 def redact_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with every span of scan() replaced in its text; rows without spans, null texts among them, stay as they are."""
+    """docs with every span of scan() replaced in its text; rows without spans, null texts among them, stay as they are.
+
+    Repeated rows stay repeated; columns of any name, with dots or of the names used here, stay as they are.
+    """
     found = scan(docs, doc_id, text, **options).where(F.size("spans") > 0).dropDuplicates(["doc_id", "print"])
-    found = found.select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"), F.col("spans").alias("__spans"))
-    body = quoted(docs, text)
-    same = quoted(docs, doc_id).eqNullSafe(found["__id"]) & (F.xxhash64(F.coalesce(body, F.lit(""))) == found["__print"])
-    joined = docs.join(found, same, "left")
-    new = F.when(F.col("__spans").isNull(), body).otherwise(redact(body, "__spans"))
-    return joined.select(*[new.alias(c) if c == text else quoted(docs, c) for c in docs.columns])
+    others = F.struct(F.lit(0).alias("none of them"), *[quoted(docs, c).alias(c) for c in docs.columns if c != text])
+    given = docs.select(others.alias("row"), quoted(docs, text).alias("body"), quoted(docs, doc_id).alias("own"), F.xxhash64(F.coalesce(quoted(docs, text), F.lit(""))).alias("mark"))
+    joined = given.join(found, F.col("own").eqNullSafe(F.col("doc_id")) & (F.col("mark") == F.col("print")), "left")
+    new = F.when(F.col("spans").isNull(), F.col("body")).otherwise(redact(F.col("body"), "spans"))
+    return joined.select(*[(new if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns])
