@@ -36,10 +36,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); one of our own only where none is set, as in tests."""
+    """The folder that the cluster shares: spark.checkpoint.dir, or what setCheckpointDir was given."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and sc.master.startswith("local"):  # one machine, as in tests: any folder is shared
+            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        if folder is None:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 

@@ -108,11 +108,12 @@ QUERIES["op1_lattice_scores"] = op1_lattice_scores
 
 
 def op7_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+    out = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10, slop=1)
     return out.select(
         "doc_id",
         "n_words",
         "n_hit",
+        "n_near",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
@@ -131,11 +132,21 @@ sizes AS (SELECT DISTINCT k FROM win),
 g AS (SELECT row, i, k, array_to_string(w[i + 1 : i + k], ' ') AS phrase
   FROM d, sizes, LATERAL (SELECT unnest(range(greatest(len(w) - k + 1, 0))) AS i)),
 m AS (SELECT row, i, win.k, item FROM g JOIN win USING (phrase, k)),
+e AS MATERIALIZED (SELECT DISTINCT row, i, phrase FROM g JOIN win USING (phrase, k)),
 h AS (SELECT row, count(DISTINCT place) AS n_hit FROM (SELECT row, unnest(range(i, i + k)) AS place FROM (SELECT DISTINCT row, i, k FROM m)) GROUP BY 1),
-i AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item FROM m) GROUP BY 1)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+i AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item FROM m) GROUP BY 1),
+pos AS (SELECT row, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
+cnt AS (SELECT word, count(*) AS n FROM pos GROUP BY 1),
+pw AS (SELECT phrase, string_split(phrase, ' ') AS ws FROM (SELECT DISTINCT phrase FROM win)),
+pt AS (SELECT phrase, unnest(ws) AS word, unnest(range(len(ws))) AS o FROM pw),
+rare AS (SELECT phrase, arg_min(struct_pack(word := word, o := o), coalesce(n, 0)) AS r FROM pt LEFT JOIN cnt USING (word) GROUP BY 1),
+near AS (SELECT DISTINCT row, phrase, p - r.o + unnest([-1, 0, 1]) AS s FROM rare JOIN pos ON pos.word = r.word),
+n AS (SELECT row, count(DISTINCT s) AS n_near FROM near JOIN d USING (row) JOIN pw USING (phrase)
+  WHERE s >= 0 AND len(list_filter(range(len(ws)), lambda o: list_contains(w[greatest(s + o, 1) : s + o + 2], ws[o + 1]))) = len(ws)
+    AND NOT EXISTS (SELECT 1 FROM e WHERE e.row = near.row AND e.phrase = near.phrase AND abs(e.i - near.s) <= 1) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_near, 0)::BIGINT AS n_near, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (row) LEFT JOIN i USING (row)"""
+FROM d LEFT JOIN h USING (row) LEFT JOIN i USING (row) LEFT JOIN n USING (row)"""
 
 # ---------------------------------------------------------------- op9
 
@@ -159,7 +170,7 @@ def op10_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op10_license_join"] = op10_license_join
 _PHRASES = ", ".join(f"('{p}', '{label}')" for p, label in licenses.PHRASES.items())
-_TEMPLATES = ", ".join(f"({k}, '{label}', '{body}')" for k, (label, body) in enumerate(licenses.TEMPLATES))
+_TEMPLATES = ", ".join(f"({k}, {unit}, '{label}', '{body}')" for k, (unit, (label, body)) in enumerate([(0, t) for t in licenses.STATEMENTS] + [(1, t) for t in licenses.NOTICES]))
 ORACLES["op10_license_join"] = f"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, text, {WORDS} AS w FROM documents),
 phrases(phrase, label) AS (VALUES {_PHRASES}),
@@ -167,10 +178,13 @@ p AS (SELECT string_split(phrase, ' ') AS parts, label FROM phrases),
 hits AS (SELECT row, i, label FROM d, p, LATERAL (SELECT unnest(range(greatest(len(w) - len(parts) + 1, 0))) AS i)
   WHERE w[i + 1] = parts[1] AND w[i + 1 : i + len(parts)] = parts),
 b AS (SELECT row, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS own FROM hits GROUP BY 1),
-templates(id, label, text) AS (VALUES {_TEMPLATES}),
-t AS (SELECT id, label, list_distinct({WORDS}) AS tw FROM templates),
-blocks AS (SELECT DISTINCT row, list_distinct({WORDS}) AS bw FROM (SELECT row, unnest(string_split(coalesce(text, ''), chr(10))) AS text FROM d)),
-m AS (SELECT row, label, len(list_intersect(bw, tw)) / len(tw)::DOUBLE AS share FROM blocks, t
+templates(id, unit, label, text) AS (VALUES {_TEMPLATES}),
+t AS (SELECT id, unit, label, list_distinct({WORDS}) AS tw FROM templates),
+plain AS (SELECT row, regexp_replace(coalesce(text, ''), '[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]', ' ', 'g') AS text FROM d),
+blocks AS (SELECT DISTINCT row, unit, list_distinct({WORDS}) AS bw FROM (
+  SELECT row, 0 AS unit, unnest(string_split(text, chr(10))) AS text FROM plain UNION ALL
+  SELECT row, 1 AS unit, unnest(string_split_regex(text, '\n *\n[ \n]*')) AS text FROM plain)),
+m AS (SELECT row, label, len(list_intersect(bw, tw)) / len(tw)::DOUBLE AS share FROM blocks JOIN t USING (unit)
   WHERE len(list_intersect(bw, tw)) >= greatest(1, ceil(0.8 * len(tw) - 1e-9))),
 s AS (SELECT row, list(DISTINCT label) AS found, max(share) AS share FROM m GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
@@ -187,7 +201,7 @@ def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(docs, owner=F.col("source"), repository=F.concat_ws("/", "source", "lang"))
     base = F.filter("spans", lambda s: s["kind"] != secrets.OWNED)
     counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k, *_ in secrets.KINDS]
-    return found.select("doc_id", *counts, F.sha2(secrets.digest(base), 256).alias("base_sha256"), secrets.digest("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(secrets.digest(base), 256).alias("base_sha256"), secrets.digest("spans").alias("spans"), secrets.judged("spans").alias("judged"))
 
 
 QUERIES["op2_secret_ownership"] = op2_secret_ownership
@@ -213,13 +227,18 @@ base AS ({" UNION ALL ".join([_spans_sql("assign", 0, _ASSIGN, "vs[i]", 6), _spa
 bare AS (SELECT * FROM ({_spans_sql("owned", 3, "[A-Za-z0-9_-]{20,}", "ms[i]", 20)}) b
   WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= 10
     AND NOT EXISTS (SELECT 1 FROM base WHERE base.row = b.row AND base.start < b.stop AND b.start < base.stop)),
-own AS (SELECT v, count(DISTINCT owner) AS owners FROM (SELECT v, owner FROM base UNION ALL SELECT v, owner FROM bare) GROUP BY 1),
-spans AS (SELECT row, rank, kind, start, stop FROM base UNION ALL SELECT row, rank, kind, start, stop FROM bare JOIN own USING (v) WHERE owners = 1),
+own AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT repository) AS repositories,
+    CASE WHEN owners >= 3 OR (owners > 1 AND repositories >= 3) THEN 'copied' WHEN owners = 1 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
+      AND len(list_distinct(string_split(v, ''))) >= 10 THEN 'live' ELSE 'shared' END AS verdict
+  FROM (SELECT v, owner, repository FROM base UNION ALL SELECT v, owner, repository FROM bare) GROUP BY 1),
+spans AS (SELECT row, rank, kind, start, stop, owners, repositories, verdict FROM (FROM base UNION ALL BY NAME FROM bare) JOIN own USING (v)
+  WHERE kind != 'owned' OR verdict = 'live'),
 s AS (SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
     string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, rank) FILTER (kind != 'owned') AS own,
-    string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, rank) AS spans FROM spans GROUP BY 1)
+    string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, rank) AS spans,
+    string_agg(concat_ws(':', kind, start, stop, owners, repositories, verdict), ',' ORDER BY start, rank) AS judged FROM spans GROUP BY 1)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-  sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans
+  sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(judged, '') AS judged
 FROM d LEFT JOIN s USING (row)"""
 
 # ---------------------------------------------------------------- op6
@@ -227,7 +246,7 @@ FROM d LEFT JOIN s USING (row)"""
 
 def op6_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return multi_index.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5, share=0.5)
+    return multi_index.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5, share=0.35)
 
 
 QUERIES["op6_inverted_multi_index"] = op6_inverted_multi_index
