@@ -2,12 +2,14 @@
 
 import math
 import random
+import textwrap
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.dataset as ds
 import pytest
 import xxhash
@@ -76,7 +78,7 @@ def plain_forward(scores, word):
 
 
 def test_forward_is_the_sum_of_all_segmentations():
-    scores = lattice.PieceScores.learn(PIECES, {}, {}, 0)
+    scores = lattice.PieceScores.of_file(PIECES)
     for word in ("a", "the", "tion", "éà", "中文", "▁x", "unseen-word"):
         assert scores.forward(word) == pytest.approx(plain_forward(scores, word))
     assert sum(math.exp(x) for x in scores.begin.values()) == pytest.approx(1)
@@ -89,11 +91,20 @@ def test_lattice_scores(spark, sf, texts):
     counts = Counter(w for i, t, _ in texts if not held[i] for w in [*words(t), b""])
     n, v = sum(counts.values()), len(counts)
     assert len(got) == len(texts)
+    scores, spelt = lattice.PieceScores.of_file(PIECES), {}
     for i, text, _ in texts:
         own, row = [*words(text), b""], got[i]
         assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens) == (held[i], len(own), sum(counts[w] > 0 for w in own), n)
         assert row.base_score == pytest.approx(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own))
-        assert row.score < 0
+        p = 0.0
+        for w in own:
+            if w == b"":
+                p += math.log10((counts[w] + 0.5) / (n + 1))
+                continue
+            if w not in spelt:
+                spelt[w] = math.exp(plain_forward(scores, w.decode()))
+            p += math.log10(max(counts[w] - 0.5, 0) / (n + 1) + 0.5 * v / (n + 1) * spelt[w])
+        assert row.score == pytest.approx(p, rel=1e-9)
 
 
 def test_lattice_on_awkward_rows(docs, none):
@@ -180,7 +191,8 @@ def test_word_encoder_is_the_tokenizer():
     parts = ["a", "B", "É", "'s", "'LL", "<|endoftext|>", "<|STARTOFTEXT|>", "!", ".", ")", "…", "1", " ", "\n", "\x0b", "\x85", "\xa0", "\x1c", "\x01", "İ", "Σ", "tion", "K", "中", "🙂", "́", "#"]
     for _ in range(3000):
         text = "".join(draw.choices(parts, k=draw.randint(0, 12)))
-        assert next(encoder.encode([text.encode()])) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids, ends = encoder.encode(pa.array([None, text, text]))
+        assert ends.tolist() == [0, len(ids) // 2, len(ids)] and ids[: len(ids) // 2].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -272,7 +284,45 @@ def test_a_crowded_key_keeps_components(spark):
     assert len(roots) == 1 and nodes == len(fps) - 1 and links.count() < len(fps) ** 2 / 8
 
 
-def test_forest_splits_large_groups():
+def test_tiles_keep_components(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "RUN", 4)
+    monkeypatch.setattr(simhash, "TILE", 16)
+    draw = random.Random(8)
+    fps = {0}
+    while len(fps) < 400:
+        fps.add(draw.choice(sorted(fps)) ^ sum(1 << b for b in draw.sample(range(64), draw.randint(1, 4))))
+    fps = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    links = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()
+    near = [(a, b) for b in range(400) for a in range(b) if ((fps[a] ^ fps[b]) & (2**64 - 1)).bit_count() <= 3]
+    at = {f: k for k, f in enumerate(fps)}
+    assert {(min(at[r.u], at[r.v]), max(at[r.u], at[r.v])) for r in links} <= set(near)
+    assert _groups(400, [(at[r.u], at[r.v]) for r in links]) == _groups(400, near)
+
+
+def test_word_fingerprints_find_near_copies(spark, texts):
+    """At least nine in ten pairs with a shingle similarity just above 0.8 are candidates."""
+    draw = random.Random(6)
+    bodies = [w for _, t, _ in texts if 60 <= len(w := (t or "").lower().split()) <= 2000][:80]
+    spare = [w for b in bodies for w in b]
+    rows, near = [], []
+
+    def grams(w):
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    for k, body in enumerate(bodies):
+        for edits in range(len(body) // 40 + 2, 0, -1):
+            other = body[:]
+            for at in draw.sample(range(len(body)), edits):
+                other[at] = draw.choice(spare)
+            if len(grams(body) & grams(other)) >= 0.8 * len(grams(body) | grams(other)):
+                rows += [(2 * k, " ".join(body)), (2 * k + 1, " ".join(other))]
+                break
+    fps = {r.doc_id: r.fps for r in simhash.word_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = [any(((x ^ y) & (2**64 - 1)).bit_count() <= 3 for x, y in zip(fps[i], fps[i + 1])) for i, _ in rows[::2]]
+    assert len(near) > 40 and sum(near) >= 0.9 * len(near)
+
+
+def test_forest_of_a_large_group():
     fps = np.arange(1 << 13, dtype=np.uint64)  # each is one bit from another, so all are connected
     links = simhash._forest(fps, 3)
     parent = {int(f): int(f) for f in fps}
@@ -336,13 +386,13 @@ def test_near_duplicates_around_one_original(spark):
         copies.append(own)
     copies.insert(200, body)  # copies are alike to the original only: about 0.84, and 0.71 to one another
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in copies]
-    fps = [[simhash.fingerprint([x.encode() for x in w], 1, seed, 0.5) & (2**64 - 1) for seed in (42, 1, 2)] for w in copies]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(copies)], "doc_id long, text string")
+    fps = [[f & (2**64 - 1) for f in r.fps] for r in simhash.word_fingerprints(df).orderBy("doc_id").collect()]
     pairs = [(a, b) for b in range(len(copies)) for a in range(b)]
     candidates = [(a, b) for a, b in pairs if any((x ^ y).bit_count() <= 3 for x, y in zip(fps[a], fps[b]))]
     alike = {(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     classes = _groups(len(copies), candidates)
     want = _groups(len(copies), [(a, b) for a, b in alike if classes[a] == classes[b]])
-    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(copies)], "doc_id long, text string")
     assert {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == set(want)
     assert len(set(want)) < 150
 
@@ -390,7 +440,7 @@ def test_index_with_forced_cells_blocks_and_copies(spark):
     rows += [(1000 + i, [1.0] + [0.0] * 7) for i in range(300)]
     rows += [(2000, None), (2050, [0.0] * 8), (2100, [1.0, None] + [0.0] * 6), (2150, [float("nan")] * 8), (2200, [float("inf")] * 8), (2250, [1.0, 2.0]), (None, [0.5] * 8), (1000, [1.0] + [0.0] * 7)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = multi_index.nearest(df, df.where("vec_id % 50 = 0"), share=0.6, least=10, centroids=8, sample=200, block_rows=50, block_queries=7).toPandas()
+    got = multi_index.nearest(df, df.where("vec_id % 50 = 0"), share=0.6, centroids=8, sample=200, block_rows=50, block_queries=7).toPandas()
     assert set(got.query_id) == set(range(0, 900, 50)) | set(range(1000, 1300, 50))
     assert got.groupby("query_id").size().eq(5).all()
     hot = got[got.query_id == 1000].sort_values("rank")
@@ -402,12 +452,37 @@ def test_index_with_forced_cells_blocks_and_copies(spark):
 
 
 def test_cells_are_visited_by_summed_distance():
-    cells = multi_index.Cells((np.zeros((4, 1)), np.zeros((5, 1))), np.ones(20, int), None, None)
     draw = np.random.default_rng(1)
-    a, b = draw.random(4), draw.random(5)
-    order = cells.visit(a, b, 99)
-    sums = [a[c // 5] + b[c % 5] for c in order]
-    assert sorted(order) == list(range(20)) and sums == sorted(sums)
+    cells = multi_index.Cells((draw.random((4, 1)), draw.random((5, 1))), *[np.zeros(0, int)] * 3)
+    cells.lay_out({c: int(draw.integers(1, 9)) for c in range(20) if c != 7}, 10)
+    for wanted in (1, 20, 60, 10_000):
+        a, b = draw.random(4), draw.random(5)
+        reach = cells.reach(a, b, wanted)
+        sums = np.array([a[c // 5] + b[c % 5] for c in range(20)])
+        inside, nearer = cells.counts[sums <= reach].sum(), cells.counts[sums < reach].sum()
+        assert nearer < wanted <= inside or wanted == 10_000 and reach == sums.max()
+        assert (cells.visited(a[None], b[None], np.array([reach]), np.arange(20))[0] == (sums <= reach)).all()
+
+
+def test_recall_where_the_index_prunes(spark, tmp_path):
+    draw = np.random.default_rng(2)
+    vectors = draw.normal(size=(20_000, 64))
+    table = pa.table([pa.array(np.arange(20_000)), pa.array(vectors.tolist()), pa.array(["x"] * 20_000)], names=["vec_id", "embedding", "cell"])
+    df = spark.createDataFrame(table)
+    got = multi_index.nearest(df, df.where("vec_id % 50 = 0"), block_rows=3000).toPandas()
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    near = unit[::50] @ unit.T
+    near[np.arange(400), np.arange(0, 20_000, 50)] = -9
+    best, hit = np.argsort(-near, 1)[:, :5], 0
+    for k, (_, own) in enumerate(got.sort_values("query_id").groupby("query_id")):
+        hit += len(set(best[k]) & set(own.vec_id))
+    assert hit / 2000 >= 0.9
+    half = multi_index.Cells((multi_index.kmeans(unit[:5000, :32], 128), multi_index.kmeans(unit[:5000, 32:], 128)), *[np.zeros(0, int)] * 3)
+    own = half.assign(unit)
+    half.lay_out(dict(zip(*(x.tolist() for x in np.unique(own, return_counts=True)))), 3000)
+    a, b = half.split(unit[:200])
+    seen = half.visited(a, b, np.array([half.reach(x, y, 7000) for x, y in zip(a, b)]), own)
+    assert seen.mean() < 0.36  # of all pairs
 
 
 # ---------------------------------------------------------------- 7: decontamination
@@ -486,4 +561,24 @@ def test_licenses_on_awkward_rows(spark, docs, none):
     got = {r.doc_id: r for r in licenses.scan(df).collect()}
     assert (got[1].n_base, got[1].first_word, got[1].last_word, got[1]["labels"]) == (3, 4, 20, ["mit"])
     assert got[2].base_labels == ["apache"] and got[3].score == 0
-    assert licenses.scan(df, templates=[], phrases={}).where("score > 0").count() == 0
+    assert licenses.scan(df, statements=[], notices=[], phrases={}).where("score > 0").count() == 0
+
+
+def test_wrapped_notices_are_found(spark):
+    mit = next(body for label, body in licenses.NOTICES if label == "mit")
+    bsd = next(body for label, body in licenses.NOTICES if label == "bsd")
+
+    def wrapped(body, mark=""):
+        return "\n".join(mark + line for line in textwrap.wrap(body, 60))
+
+    rows = [
+        (1, "Copyright someone\n\n" + wrapped(mit) + "\n\nmore", "x"),
+        (2, wrapped(bsd, " * "), "x"),
+        (3, "first\n\n" + "\n\n".join(mit.split(", ")), "x"),  # torn into many paragraphs
+        (4, " ".join(mit.split()[:30]), "x"),
+        (5, "Released under the terms of a license", "x"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `labels` string")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert got[1]["labels"] == ["mit"] and got[1].n_base == 0 and got[1].score > 0.99
+    assert got[2]["labels"] == ["bsd"] and not got[3]["labels"] and not got[4]["labels"] and not got[5]["labels"]
