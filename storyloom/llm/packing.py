@@ -12,6 +12,8 @@ copies and which place it takes.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -19,17 +21,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.llm._common import cut, quoted, rows, texts
+from storyloom.llm._common import cut, quoted, rows
 
 #: Words whose ids a worker remembers; then it forgets them all.
 REMEMBERED = 1_000_000
-#: A control character that the tokenizer keeps as a token of its own, between words encoded together.
+#: A control character that the tokenizer keeps as a token of its own, between units encoded together.
 MARK = "\x01"
-#: Marks that may close a word; none begins a unit of the tokenizer together with letters.
-CLOSING = b".,;:!?|)"
+#: Lower-case letters of U+0000 to U+00FF (as a character class), and the ASCII marks.
+LETTERS = "a-zß-öø-ÿ"
+MARKS = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum())
+_ALL_LETTERS = "".join(chr(c) for c in range(256) if re.match(f"[{LETTERS}]", chr(c)))
+#: Units whose ids are put in their places at once.
+_AT_ONCE = 400_000
 
 
 @lru_cache(maxsize=2)
@@ -39,51 +46,94 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class LetterUnits:
+    """Ids of many runs of letters at once, by the file's own merges in tiktoken's engine.
+
+    A unit's last byte is another symbol to the file than the same byte before it. Both forms of every byte of
+    lower-case letters get an ASCII character each; merges then go by rank as in the file.
+    """
+
+    def __init__(self, path: str) -> None:
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            vocabulary = json.load(file)["model"]["vocab"]
+        inner = {b: b for b in range(97, 123)} | {b: 1 + k for k, b in enumerate(b for b in (0xC3, *range(0x80, 0xC0)) if b == 0xC3 or (b >= 0x9F and b != 0xB7))}
+        free = iter(sorted(set(range(1, 128)) - set(inner.values()) - set(range(65, 91)) - {32}))
+        last = {b: b - 32 if b < 128 else next(free) for b in inner if b != 0xC3}
+        table = bytes(inner.get(b, b) for b in range(256))
+        shown = _shown_bytes()
+        ranks, ends = {}, np.zeros(len(vocabulary) + 256, bool)
+        for token, number in vocabulary.items():
+            whole = token.removesuffix("</w>")
+            raw = bytes(shown.get(c, 0) for c in whole)
+            if not set(raw) <= inner.keys() or not raw or (whole != token and raw[-1] not in last):
+                continue
+            symbols = raw.translate(table)
+            if whole != token:
+                symbols, ends[number] = symbols[:-1] + bytes([last[raw[-1]]]), True
+            ranks[symbols] = number
+        for b in range(256):  # the engine wants every byte; these don't occur
+            ranks.setdefault(bytes([b]), len(vocabulary) + b)
+        self.ends, self.table = ends, table
+        self.final = {c: (c.encode()[:-1].translate(table) + bytes([last[c.encode()[-1]]])).decode() + " " for c in _ALL_LETTERS}
+        self.engine = tiktoken.Encoding("units", pat_str="[^ ]+", mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, units: list[str]) -> list[bytes]:
+        """Each unit's ids as bytes; units are of LETTERS only."""
+        if not units:
+            return []
+        final = self.final
+        joined = "".join([u[:-1] + final[u[-1]] for u in units]).encode().translate(self.table)
+        ids = np.array(self.engine.encode_ordinary(joined.decode("ascii")), "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        assert len(stops) == len(units)
+        held, at = ids.tobytes(), [0, *(4 * stops).tolist()]
+        return [held[a:b] for a, b in zip(at, at[1:])]
+
+
+def _listed(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()  # far faster than to_pylist
+
+
+def _shown_bytes() -> dict[str, int]:
+    """The character by which a byte-level vocabulary shows each byte: itself if printable, else one from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
 class WordEncoder:
-    """A text's ids, as little-endian unsigned 32-bit bytes, for a tokenizer that never joins across white space.
+    """Ids of texts, for a tokenizer that never joins across white space.
 
-    Each different word is encoded once: new words of a batch go to the tokenizer together, parted by MARK.
+    To this tokenizer a run of letters and a run of marks after it are units apart, and case says nothing. So a
+    word of letters and closing marks is those two units, each encoded once, new runs of letters together;
+    any other word is encoded as it stands, by the tokenizer itself, many at once and parted by MARK.
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer, self.known = _tokenizer(path), {}
+        self.tokenizer, self.letters = _tokenizer(path), LetterUnits(path)
+        self.known: dict[str, bytes] = {"": b""}
         self.mark = self._ids(MARK)
         assert len(self.mark) == 1
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Adds words to those known; what can be put together from parts that repeat more is not encoded whole.
-
-        The tokenizer lower-cases, and parts letters from what follows them, so a word ending in closing
-        marks is its core and the marks. A special token's name keeps its case.
-        """
-        parts = {}
-        for word in words:
-            low = word if b"<|" in word else word.lower()
-            core = low.rstrip(CLOSING)
-            if core and len(core) < len(low) and 97 <= core[-1] <= 122:
-                parts[word] = (core, low[len(core) :])
-            elif low != word:
-                parts[word] = (low,)
-        new = set(words).difference(parts).union(*parts.values()) - self.known.keys()
-        self._encode(list(new))
-        for word, own in parts.items():
-            self.known[word] = b"".join([self.known[p] for p in own])
-
-    def _encode(self, words: list[bytes]) -> None:
-        pieces, joined = self.tokenizer.model.tokenize, []
-        for word in words:
-            if word.isalpha():  # ASCII letters alone are one unit to the tokenizer, as they stand
-                self.known[word] = np.array([t.id for t in pieces(word.decode().lower())], "<u4").tobytes()
-            elif b"\x01" in word:
-                self.known[word] = np.array(self._ids(word.decode()), "<u4").tobytes()
+    def _learn(self, units: pa.Array) -> None:
+        """Adds units to those known."""
+        of_letters = pc.match_substring_regex(units, f"^[{LETTERS}]+$")
+        letters = _listed(units.filter(of_letters))
+        self.known.update(zip(letters, self.letters.encode(letters)))
+        joined = []
+        for word in _listed(units.filter(pc.invert(of_letters))):
+            if MARK in word:
+                self.known[word] = np.array(self._ids(word), "<u4").tobytes()
             else:
                 joined.append(word)
         for at in range(0, len(joined), 2000):
             part = joined[at : at + 2000]
-            ids = np.array(self._ids(f" {MARK} ".join(w.decode() for w in part)), "<u4")
+            ids = np.array(self._ids(f" {MARK} ".join(part)), "<u4")
             ends = np.flatnonzero(ids == self.mark[0])
             assert len(ends) == len(part) - 1
             held, start = ids.tobytes(), 0
@@ -91,15 +141,38 @@ class WordEncoder:
                 self.known[word] = held[4 * start : 4 * end]
                 start = end + 1
 
-    def encode(self, batch: list[bytes | None]) -> Iterator[bytes]:
-        split = [(t or b"").split() for t in batch]
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids one after the other, as little-endian unsigned 32-bit numbers, and where each text's end; null is empty."""
+        split = pc.ascii_split_whitespace(column.fill_null(""))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary
+        low = pc.utf8_lower(words)
+        core = pc.utf8_rtrim(low, MARKS)
+        latin = pc.and_not(pc.match_substring_regex(words, "^[!-~À-ÖØ-öø-ÿ]*$"), pc.match_substring(words, "<|"))
+        simple = pc.and_(latin, pc.match_substring_regex(core, f"^[{LETTERS}]*$"))
+        marks = pc.if_else(simple, pc.utf8_ltrim(low, _ALL_LETTERS), "")  # a special token's name keeps its case and is never cut
+        units = pa.concat_arrays([pc.if_else(simple, core, words), marks]).dictionary_encode()
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = set().union(*split) - self.known.keys()
+            self.known = {"": b""}
+        own = _listed(units.dictionary)
+        known = list(map(self.known.get, own))
+        new = [i for i, x in enumerate(known) if x is None]
         if new:
-            self._learn(list(new))
-        known = self.known.__getitem__
-        return (b"".join(map(known, words)) for words in split)
+            self._learn(units.dictionary.take(pa.array(new, pa.int64())))
+            for i in new:
+                known[i] = self.known[own[i]]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        held, starts = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes
+        place = units.indices.to_numpy().reshape(2, -1).T[coded.indices.to_numpy()].ravel()
+        ends = np.cumsum(sizes[place])
+        ids = np.empty(int(ends[-1]) if len(ends) else 0, "<u4")
+        for at in range(0, len(place), _AT_ONCE):
+            part = place[at : at + _AT_ONCE]
+            own_ends, own_sizes = ends[at : at + _AT_ONCE], sizes[part]
+            low_end, high_end = int(own_ends[0] - own_sizes[0]), int(own_ends[-1])
+            ids[low_end:high_end] = held[np.repeat(starts[part] - (own_ends - own_sizes - low_end), own_sizes) + np.arange(high_end - low_end)]
+        units_until = 2 * np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        return ids, np.append(0, ends)[units_until]
 
 
 @lru_cache(maxsize=2)
@@ -125,10 +198,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
-        for batch in rows(batches, 500):
-            take, out = [], defaultdict(list)
-            for i, ids in enumerate(encoder.encode(texts(batch.column(len(kept))))):
-                ids += end
+        for batch in rows(batches, 1000):
+            take, out, begin = [], defaultdict(list), 0
+            every, stops = encoder.encode(batch.column(len(kept)))
+            for i, stop in enumerate(stops.tolist()):
+                ids = every[begin:stop].tobytes() + end
+                begin = stop
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     take.append(i)
