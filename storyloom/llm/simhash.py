@@ -7,9 +7,9 @@ by bit_count. Equal fingerprints are collapsed first. A segment's variants share
 shuffled is one row for each quarter of a segment; the variants are made behind the shuffle, and only keys
 that two fingerprints have go on to the join.
 
-A key that very many different fingerprints have is cut further by pieces of the remaining bits, one of which
-must be equal; what is crowded even then is dealt into tiles of bounded size, each of which gives a spanning
-forest of its links, so copies never multiply and no task holds a whole key.
+A key that many different fingerprints have gives a spanning forest of its links, so copies never multiply.
+One of very many is first cut by pieces of the remaining bits, one of which must be equal, and what is crowded
+even then is dealt into tiles of bounded size, so no task holds a whole key.
 """
 
 from __future__ import annotations
@@ -28,10 +28,12 @@ from pyspark.sql import types as T
 from storyloom.llm._common import cut, quoted, rows, space_words, texts
 from storyloom.llm.components import components
 
-#: A key shared by more different fingerprints than this is cut further.
-RUN = 64
-#: Fingerprints of one side of a tile.
+#: A key of more different fingerprints than this gives a spanning forest of its links instead of its pairs.
+RUN = 8
+#: Fingerprints of one side of a tile; a key of more of them is cut further first.
 TILE = 2048
+#: Classes of more texts than this are searched by centres first.
+LARGE = 64
 
 
 def shingle_digests(words: list[bytes], size: int, seed: int = 42) -> list[bytes]:
@@ -89,7 +91,7 @@ def _word_bits(hashes: np.ndarray, views: int) -> np.ndarray:
     return np.concatenate([np.unpackbits(_mixed(hashes, v).view(np.uint8).reshape(-1, 8), axis=1) for v in range(views)], 1).astype(np.float32)
 
 
-def word_fingerprints(docs: DataFrame, text: str = "text", views: int = 5, power: float = 0.5) -> DataFrame:
+def word_fingerprints(docs: DataFrame, text: str = "text", views: int = 4, power: float = 0.5) -> DataFrame:
     """docs without the text, with `fps`: `views` fingerprints over the words, a word found n times weighing n ** power.
 
     Equal word lists have equal fingerprints; without words they are 0.
@@ -200,7 +202,8 @@ def links(fps: DataFrame, most: int = 3) -> DataFrame:
     )
     met = cut(_sized(variants, ["rest", "key"]).select("key", "fp", "n"))
     found = _near(met.where(f"n <= {RUN}"), ["key"], most)
-    crowded = met.where(f"n > {RUN}")
+    found = found.unionByName(_tiled(met.where(f"n > {RUN} AND n <= {TILE}"), ["key"], most))
+    crowded = met.where(f"n > {TILE}")
     kind = F.expr("cast(shiftrightunsigned(key, 38) AS int)").alias("view")
     if crowded.isEmpty():
         return found.select(kind, "u", "v").distinct()
@@ -271,7 +274,7 @@ def _open(members: DataFrame, close: DataFrame) -> DataFrame:
     found = components(close).withColumnRenamed("root", "part")
     placed = members.join(found, "node", "left").withColumn("part", F.coalesce("part", "node"))
     left = placed.groupBy("class").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
-    return cut(placed.join(left.where("n > 2 AND low < high").select("class", (F.col("n") > RUN).alias("large")), "class"))
+    return cut(placed.join(left.where("n > 2 AND low < high").select("class", (F.col("n") > LARGE).alias("large")), "class"))
 
 
 def _joined(inside: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -283,20 +286,23 @@ def _joined(inside: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     counts = spread.groupBy("class", "gram").agg(F.count("*").alias("n"))
     ordered = spread.join(counts.where("n > 1"), ["class", "gram"]).groupBy("class", "part", "node", "size").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g"))
     # Shingles of one text only come first in the order and meet nothing; they use up places of the prefix.
-    places = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9).cast("int") + 1 - (F.col("size") - F.size("g"))
-    heads = cut(ordered.where(places > 0).select("class", "part", "node", "size", F.explode(F.slice("g.gram", F.lit(1), places)).alias("gram")))
-    parts = heads.select("class", "gram", "part").distinct()
-    meets = parts.withColumnRenamed("part", "part_u").join(parts.withColumnRenamed("part", "part_v"), ["class", "gram"]).where("part_u < part_v")
-    for n in "uv":
-        own = heads.select("class", "gram", F.col("part").alias(f"part_{n}"), F.col("node").alias(n), F.col("size").alias(f"size_{n}"))
-        meets = meets.join(own, ["class", "gram", f"part_{n}"])
-    return meets.where(F.least("size_u", "size_v") >= similarity * F.greatest("size_u", "size_v")).select("u", "v").distinct()
+    lone = F.col("size") - F.size("g")
+    places = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9).cast("int") + 1 - lone
+    heads = ordered.where(places > 0).select("class", "part", "node", "size", lone.alias("lone"), F.posexplode(F.slice("g.gram", F.lit(1), places)).alias("at", "gram"))
+    heads = cut(heads.select("class", "part", "node", "size", "gram", (F.col("size") - F.col("lone") - F.col("at")).alias("rest")))
+    mixed = heads.groupBy("class", "gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("class", "gram")
+    heads = heads.join(mixed, ["class", "gram"])
+    left, right = (heads.select("class", "gram", *[F.col(c).alias(f"{c}_{n}") for c in ("part", "node", "size", "rest")]) for n in "uv")
+    # Length and positional filters: behind their first common shingle both texts must have the number that they need.
+    common = F.ceil(similarity / (1 + similarity) * (F.col("size_u") + F.col("size_v")) - 1e-9)
+    able = (F.least("size_u", "size_v") >= similarity * F.greatest("size_u", "size_v")) & (F.least("rest_u", "rest_v") >= common) & (F.col("part_u") < F.col("part_v"))
+    return left.join(right, ["class", "gram"]).where(able).select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct()
 
 
 def _complete(pairs: DataFrame, sets: DataFrame, close: DataFrame, similarity: float) -> DataFrame:
     """Links that connect whatever is connected by similar pairs inside the components of `pairs`, whether in `pairs` or not.
 
-    In a class of more than RUN texts the one whose shingles most others have is first compared with all the
+    In a class of more than LARGE texts the one whose shingles most others have is first compared with all the
     others, again among what has no such centre yet, while a round settles a quarter of them. What then is in
     different parts of a class is joined exactly, so rounds only save pairs that are connected anyway.
     """
@@ -324,7 +330,7 @@ def _complete(pairs: DataFrame, sets: DataFrame, close: DataFrame, similarity: f
 
 
 def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, most: int = 3, views: int = 5
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, most: int = 3, views: int = 4
 ) -> DataFrame:
     """(doc_id, node, keep): for every different (id, text), whether it stays as the one of its group.
 
