@@ -7,8 +7,42 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import text as tx
 
-#: Phrases that mark boilerplate.
-BOILERPLATE = ["subscribe to", "click here", "all rights reserved"]
+#: Patterns that mark boilerplate, in Arabic texts and in others.
+BOILERPLATE = [r"subscribe\s+(now|today|here)", r"click\s+here\s+to", r"(buy\s+now|order\s+today|limited\s+offer)"]
+BOILERPLATE_ARABIC = [r"اشترك\s+(الآن|هنا)", r"انقر\s+هنا", r"(اشتر\s+الآن|عرض\s+محدود|سجل\s+الآن)", r"تابعنا\s+على", r"جميع\s+الحقوق\s+محفوظة"]
+
+
+def half_even(value: Column, places: int = 2) -> Column:
+    """Rounded half to even, by whole millionths, so that what a double can't hold makes no difference."""
+    unit = 10 ** (6 - places)
+    whole = F.round(value * 1_000_000).cast("long")
+    low = F.floor(whole / unit)
+    rest = whole - low * unit
+    up = (rest * 2 > unit) | ((rest * 2 == unit) & (low % 2 == 1))
+    return (low + up.cast("int")) / 10**places
+
+
+def half_even_sql(value: str, places: int = 2) -> str:
+    """The same for the oracles."""
+    unit = 10 ** (6 - places)
+    low = f"floor(round(({value}) * 1000000) / {unit})"
+    rest = f"(round(({value}) * 1000000) - {low} * {unit})"
+    return f"(({low} + CASE WHEN {rest} * 2 > {unit} OR ({rest} * 2 = {unit} AND {low} % 2 = 1) THEN 1 ELSE 0 END) / {10**places})"
+
+
+def safe_decimal(value: Column) -> Column:
+    """Clamped to [0, 1], two places; null is 0."""
+    return half_even(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(value, F.lit(0.0)))))
+
+
+def verification_status(confidence: Column) -> Column:
+    return F.when(confidence >= 0.85, "verified").when(confidence >= 0.65, "likely_true").when(confidence >= 0.45, "unverified").when(confidence >= 0.25, "likely_misleading").otherwise("misleading")
+
+
+def relevance(mentions: Column, length: Column) -> Column:
+    """By mentions per 500 characters; texts of less than 100 say nothing."""
+    density = mentions / (length / 500)
+    return F.when(length < 100, 0.5).when(density >= 2, 1.0).when(density >= 1, 0.8).when(density >= 0.5, 0.6).otherwise(0.4)
 
 
 def ladder(value: Column, steps: list[tuple[float, float]], top: float) -> Column:
@@ -24,8 +58,9 @@ def length_score(content: Column) -> Column:
 
 
 def title_score(title: Column) -> Column:
-    n = F.char_length(F.trim(F.coalesce(title, F.lit(""))))
-    return F.when(n < 5, 0.0).when(n > 300, 0.4).otherwise(1.0)
+    """Stripped for the least length, as it stands for the greatest."""
+    given = F.coalesce(title, F.lit(""))
+    return F.when(F.char_length(F.trim(given)) < 5, 0.0).when(F.char_length(given) > 300, 0.4).otherwise(1.0)
 
 
 def unique_score(content: Column) -> Column:
@@ -35,14 +70,16 @@ def unique_score(content: Column) -> Column:
 
 
 def caps_score(content: Column) -> Column:
-    letters = F.char_length(F.regexp_replace(content, "[^A-Za-z]", ""))
-    capitals = F.char_length(F.regexp_replace(content, "[^A-Z]", ""))
+    letters = F.char_length(F.regexp_replace(content, r"[^\p{L}]", ""))
+    capitals = F.char_length(F.regexp_replace(content, r"[^\p{Lu}]", ""))
     return F.when(letters == 0, 0.5).when(capitals / letters > 0.6, 0.1).otherwise(1.0)
 
 
-def boilerplate_score(content: Column) -> Column:
-    lowered = F.lower(content)
-    hits = sum((F.contains(lowered, F.lit(p)).cast("int") for p in BOILERPLATE), F.lit(0))
+def boilerplate_score(content: Column, arabic: Column) -> Column:
+    def found(patterns: list[str]) -> Column:
+        return sum((F.regexp_like(content, F.lit("(?i)" + p)).cast("int") for p in patterns), F.lit(0))
+
+    hits = F.when(arabic, found(BOILERPLATE_ARABIC)).otherwise(found(BOILERPLATE))
     return F.when(hits == 0, 1.0).when(hits == 1, 0.6).otherwise(0.2)
 
 

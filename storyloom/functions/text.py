@@ -20,15 +20,72 @@ def content_hash(title: Column, content: Column) -> Column:
 
 
 def canonical_url(url: Column) -> Column:
-    """Scheme and host lower-cased, tracking parameters, fragment and closing slashes dropped, order kept."""
+    """Scheme and host lower-cased, tracking parameters (in any case), fragment and closing slashes dropped, order kept.
+
+    A path of slashes alone stays, and no path becomes one slash. Parameters are decoded and encoded again;
+    an empty url stays empty.
+    """
     bare = F.regexp_replace(url, "#.*$", "")
     scheme = F.lower(F.regexp_extract(bare, r"^([A-Za-z]+)://", 1))
     host = F.lower(F.regexp_extract(bare, r"^[A-Za-z]+://([^/?]*)", 1))
-    path = F.regexp_replace(F.regexp_extract(bare, r"^[A-Za-z]+://[^/?]*([^?]*)", 1), "/+$", "")
+    given = F.regexp_extract(bare, r"^[A-Za-z]+://[^/?]*([^?]*)", 1)
+    short = F.regexp_replace(given, "/+$", "")
+    path = F.when(short != "", short).when(given != "", given).otherwise("/")
     query = F.regexp_extract(bare, r"\?(.*)$", 1)
-    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.substring_index(p, "=", 1).isin(TRACKING))
+    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(_decoded(F.substring_index(p, "=", 1))).isin(TRACKING))
+    kept = F.transform(kept, lambda p: F.concat(_encoded(F.substring_index(p, "=", 1)), F.lit("="), _encoded(F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise(""))))
     tail = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
-    return F.concat(scheme, F.lit("://"), host, path, tail)
+    return F.when(F.coalesce(url, F.lit("")) == "", "").otherwise(F.concat(scheme, F.lit("://"), host, path, tail))
+
+
+def _decoded(part: Column) -> Column:
+    return F.coalesce(F.try_url_decode(part), part)
+
+
+def _encoded(part: Column) -> Column:
+    return F.replace(F.replace(F.url_encode(_decoded(part)), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def raw_hash(url: Column, title: Column, content: Column, html: Column) -> Column:
+    return F.sha2(F.concat_ws("||", canonical_url(F.coalesce(url, F.lit(""))), clean(title), clean(content), html_to_text(html)), 256)
+
+
+def html_to_text(html: Column) -> Column:
+    """Scripts, styles, frames, drawings and comments dropped, tags as spaces, the commonest entities decoded; null is empty."""
+    out = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style|noscript|svg|iframe)\b.*?</(script|style|noscript|svg|iframe)\s*>", " ")
+    out = F.regexp_replace(F.regexp_replace(out, r"(?s)<!--.*?-->", " "), r"(?s)<[!/A-Za-z][^>]*>", " ")
+    for entity, char in ENTITIES:
+        out = F.replace(out, F.lit(entity), F.lit(char))
+    return clean(out)
+
+
+#: Entities and what they stand for, the ampersand last.
+ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+
+
+def absolute_url(base: Column, link: Column) -> Column:
+    """The link as seen from the base: whole, without scheme, from the root, a query or fragment, or beside the base's path."""
+    scheme, origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1), F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    page = F.regexp_extract(base, r"^([^?#]*)", 1)
+    path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)?", 1)
+    folder = F.concat(origin, F.when(path == "", "/").otherwise(F.regexp_extract(path, "^(.*/)", 1)))
+    return (
+        F.when(link == "", base).when(F.regexp_like(link, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:")), link).when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link))
+        .when(F.startswith(link, F.lit("/")), F.concat(origin, link)).when(F.startswith(link, F.lit("?")), F.concat(page, link))
+        .when(F.startswith(link, F.lit("#")), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), link)).otherwise(F.concat(folder, link))
+    )
+
+
+def normalized(text: Column, lowercase: bool = False) -> Column:
+    """Cleaned, Arabic folded where more than 0.3 of the characters are Arabic."""
+    plain = clean(text)
+    out = F.when(arabic_share(plain) > 0.3, fold_arabic(plain)).otherwise(plain)
+    return F.lower(out) if lowercase else out
+
+
+def arabic_key(text: Column) -> Column:
+    """For matching spellings: lower case, all forms of alef and hamza as alef, tatweel and vowel marks dropped."""
+    return F.regexp_replace(F.translate(F.lower(clean(text)), "أإآٱءئؤىةـ", "ااااااايه"), "[\\u064B-\\u0652\\u0670]", "")
 
 
 def arabic_share(text: Column) -> Column:

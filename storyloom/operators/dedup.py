@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as tx
+from storyloom.sources import tables as tb
 
 
 def first_by(articles: DataFrame, key: Column) -> DataFrame:
@@ -50,30 +55,50 @@ def _bodies(articles: DataFrame, size: int, least: int, prefix: int) -> DataFram
     return articles.where(F.char_length("content") >= least).select("article_id", body.alias("body")).where(F.char_length("body") >= size)
 
 
+def shingle_hashes(texts: DataFrame, size: int) -> DataFrame:
+    """(id, grams): the distinct hashes of each body's character shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for body in batch.column(1).to_pylist():
+                codes = np.frombuffer(body.encode("utf-32-le"), "<u4").astype(np.uint64)
+                total = np.zeros(len(codes) - size + 1, np.uint64)
+                for k in range(size):  # two rounds of mixing for each character
+                    total = (total ^ codes[k : k + len(total)]) * np.uint64(0x9E3779B97F4A7C15)
+                    total ^= total >> np.uint64(29)
+                sets.append(np.unique(total.view(np.int64)))
+            offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            grams = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), grams], names=["id", "grams"])
+
+    return texts.select(F.col("id").cast("long"), "body").mapInArrow(run, "id bigint, grams array<bigint>")
+
+
 def shingle_pairs(articles: DataFrame, size: int = 5, threshold: float = 0.75, least: int = 300, prefix: int = 2000) -> DataFrame:
     """(a, b, similarity) for different texts whose character shingles have this Jaccard similarity or more.
 
-    Equal texts are one row before the join. Shingles are ordered by how many texts have them; only the rarest
-    n - ceil(threshold n) + 1 of each text are joined, with a length filter, and what meets is verified. The
-    reference's prefix of each text is the feature, not a cap.
+    Equal texts are one row before the join. Shingles are ordered by how many texts have them; two texts meet
+    at their first common shingle only if behind it both have as many as they need in common, and shorter
+    texts are not met at all. Shingles of one text only take up places and meet nothing. What meets is
+    verified on the whole sets. The reference's prefix of each text is the feature, not a cap.
     """
     texts = _bodies(articles, size, least, prefix).groupBy("body").agg(F.min("article_id").alias("id"))
-    chars = texts.where(F.char_length("body") >= size)
-    grams = F.transform(F.sequence(F.lit(1), F.char_length("body") - size + 1), lambda i: F.xxhash64(F.substring("body", i, F.lit(size))))
-    sets = chars.select("id", F.array_distinct(grams).alias("grams"))
-    spread = sets.select("id", F.explode("grams").alias("gram"))
-    counts = spread.groupBy("gram").agg(F.count("*").alias("n"))
-    ordered = spread.join(counts, "gram").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g"))
-    ordered = ordered.select("id", F.col("g.gram").alias("grams"), F.size("g").alias("size"))
-    heads = ordered.select("id", "size", F.explode(F.slice("grams", F.lit(1), F.col("size") - F.ceil(threshold * F.col("size")).cast("int") + 1)).alias("gram"))
-    other = heads.select(F.col("id").alias("b"), F.col("size").alias("size_b"), "gram")
-    meets = heads.join(other, "gram").where((F.col("id") < F.col("b")) & (F.least("size", "size_b") >= threshold * F.greatest("size", "size_b")))
-    pairs = meets.select(F.col("id").alias("a"), "b").distinct()
+    sets = tb.written(shingle_hashes(texts, size))
+    spread = sets.select("id", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    counts = spread.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    ordered = spread.join(counts, "gram").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g"))
+    lone = F.col("size") - F.size("g")
+    places = F.col("size") - F.ceil(threshold * F.col("size")).cast("int") + 1 - lone
+    heads = ordered.where(places > 0).select("id", "size", lone.alias("lone"), F.posexplode(F.slice("g.gram", F.lit(1), places)).alias("at", "gram"))
+    heads = tb.written(heads.select("id", "size", "gram", (F.col("size") - F.col("lone") - F.col("at")).alias("rest")))
+    left, right = (heads.select("gram", *[F.col(c).alias(f"{c}_{n}") for c in ("id", "size", "rest")]) for n in "ab")
+    needed = F.ceil(threshold / (1 + threshold) * (F.col("size_a") + F.col("size_b")) - 1e-9)
+    able = (F.col("id_a") < F.col("id_b")) & (F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b")) & (F.least("rest_a", "rest_b") >= needed)
+    pairs = left.join(right, "gram").where(able).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     left, right = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
-    common, both = F.size(F.array_intersect("ga", "gb")), F.size("ga") + F.size("gb")
-    # Jaccard >= t, written so that the intersection is evaluated once for a pair that fails.
-    near = pairs.join(left, "a").join(right, "b").where(common >= threshold / (1 + threshold) * both)
-    return near.select("a", "b", (common / (both - common)).alias("similarity"))
+    near = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("common"), (F.size("ga") + F.size("gb")).alias("both"))
+    return near.where(F.col("common") >= threshold * (F.col("both") - F.col("common"))).select("a", "b", (F.col("common") / (F.col("both") - F.col("common"))).alias("similarity"))
 
 
 def shingle_members(articles: DataFrame, size: int = 5, threshold: float = 0.75, least: int = 300, prefix: int = 2000) -> tuple[DataFrame, DataFrame]:
@@ -82,10 +107,10 @@ def shingle_members(articles: DataFrame, size: int = 5, threshold: float = 0.75,
     members has article_id, body_id (the smallest article of the same body), class_id (the smallest body_id
     reachable over pairs) and links (the number of other articles at least this similar, equal bodies counted).
     """
-    pairs = shingle_pairs(articles, size, threshold, least, prefix).localCheckpoint()
+    pairs = tb.written(shingle_pairs(articles, size, threshold, least, prefix))
     bodies = _bodies(articles, size, least, prefix).select("article_id", F.sha2("body", 256).alias("key"))
     firsts = bodies.groupBy("key").agg(F.min("article_id").alias("body_id"), F.count("*").alias("copies"))
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).localCheckpoint()
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both.join(firsts.select(F.col("body_id").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("near"))
     named = firsts.join(near.withColumnRenamed("a", "body_id"), "body_id", "left").join(_least_reachable(both), "body_id", "left")
     links = (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links")
@@ -99,11 +124,11 @@ def _least_reachable(both: DataFrame) -> DataFrame:
     """
     now = both.groupBy(F.col("a").alias("body_id")).agg(F.least(F.first("a"), F.min("b")).alias("class_id"))
     while True:
-        now = now.localCheckpoint()
+        now = tb.written(now)
         around = both.join(now.withColumnRenamed("body_id", "b"), "b").groupBy(F.col("a").alias("body_id")).agg(F.min("class_id").alias("around"))
         least = now.join(around, "body_id").select("body_id", F.col("class_id").alias("before"), F.least("class_id", "around").alias("label"))
         jump = now.select(F.col("body_id").alias("label"), F.col("class_id").alias("jump"))
-        after = least.join(jump, "label").select("body_id", "before", F.least("label", "jump").alias("class_id")).localCheckpoint()
+        after = tb.written(least.join(jump, "label").select("body_id", "before", F.least("label", "jump").alias("class_id")))
         now = after.select("body_id", "class_id")
         if after.where("class_id != before").isEmpty():
             return now
@@ -112,7 +137,7 @@ def _least_reachable(both: DataFrame) -> DataFrame:
 def shingle_links(articles: DataFrame, **options) -> DataFrame:
     """(a, b, similarity, class_id): shingle_pairs, and each further copy of a body (b) beside that body's first article (a)."""
     members, pairs = shingle_members(articles, **options)
-    members = members.localCheckpoint()
+    members = tb.written(members)
     classes = members.select(F.col("article_id").alias("a"), "class_id")
     copies = members.where("article_id != body_id").select(F.col("body_id").alias("a"), F.col("article_id").alias("b"), F.lit(1.0).alias("similarity"), "class_id")
     return pairs.join(classes, "a").select("a", "b", "similarity", "class_id").unionByName(copies)

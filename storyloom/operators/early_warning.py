@@ -45,8 +45,8 @@ def velocity(rows: DataFrame, by: str, as_of: Column) -> DataFrame:
     recent = _within("ts", as_of, 6)
     out = rows.where(_within("ts", as_of, 24)).groupBy(by).agg(F.sum(recent.cast("int")).alias("recent"), F.sum((~recent).cast("int")).alias("earlier"))
     ratio = (F.col("recent") / 6) / F.greatest(F.col("earlier") / 18, F.lit(0.1))
-    factor = F.when(F.col("recent") == 0, 0.0).when(F.col("earlier") == 0, F.least(F.lit(1.0), F.col("recent") / 6 / 5))
-    factor = factor.when(ratio >= 3, 1.0).when(ratio >= 2, 0.8).when(ratio >= 1.2, 0.6).when(ratio >= 0.8, 0.4).otherwise(0.2)
+    factor = F.when(F.col("earlier") == 0, F.least(F.lit(1.0), F.col("recent") / 5))
+    factor = factor.when(ratio >= 3, 0.9).when(ratio >= 2, 0.7).when(ratio >= 1.5, 0.5).when(ratio >= 1, 0.3).otherwise(0.1)
     return out.withColumn("velocity", F.round(factor, 6))
 
 

@@ -10,37 +10,47 @@ def relationships(links: DataFrame, as_of: Column, days: int = 90, least: int =
     """(a, b, n, sources, strength, confidence) for entities named together in `least` articles or more.
 
     Pairs are made within an article, whose entities are few and distinct; the counts over articles are
-    pre-aggregated. Strength mixes the count, its age (a half-life of 30 days) and the share of sources.
+    pre-aggregated. Strength mixes the count, its age (a half-life of 30 days) and the share of all sources.
     """
     recent = links.where(F.col("published_at") >= as_of - F.expr(f"INTERVAL {days} DAYS"))
     own = recent.select("article_id", "entity_id", "source_id", "published_at").distinct()
     other = own.select("article_id", F.col("entity_id").alias("b")).distinct()
     pairs = own.join(other, "article_id").where(F.col("entity_id") < F.col("b")).withColumnRenamed("entity_id", "a")
-    first = pairs.groupBy("a", "b").agg(F.count_distinct("article_id").alias("n"), F.count_distinct("source_id").alias("sources"), F.max("published_at").alias("last"))
+    # Distinct articles first: only the sources are then counted as a set.
+    by_article = pairs.groupBy("a", "b", "article_id").agg(F.collect_set("source_id").alias("s"), F.max("published_at").alias("last"))
+    first = by_article.groupBy("a", "b").agg(F.count("*").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_set("s")))).alias("sources"), F.max("last").alias("last"))
     kept = first.where(F.col("n") >= least)
+    kept = kept.crossJoin(F.broadcast(links.agg(F.count_distinct("source_id").alias("all_sources"))))  # one row
+    diversity = F.least(F.lit(1.0), F.col("sources") / F.greatest(F.col("all_sources"), F.lit(1)))
     age = (F.unix_timestamp(as_of) - F.unix_timestamp("last")) / 86400
-    strength = 0.40 * F.least(F.lit(1.0), F.log1p("n") / F.log(F.lit(101.0))) + 0.20 * F.pow(F.lit(2.0), -age / 30) + 0.25 * F.least(F.lit(1.0), F.col("sources") / F.col("n")) + 0.15 * (1 - 1 / F.col("n"))
-    confidence = F.least(F.lit(1.0), F.col("n") / 8) * 0.85 + 0.15 * F.least(F.lit(1.0), F.col("sources") / F.col("n"))
+    strength = 0.40 * F.least(F.lit(1.0), F.log1p("n") / F.log(F.lit(101.0))) + 0.20 * F.pow(F.lit(2.0), -age / 30) + 0.25 * diversity + 0.15 * (1 - 1 / F.col("n"))
+    confidence = F.least(F.lit(1.0), F.least(F.lit(1.0), F.col("n") / 8) + 0.15 * diversity)
     return kept.select("a", "b", "n", "sources", F.round(strength, 6).alias("strength"), F.round(confidence, 6).alias("confidence"))
 
 
 def influence(links: DataFrame, edges: DataFrame, as_of: Column, least: int = 2) -> DataFrame:
-    """Per entity: mentions in 7, 30 and the prior 7 days, weighted degree, sources and the influence score."""
+    """Per entity of `least` articles or more: mentions in 1, 7, 30 and the prior 7 days, degree, sources, score and growth.
 
+    The degree is the sum of the strengths of an entity's edges. The score mixes degree and week's mentions,
+    each over the greatest of all, and the share of all sources; the flag `growing` asks for five mentions
+    in a day and twice the week's daily mean.
+    """
     def days(low: int, high: int = 0) -> Column:
         inside = F.col("published_at") >= as_of - F.expr(f"INTERVAL {low} DAYS")
         return F.sum((inside & (F.col("published_at") < as_of - F.expr(f"INTERVAL {high} DAYS")) if high else inside).cast("int"))
 
     counts = links.groupBy("entity_id").agg(
-        F.count_distinct("article_id").alias("articles"), F.count_distinct("source_id").alias("sources"), days(7).alias("d7"), days(30).alias("d30"), days(14, 7).alias("prior7")
+        F.count_distinct("article_id").alias("articles"), F.count_distinct("source_id").alias("sources"), days(1).alias("d1"), days(7).alias("d7"), days(30).alias("d30"), days(14, 7).alias("prior7")
     ).where(F.col("articles") >= least)
-    ends = edges.select(F.explode(F.array("a", "b")).alias("entity_id"), "n").groupBy("entity_id").agg(F.sum("n").alias("degree"))
-    out = counts.join(ends, "entity_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    most = out.agg(F.max("degree").alias("max_degree"), F.max("d7").alias("max_d7"), F.max("sources").alias("max_sources")).first()
-    top = {k: float(max(1, most[k] or 0)) for k in ("max_degree", "max_d7", "max_sources")}
-    score = 0.40 * F.col("degree") / top["max_degree"] + 0.35 * F.col("d7") / top["max_d7"] + 0.25 * F.col("sources") / top["max_sources"]
-    growth = F.when(F.col("prior7") > 0, F.col("d7") / F.col("prior7")).otherwise(F.col("d7").cast("double"))
-    return out.select("entity_id", "articles", "sources", "d7", "d30", "prior7", "degree", F.round(score, 6).alias("influence"), F.round(growth, 6).alias("growth"))
+    ends = edges.select(F.explode(F.array("a", "b")).alias("entity_id"), "strength").groupBy("entity_id").agg((F.sum(F.round(F.col("strength") * 1_000_000).cast("long")) / 1_000_000).alias("degree"))  # exact, whatever the order
+    out = counts.join(ends, "entity_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0.0)))
+    most = out.agg(F.max("degree").alias("max_degree"), F.max("d7").alias("max_d7")).crossJoin(links.agg(F.count_distinct("source_id").alias("all_sources")))
+    out = out.crossJoin(F.broadcast(most))  # one row
+    velocity = F.col("d7") / F.greatest("max_d7", F.lit(1))
+    degree = F.when(F.col("max_degree") > 0, F.col("degree") / F.col("max_degree")).otherwise(0.0)
+    score = 0.40 * degree + 0.35 * velocity + 0.25 * F.col("sources") / F.greatest("all_sources", F.lit(1))
+    growing = (F.col("d1") >= 5) & (F.col("d1") >= 2 * F.greatest(F.col("d7") / 7, F.lit(1.0)))
+    return out.select("entity_id", "articles", "sources", "d1", "d7", "d30", "prior7", "degree", F.round(velocity, 4).alias("velocity"), F.round(score, 5).alias("influence"), growing.alias("growing"))
 
 
 def neighbours(edges: DataFrame, start: int, hops: int = 2) -> DataFrame:

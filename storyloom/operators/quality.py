@@ -6,21 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.functions import scores
-from storyloom.functions import text as tx
 
-SUB_SCORES = {"length": scores.length_score, "unique": scores.unique_score, "caps": scores.caps_score, "boilerplate": scores.boilerplate_score}
+SUB_SCORES = {"length": scores.length_score, "unique": scores.unique_score, "caps": scores.caps_score}
 
 
 def quality(articles: DataFrame, least: float = 0.30, least_length: int = 100) -> DataFrame:
-    """Adds the five sub-scores, their mean and whether the article passes; capitals don't count in Arabic texts."""
+    """Adds the five sub-scores, their mean and whether the article passes; capitals don't count in Arabic articles."""
     content = F.coalesce("content", F.lit(""))
     out = articles.withColumn("title_score", scores.title_score(F.col("title")))
     for name, score in SUB_SCORES.items():
         out = out.withColumn(f"{name}_score", score(content))
-    arabic = tx.arabic_share(content) > 0.3
+    arabic = F.startswith(F.coalesce("language", F.lit("")), F.lit("ar"))
+    out = out.withColumn("boilerplate_score", scores.boilerplate_score(content, arabic))
     others = F.col("title_score") + F.col("length_score") + F.col("unique_score") + F.col("boilerplate_score")
     mean = F.when(arabic, others / 4).otherwise((others + F.col("caps_score")) / 5)
-    out = out.withColumn("quality", F.round(mean, 4))
+    out = out.withColumn("quality", scores.half_even(mean))
     return out.withColumn("passed", (F.col("quality") >= least) & (F.char_length(content) >= least_length))
 
 

@@ -26,13 +26,14 @@ def importance(scored: DataFrame, trust: DataFrame, topics: DataFrame, as_of: Co
     """Per article: .25 trust, .25 frequency of its story, .20 topics, .15 quality and .15 recency, in [0, 1]."""
     keyed = scored.withColumn("story", story_key()).select("article_id", "source", "story", "quality", "published_at")
     sizes = keyed.groupBy("story").agg(F.count("*").alias("story_articles"))
-    number = topics.groupBy("article_id").agg(F.count("*").alias("topics"))
+    labels = F.size(F.array_distinct(F.flatten(F.collect_list(F.split("labels", ",")))))
+    number = topics.groupBy("article_id").agg(F.greatest(F.count_distinct("topic"), labels).alias("topics"))
     out = keyed.join(sizes, "story").join(number, "article_id", "left").join(trust.select("source", "trust"), "source", "left")
     n = F.coalesce("topics", F.lit(0))
     topic = F.when(n == 0, 0.1).when(n == 1, 0.4).when(n == 2, 0.7).otherwise(1.0)
     age = (F.unix_timestamp(as_of) - F.unix_timestamp("published_at")) / 3600
     total = 0.25 * F.coalesce("trust", F.lit(0.5)) + 0.25 * scores.frequency(F.col("story_articles")) + 0.20 * topic + 0.15 * F.col("quality") + 0.15 * scores.recency(age)
-    return out.select("article_id", "story", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 6).alias("importance"))
+    return out.select("article_id", "story", scores.safe_decimal(total).alias("importance"))
 
 
 def alerts(reports: DataFrame, least: float) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from storyloom.functions import scores
 from storyloom.functions import text as tx
 from storyloom.operators import dedup, quality, topics
 from storyloom.plans.registry import register
@@ -27,11 +28,14 @@ def content_hash(spark, sf):
 
 
 _TRACKING = ", ".join(f"'{t}'" for t in tx.TRACKING)
+_ENC = "replace(url_encode(url_decode(replace({0}, '+', ' '))), '%20', '+')"
 CANONICAL = f"""p AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages),
 q AS (SELECT page_id, lower(regexp_extract(u, '^([A-Za-z]+)://', 1)) AS scheme, lower(regexp_extract(u, '^[A-Za-z]+://([^/?]*)', 1)) AS host,
-  regexp_replace(regexp_extract(u, '^[A-Za-z]+://[^/?]*([^?]*)', 1), '/+$', '') AS path,
-  list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1), '&'), lambda x: x != '' AND string_split(x, '=')[1] NOT IN ({_TRACKING})) AS kept FROM p),
-canonical AS (SELECT page_id, scheme || '://' || host || path || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url FROM q)"""
+  regexp_extract(u, '^[A-Za-z]+://[^/?]*([^?]*)', 1) AS given,
+  list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1), '&'), lambda x: x != '' AND lower(string_split(x, '=')[1]) NOT IN ({_TRACKING})) AS raw FROM p),
+r AS (SELECT *, CASE WHEN regexp_replace(given, '/+$', '') != '' THEN regexp_replace(given, '/+$', '') WHEN given != '' THEN given ELSE '/' END AS path,
+  list_transform(raw, lambda x: {_ENC.format("string_split(x, '=')[1]")} || '=' || {_ENC.format("CASE WHEN contains(x, '=') THEN regexp_replace(x, '^[^=]*=', '') ELSE '' END")}) AS kept FROM q),
+canonical AS (SELECT page_id, scheme || '://' || host || path || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url FROM r)"""
 
 
 @register("nrm4_canonical_url", f"WITH {CANONICAL} SELECT page_id, url FROM canonical")
@@ -39,21 +43,52 @@ def canonical_url(spark, sf):
     return tb.read(spark, sf, "pages").select("page_id", tx.canonical_url(F.col("url")).alias("url"))
 
 
-@register("nrm5_raw_hash", f"WITH {CANONICAL} SELECT page_id, sha256(c.url || '||' || coalesce(html, '')) AS raw_hash FROM canonical c JOIN pages USING (page_id)")
+_TEXT = """regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style|noscript|svg|iframe)\\b.*?</(script|style|noscript|svg|iframe)\\s*>', ' ', 'g'),
+  '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[!/A-Za-z][^>]*>', ' ', 'g')"""
+for _entity, _char in tx.ENTITIES:
+    _TEXT = f"replace({_TEXT}, '{_entity}', '{_char.replace(chr(39), chr(39) * 2)}')"
+PAGE_TEXT = CLEAN.format(_TEXT)
+PAGE_TITLE = CLEAN.format("regexp_extract(coalesce(html, ''), '<title>([^<]*)</title>', 1)")
+
+
+@register("nrm2_html_to_text", f"SELECT page_id, {PAGE_TEXT} AS text FROM pages")
+def html_text(spark, sf):
+    return tb.read(spark, sf, "pages").select("page_id", tx.html_to_text(F.col("html")).alias("text"))
+
+
+@register("nrm5_raw_hash", f"WITH {CANONICAL} SELECT page_id, sha256(c.url || '||' || {PAGE_TITLE} || '||' || '' || '||' || {PAGE_TEXT}) AS raw_hash FROM canonical c JOIN pages USING (page_id)")
 def raw_hash(spark, sf):
-    return tb.read(spark, sf, "pages").select("page_id", F.sha2(F.concat_ws("||", tx.canonical_url(F.col("url")), F.coalesce("html", F.lit(""))), 256).alias("raw_hash"))
+    title = F.regexp_extract(F.coalesce("html", F.lit("")), "<title>([^<]*)</title>", 1)
+    return tb.read(spark, sf, "pages").select("page_id", tx.raw_hash(F.col("url"), title, F.lit(""), F.col("html")).alias("raw_hash"))
+
+
+@register("nrm7_absolute_links", """WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a[^>]+href="([^"]*)"', 1)) AS link FROM pages),
+b AS (SELECT *, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS origin, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)?', 1) AS path FROM l)
+SELECT page_id, link, CASE WHEN link = '' THEN url WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN link WHEN starts_with(link, '//') THEN split_part(url, ':', 1) || ':' || link
+  WHEN starts_with(link, '/') THEN origin || link WHEN starts_with(link, '?') THEN regexp_extract(url, '^([^?#]*)', 1) || link WHEN starts_with(link, '#') THEN split_part(url, '#', 1) || link
+  ELSE origin || CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '^(.*/)', 1) END || link END AS absolute FROM b""")
+def absolute_links(spark, sf):
+    link = F.explode(F.regexp_extract_all("html", F.lit('<a[^>]+href="([^"]*)"'), F.lit(1))).alias("link")
+    return tb.read(spark, sf, "pages").select("page_id", "url", link).select("page_id", "link", tx.absolute_url(F.col("url"), F.col("link")).alias("absolute"))
+
+
+@register("nrm11_normalized_text", f"""WITH {tb.ARTICLES}, c AS (SELECT article_id, {CONTENT} AS t FROM articles)
+SELECT article_id, sha256(lower(CASE WHEN length(regexp_replace(t, '[^\u0600-\u06FF]', '', 'g')) > 0.3 * length(t)
+  THEN regexp_replace(translate(t, 'أإآةى', 'اااهي'), '[\u064B-\u0652]', '', 'g') ELSE t END)) AS normalized_sha256 FROM c""".replace("\\u0600", "؀").replace("\\u06FF", "ۿ"))
+def normalized_text(spark, sf):
+    return tb.articles(spark, sf).select("article_id", F.sha2(tx.normalized(F.col("content"), lowercase=True), 256).alias("normalized_sha256"))
 
 
 @register(
     "nrm18_unique_slug",
     f"""WITH {tb.ARTICLES}, s AS (SELECT article_id, substr(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 120) AS base FROM articles),
-n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY article_id) AS n FROM s)
-SELECT article_id, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS slug FROM n""",
+f AS (SELECT article_id, CASE WHEN base = '' THEN 'item' ELSE base END AS base FROM s), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY article_id) AS n FROM f)
+SELECT article_id, CASE WHEN n = 1 THEN base ELSE substr(base, 1, 119 - length(n::VARCHAR)) || '-' || n END AS slug FROM n""",
 )
 def unique_slug(spark, sf):
-    rows = tb.articles(spark, sf).select("article_id", tx.slug(F.col("title")).alias("base"))
+    rows = tb.articles(spark, sf).select("article_id", tx.slug(F.col("title")).alias("base")).withColumn("base", F.when(F.col("base") == "", "item").otherwise(F.col("base")))
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("base").orderBy("article_id")))
-    return rows.select("article_id", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", "n")).alias("slug"))
+    return rows.select("article_id", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", F.expr("substring(base, 1, 119 - length(cast(n AS string)))"), "n")).alias("slug"))
 
 
 @register("src5_link_discovery", """
@@ -72,15 +107,16 @@ def page_titles(spark, sf):
 
 
 _WORDS = f"list_filter(string_split(lower({CONTENT}), ' '), lambda w: w != '')"
-_LETTERS, _CAPITALS = "length(regexp_replace(content, '[^A-Za-z]', '', 'g'))", "length(regexp_replace(content, '[^A-Z]', '', 'g'))"
+_LETTERS, _CAPITALS = "length(regexp_replace(content, '[^\\p{L}]', '', 'g'))", "length(regexp_replace(content, '[^\\p{Lu}]', '', 'g'))"
+_HITS = {k: " + ".join(f"regexp_matches(content, '(?i){p}')::INT" for p in own) for k, own in ((0, scores.BOILERPLATE), (1, scores.BOILERPLATE_ARABIC))}
+_ARABIC = "starts_with(coalesce(language, ''), 'ar')"
 QUALITY = f"""{tb.ARTICLES}, w AS (SELECT *, {_WORDS} AS words FROM articles),
-s AS (SELECT *, CASE WHEN length(trim(title)) < 5 THEN 0 WHEN length(trim(title)) > 300 THEN 0.4 ELSE 1 END::DOUBLE AS title_score,
+s AS (SELECT *, CASE WHEN length(trim(title)) < 5 THEN 0 WHEN length(title) > 300 THEN 0.4 ELSE 1 END::DOUBLE AS title_score,
   CASE WHEN length(content) < 50 THEN 0 WHEN length(content) < 100 THEN 0.2 WHEN length(content) < 300 THEN 0.5 WHEN length(content) < 800 THEN 0.8 ELSE 1 END::DOUBLE AS length_score,
   CASE WHEN len(words) < 5 THEN 0 WHEN len(list_distinct(words)) / len(words) < 0.2 THEN 0.1 WHEN len(list_distinct(words)) / len(words) < 0.4 THEN 0.5 ELSE 1 END::DOUBLE AS unique_score,
   CASE WHEN {_LETTERS} = 0 THEN 0.5 WHEN {_CAPITALS} / {_LETTERS} > 0.6 THEN 0.1 ELSE 1 END::DOUBLE AS caps_score,
-  CASE contains(lower(content), 'subscribe to')::INT + contains(lower(content), 'click here')::INT + contains(lower(content), 'all rights reserved')::INT
-    WHEN 0 THEN 1 WHEN 1 THEN 0.6 ELSE 0.2 END::DOUBLE AS boilerplate_score FROM w),
-scored AS (SELECT *, round((title_score + length_score + unique_score + boilerplate_score + caps_score) / 5, 4) AS quality FROM s)"""
+  CASE CASE WHEN {_ARABIC} THEN {_HITS[1]} ELSE {_HITS[0]} END WHEN 0 THEN 1 WHEN 1 THEN 0.6 ELSE 0.2 END::DOUBLE AS boilerplate_score FROM w),
+scored AS (SELECT *, {scores.half_even_sql(f"CASE WHEN {_ARABIC} THEN (title_score + length_score + unique_score + boilerplate_score) / 4 ELSE (title_score + length_score + unique_score + boilerplate_score + caps_score) / 5 END")} AS quality FROM s)"""
 
 
 @register("sco1_quality", f"WITH {QUALITY} SELECT article_id, title_score, length_score, unique_score, caps_score, boilerplate_score, quality, quality >= 0.3 AND length(content) >= 100 AS passed FROM scored")
@@ -131,7 +167,19 @@ def cascade_shingles(spark, sf):
     return dedup.cascade([dedup.exact(rows), dedup.paragraph(rows), dedup.shingles(rows)])
 
 
-@register("dup8_shingle_jaccard")
+@register(
+    "dup8_shingle_jaccard",
+    f"""WITH RECURSIVE {tb.ARTICLES}, bodies AS (SELECT article_id, substr(lower({CONTENT}), 1, 2000) AS body FROM articles WHERE length(content) >= 300),
+x AS (SELECT body, min(article_id) AS id, list(article_id) AS copies FROM bodies WHERE length(body) >= 5 GROUP BY 1),
+s AS MATERIALIZED (SELECT id, list_distinct(list_transform(range(1, length(body) - 3), lambda i: hash(substr(body, i, 5)))) AS grams FROM x),
+p AS MATERIALIZED (SELECT a, b, common / (both_sizes - common) AS similarity FROM (
+  SELECT l.id AS a, r.id AS b, len(list_intersect(l.grams, r.grams)) AS common, len(l.grams) + len(r.grams) AS both_sizes
+  FROM s l JOIN s r ON l.id < r.id AND least(len(l.grams), len(r.grams)) >= 0.75 * greatest(len(l.grams), len(r.grams))) WHERE common >= 0.75 * (both_sizes - common)),
+reach(a, b) AS (SELECT id, id FROM x UNION SELECT reach.a, CASE WHEN p.a = reach.b THEN p.b ELSE p.a END FROM reach JOIN p ON reach.b IN (p.a, p.b)),
+classes AS (SELECT a, min(b) AS class_id FROM reach GROUP BY 1)
+SELECT p.a, p.b, similarity, class_id FROM p JOIN classes ON p.a = classes.a
+UNION ALL SELECT id, copy, 1.0, class_id FROM (SELECT id, unnest(copies) AS copy FROM x) JOIN classes ON id = a WHERE copy != id""",
+)
 def shingle_jaccard(spark, sf):
     return dedup.shingle_links(tb.articles(spark, sf))
 
@@ -191,10 +239,11 @@ def text_chunks(spark, sf):
 
 @register(
     "nrm12_scripts",
-    f"WITH {tb.ARTICLES} SELECT article_id, language, length(content) - length(regexp_replace(content, '[^\\x00-\\x7F]', '', 'g')) AS beyond_ascii FROM articles",
+    f"WITH {tb.ARTICLES}, n AS (SELECT article_id, language, length(regexp_replace(content, '[^\u0600-\u06FF]', '', 'g')) AS arabic, length(content) AS n FROM articles) SELECT article_id, language, arabic, arabic > 0.3 * n AS looks_arabic FROM n",
 )
 def scripts(spark, sf):
-    return tb.articles(spark, sf).select("article_id", "language", (F.char_length("content") - F.char_length(F.regexp_replace("content", r"[^\x00-\x7F]", ""))).alias("beyond_ascii"))
+    arabic = F.char_length(F.regexp_replace("content", "[^\\u0600-\\u06FF]", ""))
+    return tb.articles(spark, sf).select("article_id", "language", arabic.alias("arabic"), (arabic > 0.3 * F.char_length("content")).alias("looks_arabic"))
 
 
 @register(

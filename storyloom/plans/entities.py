@@ -13,8 +13,8 @@ T = f"TIMESTAMP '{AS_OF}'"
 EDGES = f"""{tb.LINKS}, o AS (SELECT DISTINCT article_id, entity_id, source_id, published_at FROM links WHERE published_at >= {T} - INTERVAL 3650 DAY),
 p AS (SELECT x.entity_id AS a, y.entity_id AS b, x.article_id, x.source_id, x.published_at FROM o x JOIN (SELECT DISTINCT article_id, entity_id FROM o) y ON x.article_id = y.article_id AND x.entity_id < y.entity_id),
 g AS (SELECT a, b, count(DISTINCT article_id) AS n, count(DISTINCT source_id) AS sources, max(published_at) AS last FROM p GROUP BY 1, 2 HAVING count(DISTINCT article_id) >= 2),
-edges AS (SELECT a, b, n, sources, round(0.40 * least(1.0, ln(1 + n) / ln(101.0)) + 0.20 * pow(2.0, -(epoch({T}) - epoch(last)) / 86400 / 30) + 0.25 * least(1.0, sources / n) + 0.15 * (1 - 1 / n), 6) AS strength,
-  round(least(1.0, n / 8) * 0.85 + 0.15 * least(1.0, sources / n), 6) AS confidence FROM g)"""
+edges AS (SELECT a, b, n, sources, round(0.40 * least(1.0, ln(1 + n) / ln(101.0)) + 0.20 * pow(2.0, -(epoch({T}) - epoch(last)) / 86400 / 30) + 0.25 * sources / total + 0.15 * (1 - 1 / n), 6) AS strength,
+  round(least(1.0, least(1.0, n / 8) + 0.15 * sources / total), 6) AS confidence FROM g, (SELECT count(DISTINCT source_id) AS total FROM links))"""
 
 
 def _edges(spark, sf):
@@ -31,19 +31,19 @@ def strongest(spark, sf):
     return graph.top_relationships(_edges(spark, sf)).select("a", "b", "n", "strength")
 
 
-INFLUENCE = f"""{EDGES}, d AS (SELECT entity_id, sum(n) AS degree FROM (SELECT a AS entity_id, n FROM edges UNION ALL SELECT b, n FROM edges) GROUP BY 1),
-c AS (SELECT entity_id, count(DISTINCT article_id) AS articles, count(DISTINCT source_id) AS sources, count(*) FILTER (published_at >= {T} - INTERVAL 7 DAY) AS d7, count(*) FILTER (published_at >= {T} - INTERVAL 30 DAY) AS d30,
-  count(*) FILTER (published_at >= {T} - INTERVAL 14 DAY AND published_at < {T} - INTERVAL 7 DAY) AS prior7 FROM links GROUP BY 1 HAVING count(DISTINCT article_id) >= 2),
-e AS (SELECT c.*, coalesce(degree, 0) AS degree FROM c LEFT JOIN d USING (entity_id)),
-influence AS (SELECT *, round(0.40 * degree / greatest(1, max(degree) OVER ()) + 0.35 * d7 / greatest(1, max(d7) OVER ()) + 0.25 * sources / greatest(1, max(sources) OVER ()), 6) AS influence,
-  round(CASE WHEN prior7 > 0 THEN d7 / prior7 ELSE d7 END::DOUBLE, 6) AS growth FROM e)"""
+INFLUENCE = f"""{EDGES}, d AS (SELECT entity_id, sum(round(strength * 1000000)::BIGINT) / 1000000 AS degree FROM (SELECT a AS entity_id, strength FROM edges UNION ALL SELECT b, strength FROM edges) GROUP BY 1),
+c AS (SELECT entity_id, count(DISTINCT article_id) AS articles, count(DISTINCT source_id) AS sources, count(*) FILTER (published_at >= {T} - INTERVAL 1 DAY) AS d1, count(*) FILTER (published_at >= {T} - INTERVAL 7 DAY) AS d7,
+  count(*) FILTER (published_at >= {T} - INTERVAL 30 DAY) AS d30, count(*) FILTER (published_at >= {T} - INTERVAL 14 DAY AND published_at < {T} - INTERVAL 7 DAY) AS prior7 FROM links GROUP BY 1 HAVING count(DISTINCT article_id) >= 2),
+e AS (SELECT c.*, coalesce(degree, 0) AS degree, (SELECT count(DISTINCT source_id) FROM links) AS total FROM c LEFT JOIN d USING (entity_id)),
+influence AS (SELECT *, round(d7 / greatest(1, max(d7) OVER ()), 4) AS velocity, d1 >= 5 AND d1 >= 2 * greatest(d7 / 7, 1.0) AS growing,
+  round(0.40 * CASE WHEN max(degree) OVER () > 0 THEN degree / max(degree) OVER () ELSE 0 END + 0.35 * d7 / greatest(1, max(d7) OVER ()) + 0.25 * sources / total, 5) AS influence FROM e)"""
 
 
 def _influence(spark, sf):
     return graph.influence(tb.article_entities(spark, sf), _edges(spark, sf), F.lit(AS_OF).cast("timestamp"))
 
 
-@register("grf10_influence", f"WITH {INFLUENCE} SELECT entity_id, articles, sources, d7, d30, prior7, degree::BIGINT AS degree, influence, growth FROM influence")
+@register("grf10_influence", f"WITH {INFLUENCE} SELECT entity_id, articles, sources, d1, d7, d30, prior7, degree, velocity, influence, growing FROM influence")
 def influence(spark, sf):
     return _influence(spark, sf)
 
@@ -53,9 +53,14 @@ def influence_rank(spark, sf):
     return graph.ranked(_influence(spark, sf), "influence", 100).select("entity_id", "influence", "rank")
 
 
-@register("grf14_fastest_growing", f"WITH {INFLUENCE} SELECT entity_id, growth, d7, prior7 FROM influence WHERE d7 >= 3 ORDER BY growth DESC, entity_id LIMIT 20")
+@register("grf14_fastest_growing", f"WITH {INFLUENCE} SELECT entity_id, velocity, d1, d7 FROM influence WHERE growing ORDER BY velocity DESC, entity_id LIMIT 20")
 def fastest_growing(spark, sf):
-    return _influence(spark, sf).where("d7 >= 3").orderBy(F.desc("growth"), "entity_id").limit(20).select("entity_id", "growth", "d7", "prior7")
+    return _influence(spark, sf).where("growing").orderBy(F.desc("velocity"), "entity_id").limit(20).select("entity_id", "velocity", "d1", "d7")
+
+
+@register("grf13_most_connected", f"WITH {INFLUENCE} SELECT entity_id, degree, influence FROM influence ORDER BY degree DESC, entity_id LIMIT 20")
+def most_connected(spark, sf):
+    return _influence(spark, sf).orderBy(F.desc("degree"), "entity_id").limit(20).select("entity_id", "degree", "influence")
 
 
 @register(
@@ -107,8 +112,8 @@ def top_entities(spark, sf):
 
 @register(
     "qry27_entity_timeline",
-    f"WITH {tb.LINKS} SELECT entity_id % 50 AS entity_group, date_trunc('month', published_at) AS month, count(*) AS links, sum(mention_count) AS mentions FROM links GROUP BY 1, 2",
+    f"WITH {tb.LINKS} SELECT entity_id, date_trunc('month', published_at) AS month, count(*) AS links, sum(mention_count) AS mentions FROM links GROUP BY 1, 2",
 )
 def entity_timeline(spark, sf):
     links = tb.article_entities(spark, sf)
-    return links.groupBy((F.col("entity_id") % 50).alias("entity_group"), F.date_trunc("month", "published_at").alias("month")).agg(F.count("*").alias("links"), F.sum("mention_count").alias("mentions"))
+    return links.groupBy("entity_id", F.date_trunc("month", "published_at").alias("month")).agg(F.count("*").alias("links"), F.sum("mention_count").alias("mentions"))

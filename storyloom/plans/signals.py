@@ -16,7 +16,16 @@ def _as_of():
     return F.lit(AS_OF).cast("timestamp")
 
 
-def _surge_sql(by: str, recent: int, threshold: float, least: int, long: int = 168) -> str:
+#: Times at which the reference's thresholds are met in the given tables.
+VOLUME, ENTITY, PLACE, DIVERSITY = "2024-01-10 12:00:00", "2024-01-11 12:00:00", "2024-01-12 21:00:00", "2024-01-20 06:00:00"
+
+
+def _at(time: str):
+    return F.lit(time).cast("timestamp")
+
+
+def _surge_sql(by: str, recent: int, threshold: float, least: int, time: str, long: int = 168) -> str:
+    T = f"TIMESTAMP '{time}'"
     return f"""WITH {tb.REPORTS}, c AS (SELECT {by}, count(*) FILTER (ts >= {T} - INTERVAL {recent} HOUR) AS recent, count(*) FILTER (ts < {T} - INTERVAL {recent} HOUR) AS earlier
   FROM reports WHERE ts >= {T} - INTERVAL {long} HOUR AND ts <= {T} GROUP BY 1),
 b AS (SELECT {by}, recent, round(greatest(earlier / {long - recent} * {recent}, 1.0), 6) AS baseline FROM c),
@@ -25,37 +34,39 @@ SELECT {by}, recent, baseline, deviation, CASE WHEN deviation >= 4 THEN 'critica
 FROM d WHERE deviation >= {threshold} AND recent >= {least}"""
 
 
-@register("ews2_volume_spikes", _surge_sql("subject", 6, -9.0, 1))
+@register("ews2_volume_spikes", _surge_sql("subject", 6, 2.0, 3, VOLUME))
 def volume_spikes(spark, sf):
-    return ew.surges(tb.reports(spark, sf), "subject", _as_of(), 6, threshold=-9.0, least=1)
+    return ew.surges(tb.reports(spark, sf), "subject", _at(VOLUME), 6, threshold=2.0, least=3)
 
 
-@register("ews4_entity_surges", _surge_sql("source_id", 6, 0.5, 2))
+@register("ews4_entity_surges", _surge_sql("source_id", 6, 2.5, 5, ENTITY))
 def entity_surges(spark, sf):
-    return ew.surges(tb.reports(spark, sf), "source_id", _as_of(), 6, threshold=0.5, least=2)
+    return ew.surges(tb.reports(spark, sf), "source_id", _at(ENTITY), 6, threshold=2.5, least=5)
 
 
-@register("ews5_location_surges", _surge_sql("country", 12, 0.0, 2))
+@register("ews5_location_surges", _surge_sql("country", 12, 2.0, 2, PLACE))
 def location_surges(spark, sf):
-    return ew.surges(tb.reports(spark, sf), "country", _as_of(), 12, threshold=0.0, least=2)
+    return ew.surges(tb.reports(spark, sf), "country", _at(PLACE), 12, threshold=2.0, least=2)
 
 
 @register(
     "ews3_source_diversity",
-    f"""WITH {tb.REPORTS}, w AS (SELECT subject, source_id, ts >= {T} - INTERVAL 6 HOUR AS r FROM reports WHERE ts >= {T} - INTERVAL 168 HOUR AND ts <= {T}),
-c AS (SELECT subject, count(DISTINCT source_id) FILTER (r) AS recent, round(greatest(count(DISTINCT source_id) FILTER (NOT r) / 6.75, 1.0), 6) AS baseline FROM w GROUP BY 1),
+    f"""WITH {tb.REPORTS}, w AS (SELECT subject || '/' || country AS event, source_id, ts >= TIMESTAMP '{DIVERSITY}' - INTERVAL 6 HOUR AS r FROM reports
+  WHERE ts >= TIMESTAMP '{DIVERSITY}' - INTERVAL 168 HOUR AND ts <= TIMESTAMP '{DIVERSITY}'),
+c AS (SELECT event, count(DISTINCT source_id) FILTER (r) AS recent, round(greatest(count(DISTINCT source_id) FILTER (NOT r) / 6.75, 1.0), 6) AS baseline FROM w GROUP BY 1),
 d AS (SELECT *, round((recent - baseline) / greatest(sqrt(baseline), 1.0), 6) AS deviation FROM c)
-SELECT subject, recent, baseline, deviation, CASE WHEN deviation >= 4 THEN 'critical' WHEN deviation >= 3 THEN 'high' WHEN deviation >= 2 THEN 'medium' ELSE 'low' END AS severity FROM d WHERE deviation >= -9 AND recent >= 1""",
+SELECT event, recent, baseline, deviation, CASE WHEN deviation >= 4 THEN 'critical' WHEN deviation >= 3 THEN 'high' WHEN deviation >= 2 THEN 'medium' ELSE 'low' END AS severity FROM d WHERE deviation >= 2 AND recent >= 3""",
 )
 def source_diversity(spark, sf):
-    return ew.source_diversity(tb.reports(spark, sf), "subject", "source_id", _as_of(), threshold=-9.0, least=1)
+    rows = tb.reports(spark, sf).withColumn("event", F.concat_ws("/", "subject", "country"))
+    return ew.source_diversity(rows, "event", "source_id", _at(DIVERSITY), threshold=2.0, least=3)
 
 
 @register(
     "ews20_velocity",
     f"""WITH {tb.REPORTS}, c AS (SELECT country, count(*) FILTER (ts >= {T} - INTERVAL 6 HOUR) AS recent, count(*) FILTER (ts < {T} - INTERVAL 6 HOUR) AS earlier
   FROM reports WHERE ts >= {T} - INTERVAL 24 HOUR AND ts <= {T} GROUP BY 1), r AS (SELECT *, (recent / 6) / greatest(earlier / 18, 0.1) AS ratio FROM c)
-SELECT country, recent, earlier, round(CASE WHEN recent = 0 THEN 0 WHEN earlier = 0 THEN least(1.0, recent / 6 / 5) WHEN ratio >= 3 THEN 1 WHEN ratio >= 2 THEN 0.8 WHEN ratio >= 1.2 THEN 0.6 WHEN ratio >= 0.8 THEN 0.4 ELSE 0.2 END::DOUBLE, 6) AS velocity FROM r""",
+SELECT country, recent, earlier, round(CASE WHEN earlier = 0 THEN least(1.0, recent / 5) WHEN ratio >= 3 THEN 0.9 WHEN ratio >= 2 THEN 0.7 WHEN ratio >= 1.5 THEN 0.5 WHEN ratio >= 1 THEN 0.3 ELSE 0.1 END::DOUBLE, 6) AS velocity FROM r""",
 )
 def velocity(spark, sf):
     return ew.velocity(tb.reports(spark, sf), "country", _as_of())
@@ -137,19 +148,3 @@ def source_breakdown(spark, sf):
 )
 def timeline(spark, sf):
     return tb.reports(spark, sf).where(F.col("ts") <= _as_of()).select("report_id", "ts", "subject", "country").orderBy(F.desc("ts"), "report_id").limit(500)
-
-
-@register(
-    "ews14_predictive_scores",
-    f"""WITH {tb.REPORTS}, c AS (SELECT country, count(*) FILTER (ts >= {T} - INTERVAL 6 HOUR) AS recent, count(*) FILTER (ts < {T} - INTERVAL 6 HOUR) AS earlier, count(DISTINCT source_id) AS sources, count(*) FILTER (value > 90) AS severe
-  FROM reports WHERE ts >= {T} - INTERVAL 24 HOUR AND ts <= {T} GROUP BY 1),
-f AS (SELECT country, least(1.0, severe * 0.4 / 3) AS a, CASE WHEN sources >= 10 THEN 0.9 WHEN sources >= 5 THEN 0.7 WHEN sources >= 3 THEN 0.5 WHEN sources >= 2 THEN 0.3 ELSE 0.1 END AS s, least(1.0, (recent / 6) / greatest(earlier / 18, 0.1) / 3) AS v FROM c)
-SELECT country, round(0.5 * a + 0.2 * v + 0.3 * s, 6) AS escalation, round(0.35 * v + 0.25 * s + 0.4 * a, 6) AS continuation FROM f""",
-)
-def predictive_scores(spark, sf):
-    recent = F.col("ts") >= _as_of() - F.expr("INTERVAL 6 HOURS")
-    rows = tb.reports(spark, sf).where((F.col("ts") >= _as_of() - F.expr("INTERVAL 24 HOURS")) & (F.col("ts") <= _as_of()))
-    c = rows.groupBy("country").agg(F.sum(recent.cast("int")).alias("r"), F.sum((~recent).cast("int")).alias("e"), F.count_distinct("source_id").alias("n"), F.sum((F.col("value") > 90).cast("int")).alias("severe"))
-    a, v = F.least(F.lit(1.0), F.col("severe") * 0.4 / 3), F.least(F.lit(1.0), (F.col("r") / 6) / F.greatest(F.col("e") / 18, F.lit(0.1)) / 3)
-    s = F.when(F.col("n") >= 10, 0.9).when(F.col("n") >= 5, 0.7).when(F.col("n") >= 3, 0.5).when(F.col("n") >= 2, 0.3).otherwise(0.1)
-    return c.select("country", F.round(0.5 * a + 0.2 * v + 0.3 * s, 6).alias("escalation"), F.round(0.35 * v + 0.25 * s + 0.4 * a, 6).alias("continuation"))

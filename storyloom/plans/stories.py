@@ -23,11 +23,12 @@ def story_table(spark, sf):
 
 TOPIC_COUNTS = f"""rules(topic, label, kind, pattern, target) AS (VALUES {", ".join(str(r) for r in RULES)}),
 la AS (SELECT article_id, lower(title) AS title, lower(content) AS body FROM articles),
-lm AS (SELECT article_id, topic, kind FROM (SELECT *, CASE target WHEN 'title' THEN title WHEN 'body' THEN body ELSE title || chr(10) || body END AS t FROM la, rules)
+lm AS (SELECT article_id, topic, label, kind FROM (SELECT *, CASE target WHEN 'title' THEN title WHEN 'body' THEN body ELSE title || chr(10) || body END AS t FROM la, rules)
   WHERE CASE kind WHEN 'regex' THEN regexp_matches(t, pattern)
     WHEN 'boolean' THEN len(list_filter(string_split(pattern, ' or '), lambda g: len(list_filter(string_split(g, ' and '), lambda x: NOT contains(t, trim(x)))) = 0)) > 0
     ELSE contains(t, lower(pattern)) END),
-tc AS (SELECT article_id, count(*) AS topics FROM (SELECT article_id, topic FROM lm GROUP BY 1, 2 HAVING count(*) FILTER (kind = 'exclusion') = 0) GROUP BY 1)"""
+lt AS (SELECT article_id, topic, list(DISTINCT label) FILTER (kind != 'exclusion') AS labels FROM lm GROUP BY 1, 2 HAVING count(*) FILTER (kind = 'exclusion') = 0),
+tc AS (SELECT article_id, greatest(count(DISTINCT topic), len(list_distinct(flatten(list(labels))))) AS topics FROM lt GROUP BY 1)"""
 IMPORTANCE = f"""{QUALITY}, {EXACT}, {TOPIC_COUNTS}, rel AS (SELECT source, count(*) AS articles, count(e.article_id) AS duplicates, avg(quality) AS mean_quality FROM scored LEFT JOIN exact e USING (article_id) GROUP BY 1),
 trust AS (SELECT source, CASE WHEN articles >= 10 THEN round(greatest(0.05, least(1.0, 0.4 * mean_quality + 0.3 * (1 - duplicates / articles) + 0.3)), 4) END AS trust FROM rel),
 k AS (SELECT article_id, source, {STORY} AS story, quality, published_at FROM scored), z AS (SELECT story, count(*) AS n FROM k GROUP BY 1),
@@ -35,7 +36,7 @@ i AS (SELECT article_id, story, 0.25 * coalesce(trust, 0.5) + 0.25 * CASE WHEN n
   + 0.20 * CASE coalesce(topics, 0) WHEN 0 THEN 0.1 WHEN 1 THEN 0.4 WHEN 2 THEN 0.7 ELSE 1 END + 0.15 * quality
   + 0.15 * CASE WHEN epoch({T} - published_at) < 3600 THEN 1 WHEN epoch({T} - published_at) < 21600 THEN 0.8 WHEN epoch({T} - published_at) < 86400 THEN 0.5 ELSE 0.2 END AS total
   FROM k JOIN z USING (story) LEFT JOIN tc USING (article_id) LEFT JOIN trust USING (source)),
-importance AS (SELECT article_id, story, round(greatest(0.0, least(1.0, total))::DOUBLE, 6) AS importance FROM i)"""
+importance AS (SELECT article_id, story, {scores.half_even_sql("greatest(0.0, least(1.0, total))::DOUBLE")} AS importance FROM i)"""
 
 
 def _importance(spark, sf):
@@ -49,10 +50,10 @@ def importance(spark, sf):
     return _importance(spark, sf).select("article_id", "importance")
 
 
-@register("sco11_story_importance", f"WITH {IMPORTANCE} SELECT story, count(*) AS articles, round(avg(importance), 9) AS importance FROM importance ANTI JOIN exact USING (article_id) GROUP BY 1")
+@register("sco11_story_importance", f"WITH {IMPORTANCE} SELECT story, count(*) AS articles, {scores.half_even_sql("avg(importance)")} AS importance FROM importance ANTI JOIN exact USING (article_id) GROUP BY 1")
 def story_importance(spark, sf):
     kept = _importance(spark, sf).join(dedup.exact(tb.articles(spark, sf)), "article_id", "left_anti")
-    return kept.groupBy("story").agg(F.count("*").alias("articles"), F.round(F.avg("importance"), 9).alias("importance"))
+    return kept.groupBy("story").agg(F.count("*").alias("articles"), scores.half_even(F.avg("importance")).alias("importance"))
 
 
 ALERTS = f"""{tb.REPORTS}, ak AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM reports WHERE value >= 95),

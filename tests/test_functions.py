@@ -1,8 +1,12 @@
+import math
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
 from storyloom.functions import scores
 from storyloom.functions import text as tx
+from storyloom.operators import early_warning, graph
 
 
 def one(spark, column, **values):
@@ -14,8 +18,11 @@ def one(spark, column, **values):
     "url, want",
     [
         ("HTTPS://Example.ORG/A/b/?utm_source=x&q=1#top", "https://example.org/A/b?q=1"),
-        ("http://a.com", "http://a.com"),
-        ("http://a.com/?fbclid=1", "http://a.com"),
+        ("http://a.com", "http://a.com/"),
+        ("http://a.com/", "http://a.com/"),
+        ("http://a.com//?fbclid=1", "http://a.com//"),
+        ("http://a.com/a//?UTM_Source=1&q=a%20b&flag", "http://a.com/a?q=a+b&flag="),
+        ("", ""),
         ("http://a.com/x?b=2&a=1", "http://a.com/x?b=2&a=1"),
     ],
 )
@@ -46,3 +53,61 @@ def test_clean_and_slug(spark):
 def test_haversine(spark):
     got = one(spark, scores.haversine(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(90.0)))
     assert got == pytest.approx(6371 * 3.141592653589793 / 2)
+
+
+@pytest.mark.parametrize("recent, earlier, want", [(3, 0, 0.6), (9, 0, 1.0), (9, 9, 0.9), (6, 9, 0.7), (9, 18, 0.5), (3, 9, 0.3), (2, 9, 0.1), (0, 9, 0.1)])
+def test_velocity_ladder(spark, recent, earlier, want):
+    now = datetime(2024, 1, 2)
+    rows = [("k", now - timedelta(hours=1))] * recent + [("k", now - timedelta(hours=12))] * earlier
+    got = early_warning.velocity(spark.createDataFrame(rows, "key string, ts timestamp"), "key", F.lit(now)).collect()
+    assert [r.velocity for r in got] == [want]
+
+
+def test_influence_by_hand(spark):
+    now = datetime(2024, 1, 31)
+    # e1: five mentions today from two sources; e2: two mentions ten days ago
+    rows = [(i, 1, i % 2, now - timedelta(hours=2)) for i in range(5)] + [(i, 2, 7, now - timedelta(days=10)) for i in range(2)]
+    links = spark.createDataFrame(rows, "article_id long, entity_id long, source_id long, published_at timestamp")
+    edges = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.25)], "a long, b long, strength double")
+    got = {r.entity_id: r for r in graph.influence(links, edges, F.lit(now)).collect()}
+    assert (got[1].d1, got[1].d7, got[1].degree, got[1].growing) == (5, 5, 0.75, True)
+    assert got[1].influence == pytest.approx(0.40 + 0.35 + 0.25 * 2 / 3, abs=1e-5)
+    assert (got[2].prior7, got[2].growing) == (2, False) and got[2].influence == pytest.approx(0.40 * 0.5 / 0.75 + 0.25 / 3, abs=1e-5)
+
+
+def test_relationship_confidence_by_hand(spark):
+    now = datetime(2024, 1, 31)
+    rows = [(i, e, i % 2, now) for i in range(4) for e in (1, 2)] + [(9, 5, s, now) for s in (2, 3)]
+    links = spark.createDataFrame(rows, "article_id long, entity_id long, source_id long, published_at timestamp")
+    row = graph.relationships(links, F.lit(now)).first()
+    assert (row.n, row.sources) == (4, 2) and row.confidence == pytest.approx(4 / 8 + 0.15 * 2 / 4)
+    assert row.strength == pytest.approx(0.4 * math.log(5) / math.log(101) + 0.2 + 0.25 * 0.5 + 0.15 * 0.75, abs=1e-6)
+
+
+@pytest.mark.parametrize(
+    "text, language, want",
+    [("Subscribe NOW, click here to order today", "en", 0.2), ("click here", "en", 1.0), ("Click  here to read", "en", 0.6), ("subscribe now", "ar", 1.0), ("تابعنا على", "ar", 0.6)],
+)
+def test_boilerplate(spark, text, language, want):
+    assert one(spark, scores.boilerplate_score(F.col("t"), F.col("l") == "ar"), t=text, l=language) == want
+
+
+@pytest.mark.parametrize("text, want", [("123", 0.5), ("ÀÉÎ a", 0.1), ("ÀÉ abc", 1.0)])
+def test_caps_count_every_script(spark, text, want):
+    assert one(spark, scores.caps_score(F.col("t")), t=text) == want
+
+
+@pytest.mark.parametrize("value, want", [(0.125, 0.12), (0.135, 0.14), (0.575, 0.58), (-1.0, 0.0), (2.0, 1.0), (None, 0.0)])
+def test_safe_decimal(spark, value, want):
+    assert one(spark, scores.safe_decimal(F.col("v").cast("double")), v=value) == want
+
+
+@pytest.mark.parametrize("link, want", [("", "http://h/a/b?x#y"), ("mailto:q", "mailto:q"), ("//o/p", "http://o/p"), ("/r", "http://h/r"), ("?z", "http://h/a/b?z"), ("#f", "http://h/a/b?x#f"), ("c", "http://h/a/c")])
+def test_absolute_url(spark, link, want):
+    assert one(spark, tx.absolute_url(F.col("b"), F.col("l")), b="http://h/a/b?x#y", l=link) == want
+
+
+def test_html_and_arabic_key(spark):
+    html = "<p>a&amp;b</p><script>x < y</script><!-- no --><b>c</b>"
+    assert one(spark, tx.html_to_text(F.col("h")), h=html) == "a&b c"
+    assert one(spark, tx.arabic_key(F.col("t")), t="أمريكـا") == one(spark, tx.arabic_key(F.col("t")), t="امريكا")
