@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from storyloom.sources import tables as tb
+
 
 def relationships(links: DataFrame, as_of: Column, days: int = 90, least: int = 2) -> DataFrame:
     """(a, b, n, sources, strength, confidence) for entities named together in `least` articles or more.
@@ -72,3 +74,27 @@ def ranked(scored: DataFrame, score: str, k: int, key: str = "entity_id") -> Dat
     """The k highest, numbered from 1; only those k rows are ever in one place."""
     top = scored.orderBy(F.desc(score), key).limit(k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), key)))
+
+
+def shortest_path(edges: DataFrame, start: DataFrame, goal: DataFrame, most: int = 6) -> DataFrame:
+    """(hops, path): the shortest undirected way between two nodes (a row `node` each), of at most `most` edges; no row if none.
+
+    A frontier is joined with the edges; each node keeps its first, then smallest, way. Nodes met before are not met again.
+    """
+    both = tb.written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    seen = tb.written(start.select(F.col("node").cast("long").alias("node"), F.lit(0).alias("hops"), F.array(F.col("node").cast("long")).alias("path")))
+    for hop in range(1, most + 1):
+        if not seen.join(goal, "node", "left_semi").isEmpty():
+            break
+        step = seen.where(F.col("hops") == hop - 1).join(both, F.col("node") == F.col("a"))
+        step = step.groupBy(F.col("b").cast("long").alias("node")).agg(F.min("path").alias("path")).join(seen, "node", "left_anti")
+        seen = tb.written(seen.unionByName(step.select("node", F.lit(hop).alias("hops"), F.concat("path", F.array("node")).alias("path"))))
+    return seen.join(goal.select(F.col("node").cast("long").alias("node")), "node", "left_semi").select("hops", "path")
+
+
+def entity_graph(edges: DataFrame, scored: DataFrame, least: float = 0.2, top: int = 50, most: int = 500) -> DataFrame:
+    """The strongest edges that touch one of the `top` most influential entities."""
+    chosen = F.broadcast(scored.orderBy(F.desc("influence"), "entity_id").limit(top).select("entity_id"))  # `top` rows
+    strong = edges.where(F.col("strength") >= least)
+    near = strong.join(chosen, strong.a == chosen.entity_id, "left_semi").unionByName(strong.join(chosen, strong.b == chosen.entity_id, "left_semi")).distinct()
+    return near.orderBy(F.desc("strength"), "a", "b").limit(most)
