@@ -197,5 +197,5 @@ def historical_matches(events: DataFrame, members: DataFrame, as_of: Column, day
     place = F.when(F.col("country").isNull() | F.col("country_old").isNull(), 0.2).when(F.col("country") == F.col("country_old"), 1.0).otherwise(0.0)
     pattern = 1 - F.abs(F.col("sources") - F.col("sources_old")) / F.greatest("sources", "sources_old")
     weight = 1 - F.least(F.lit(1.0), F.abs(F.col("importance") - F.col("importance_old")))
-    total = F.round(0.25 + 0.25 * place + 0.25 * jaccard + 0.15 * pattern + 0.10 * weight, 6)
+    total = scores.half_even(0.25 + 0.25 * place + 0.25 * jaccard + 0.15 * pattern + 0.10 * weight, 4)
     return out.select("event", F.col("event_old").alias("match"), total.alias("similarity")).where(F.col("similarity") >= least)
