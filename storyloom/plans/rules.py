@@ -136,7 +136,7 @@ def anomaly_upsert(spark, sf):
 #: An event is a subject in a country in a week; a month has events old enough to be matched.
 LATER = "2024-01-30 00:00:00"
 WEEKS = f"""{tb.REPORTS}, w AS (SELECT subject || '/' || country || '/' || strftime(date_trunc('week', ts), '%Y-%m-%d') AS event, subject AS type, country, source_id, value, ts FROM reports WHERE ts <= TIMESTAMP '{LATER}'),
-events_ AS (SELECT event, type, country, count(DISTINCT source_id) AS sources, round(avg(value) / 100, 4) AS importance, max(ts) AS ts FROM w GROUP BY 1, 2, 3)"""
+events_ AS (SELECT event, type, country, count(DISTINCT source_id) AS sources, floor(avg(value)) / 100 AS importance, max(ts) AS ts FROM w GROUP BY 1, 2, 3)"""
 
 
 @register(
@@ -144,14 +144,15 @@ events_ AS (SELECT event, type, country, count(DISTINCT source_id) AS sources, r
     f"""WITH {WEEKS}, o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY importance DESC, event) AS r FROM events_ WHERE ts < TIMESTAMP '{LATER}' - INTERVAL 14 DAY) WHERE r <= 50),
 n AS (SELECT * FROM events_ WHERE ts >= TIMESTAMP '{LATER}' - INTERVAL 168 HOUR), m AS (SELECT DISTINCT event, source_id FROM w), z AS (SELECT event, count(*) AS size FROM m GROUP BY 1),
 c AS (SELECT x.event AS e, y.event AS f, count(*) AS common FROM m x JOIN m y USING (source_id) GROUP BY 1, 2),
-s AS (SELECT n.event, o.event AS match, {scores.half_even_sql("(0.25 + 0.25 * CASE WHEN n.country = o.country THEN 1.0 ELSE 0.0 END + 0.25 * (coalesce(common, 0) / (zn.size + zo.size - coalesce(common, 0))) + 0.15 * (1 - abs(n.sources - o.sources) / greatest(n.sources, o.sources)) + 0.10 * (1 - least(1.0, abs(n.importance - o.importance))))::DOUBLE", 4)} AS similarity
+s AS (SELECT n.event, o.event AS match, round(0.25::DOUBLE + 0.25::DOUBLE * CASE WHEN n.country = o.country THEN 1 ELSE 0 END + 0.25::DOUBLE * (coalesce(common, 0) / (zn.size + zo.size - coalesce(common, 0)))
+    + 0.15::DOUBLE * (1 - abs(n.sources - o.sources) / greatest(n.sources, o.sources)) + 0.10::DOUBLE * (1 - least(1.0::DOUBLE, abs(n.importance - o.importance))), 6) AS similarity
   FROM n JOIN o USING (type) JOIN z zn ON zn.event = n.event JOIN z zo ON zo.event = o.event LEFT JOIN c ON c.e = n.event AND c.f = o.event)
 SELECT event, match, similarity FROM s WHERE similarity >= 0.35""",
 )
 def historical_matches(spark, sf):
     week = F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd")
     w = tb.reports(spark, sf).where(F.col("ts") <= F.lit(LATER).cast("timestamp")).withColumn("event", F.concat_ws("/", "subject", "country", week))
-    events = w.groupBy("event", F.col("subject").alias("type"), "country").agg(F.count_distinct("source_id").alias("sources"), F.round(F.avg("value") / 100, 4).alias("importance"), F.max("ts").alias("ts"))
+    events = w.groupBy("event", F.col("subject").alias("type"), "country").agg(F.count_distinct("source_id").alias("sources"), (F.floor(F.avg("value")) / 100).alias("importance"), F.max("ts").alias("ts"))
     return ew.historical_matches(events, w.select("event", F.col("source_id").alias("entity")), F.lit(LATER).cast("timestamp"))
 
 
