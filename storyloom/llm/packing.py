@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from storyloom.llm._common import cut, quoted, rows
 
-#: Words whose ids a worker remembers; then it forgets them all.
-REMEMBERED = 1_000_000
+#: Units whose ids a worker remembers (about half a kilobyte each); with more it forgets them all before the next batch.
+REMEMBERED = 100_000
 #: A control character that the tokenizer keeps as a token of its own, between units encoded together.
 MARK = "\x01"
 #: Lower-case letters of U+0000 to U+00FF (as a character class), and the ASCII marks.
