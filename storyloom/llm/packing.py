@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from storyloom.llm._common import cut, quoted, rows
 
-#: Units whose ids a worker remembers (about half a kilobyte each); with more it forgets them all before the next batch.
+#: Units whose ids a worker remembers (about 170 bytes each); with more it forgets them all before the next batch.
 REMEMBERED = 100_000
 #: A control character that the tokenizer keeps as a token of its own, between units encoded together.
 MARK = "\x01"
