@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,8 +72,29 @@ def fold(bucket: str) -> Column:
     return F.crc32(F.coalesce(F.col(bucket).cast("string"), F.lit("")))
 
 
-def rows(batches: Iterable[pa.RecordBatch], size: int = 2000) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most `size`, so that long texts don't pile up in one."""
+def carried(df: DataFrame, *without: str) -> Column:
+    """All columns of df but some as one struct, whatever their names; never empty."""
+    name = "none of them"
+    while name in df.columns:
+        name += "_"
+    return F.struct(F.lit(0).alias(name), *[quoted(df, c).alias(c) for c in df.columns if c not in without])
+
+
+def rows(batches: Iterable[pa.RecordBatch], size: int = 2000, column: int | None = None, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `size`, so that long texts don't pile up in one.
+
+    If a string or binary column is named by its place, a batch also ends where this column has `most` bytes; a
+    single longer text is a batch of its own.
+    """
     for batch in batches:
-        for at in range(0, batch.num_rows, size):
-            yield batch.slice(at, size)
+        if column is None:
+            cuts = [*range(0, batch.num_rows, size), batch.num_rows]
+        else:
+            until = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            cuts, at = [0], 0
+            while at < batch.num_rows:
+                within = int(np.searchsorted(until, (until[at - 1] if at else 0) + most, "right"))
+                at = min(at + size, max(within, at + 1))
+                cuts.append(at)
+        for at, end in zip(cuts, cuts[1:]):
+            yield batch.slice(at, end - at)

@@ -198,7 +198,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
-        for batch in rows(batches, 1000):
+        for batch in rows(batches, 1000, len(kept)):
             take, out, begin = [], defaultdict(list), 0
             every, stops = encoder.encode(batch.column(len(kept)))
             for i, stop in enumerate(stops.tolist()):

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm._common import cut, quoted
+from storyloom.llm._common import carried, cut, quoted
 
 #: Kind, pattern, group of the value and its least length. Kinds are in this order.
 KINDS = [
@@ -105,8 +105,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: Col
     base = F.array_sort(F.concat(*[_found(body, *k) for k in KINDS]))
     bare = F.filter(_found(body, OWNED, _BARE, 0, 20), lambda s: _looks_live(s["value"]))
     marked = given.select("doc_id", "owner", "repository", F.xxhash64("text").alias("print"), base.alias("base"), bare.alias("bare"))
-    apart = F.filter("bare", lambda b: ~F.exists("base", lambda s: (s["start"] < b["end"]) & (b["start"] < s["end"])))
-    marked = cut(marked.withColumn("bare", apart).withColumn("row", F.monotonically_increasing_id()))
+    marked = cut(marked.withColumn("bare", F.when((F.size("base") == 0) | (F.size("bare") == 0), F.col("bare")).otherwise(_apart(F.col("base"), F.col("bare")))).withColumn("row", F.monotonically_increasing_id()))
 
     spans = marked.select("row", "owner", "repository", F.explode(F.concat("base", "bare")).alias("s"))
     spans = spans.withColumn("hash", F.sha2(F.col("s.value"), 256))
@@ -132,25 +131,66 @@ def judged(spans: Column | str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", *[s[c] for c in ("kind", "start", "end", "owners", "repositories", "verdict")])), ",")
 
 
+def _reached(ends: Column) -> Column:
+    """For each place, the largest end before it (0 at the first), by blocks as above."""
+    blocks = F.sequence(F.lit(0), F.floor(F.size(ends) / BLOCK).cast("int"))
+    tops = F.transform(blocks, lambda k: F.array_max(F.slice(ends, k * BLOCK + 1, F.lit(BLOCK))))
+
+    def within(before: Column, i: Column) -> Column:
+        at = F.floor(i / BLOCK).cast("int")
+        return F.greatest(F.lit(0), F.get(before, at), F.array_max(F.slice(ends, at * BLOCK + 1, i - at * BLOCK)))
+
+    before = _let(tops, lambda t: F.transform(t, lambda _, k: F.array_max(F.slice(t, F.lit(1), k))))
+    return _let(before, lambda b: F.transform(ends, lambda _, i: within(b, i)))
+
+
+def _apart(base: Column, bare: Column) -> Column:
+    """The bare spans that overlap no base span: no base span that starts before reaches them, none starts inside.
+
+    Both together in order of start, so that each looks at running extremes and not at all the others.
+    """
+    far = F.lit(2**31 - 1)
+    is_base = lambda s: s["rank"] < len(KINDS)
+
+    def kept(every: Column) -> Column:
+        ends = F.transform(every, lambda s: F.when(is_base(s), s["end"]).otherwise(0))
+        starts = F.reverse(F.transform(every, lambda s: F.when(is_base(s), far - s["start"]).otherwise(0)))
+        extremes = F.struct(_let(ends, _reached).alias("before"), F.reverse(_let(starts, _reached)).alias("after"))
+        return _let(extremes, lambda e: F.filter(every, lambda s, i: ~is_base(s) & (F.get(e["before"], i) <= s["start"]) & (far - F.get(e["after"], i) >= s["end"])))
+
+    return _let(F.array_sort(F.concat(base, bare)), kept)
+
+
 def redact(text: Column, spans: str) -> Column:
-    """The text with its spans replaced: by [EXAMPLE] where all values of a stretch are copied ones, else by [SECRET]."""
-    stretch = "array<struct<start:int,end:int,example:boolean>>"
+    """The text with its spans, which are in order of start, replaced: by [EXAMPLE] where all values of a stretch of
+    overlapping spans are copied ones, else by [SECRET].
+
+    The text is cut as UTF-32, where a place is found without counting from the start, so the work grows with the
+    text and its spans, however many they are.
+    """
+    given = F.col(spans)
+
+    def firsts(ends: Column, reached: Column) -> Column:
+        tried = F.transform(given, lambda s, i: F.struct(s["start"].alias("start"), F.get(reached, i).alias("before"), i.alias("at")))
+        closing = F.struct(F.lit(None).cast("int").alias("start"), F.array_max(ends).alias("before"), F.size(given).alias("at"))
+        return F.concat(F.filter(tried, lambda f: f["start"] >= f["before"]), F.array(closing))  # each stretch's first span
 
-    def join(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        own = F.struct(s["start"].alias("start"), s["end"].alias("end"), (s["verdict"] == "copied").alias("example"))
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), (last["example"] & (s["verdict"] == "copied")).alias("example"))
-        meets = (F.size(done) > 0) & (s["start"] < F.get(done, F.size(done) - 1)["end"])
-        return F.when(meets, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(own)))
+    def cut_out(wide: Column, start: Column, end: Column) -> Column:
+        return F.decode(F.substring(wide, 4 * start + 1, 4 * (end - start)), "UTF-32")
 
-    merged = F.aggregate(spans, F.array().cast(stretch), join)
+    def replaced(wide: Column, f: Column) -> Column:
+        def piece(own: Column, i: Column) -> Column:
+            until = F.get(f, i + 1)
+            own_spans = F.slice(given, own["at"] + 1, F.coalesce(until["at"], own["at"]) - own["at"])
+            mark = F.when(F.forall(own_spans, lambda s: s["verdict"] == "copied"), "[EXAMPLE]").otherwise("[SECRET]")
+            kept = cut_out(wide, own["before"], F.coalesce(own["start"], F.char_length(text)))
+            return F.when(own["start"].isNull(), kept).otherwise(F.concat(kept, mark))
 
-    def before(m: Column, i: Column) -> Column:
-        at = F.coalesce(F.get(merged, i - 1)["end"], F.lit(0))
-        return F.concat(F.substring(text, at + 1, m["start"] - at), F.when(m["example"], "[EXAMPLE]").otherwise("[SECRET]"))
+        return F.array_join(F.transform(f, piece), "")
 
-    rest = F.substring(text, F.element_at(merged, -1)["end"] + 1, F.char_length(text))
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(F.transform(merged, before), ""), rest))
+    stretches = _let(F.transform(given, lambda s: s["end"]), lambda ends: _let(_reached(ends), lambda reached: firsts(ends, reached)))
+    made = _let(stretches, lambda f: _let(F.encode(text, "UTF-32"), lambda wide: replaced(wide, f)))
+    return F.when(F.size(given) == 0, text).otherwise(made)
 
 
 def redact_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -159,7 +199,7 @@ def redact_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     Repeated rows stay repeated; columns of any name, with dots or of the names used here, stay as they are.
     """
     found = scan(docs, doc_id, text, **options).where(F.size("spans") > 0).dropDuplicates(["doc_id", "print"])
-    others = F.struct(F.lit(0).alias("none of them"), *[quoted(docs, c).alias(c) for c in docs.columns if c != text])
+    others = carried(docs, text)
     given = docs.select(others.alias("row"), quoted(docs, text).alias("body"), quoted(docs, doc_id).alias("own"), F.xxhash64(F.coalesce(quoted(docs, text), F.lit(""))).alias("mark"))
     joined = given.join(found, F.col("own").eqNullSafe(F.col("doc_id")) & (F.col("mark") == F.col("print")), "left")
     new = F.when(F.col("spans").isNull(), F.col("body")).otherwise(redact(F.col("body"), "spans"))

@@ -145,6 +145,16 @@ def test_redact_keeps_null_texts_and_repeats(docs):
     assert len(rows) == len(ROWS) and sum(r.text is None for r in rows) == 1 and rows[0].asDict().keys() == set(docs.columns)
 
 
+def test_redaction_of_very_many_and_overlapping_secrets(spark):
+    """62,500 spans in one text; every third assignment's value is a long hexadecimal run, so that kinds overlap."""
+    pieces = [f"é𝄞 token={'ab%06d' % i} " if i % 3 else f"secret: {'%024x' % i}, AKIA{'X' * 18}{i}\n" for i in range(37_500)]
+    docs = spark.createDataFrame([(1, "".join(pieces) + "end", "s"), (2, "none", "s")], "doc_id long, text string, source string")
+    spans = {r.doc_id: r.spans for r in secrets.scan(docs, owner=F.col("source")).collect()}
+    assert len(spans[1]) == 62_500
+    rows = {r.doc_id: r.text for r in secrets.redact_documents(docs, owner=F.col("source")).collect()}
+    assert rows == {1: "".join("é𝄞 [SECRET] " if i % 3 else "[SECRET], [SECRET]\n" for i in range(37_500)) + "end", 2: "none"}
+
+
 # ---------------------------------------------------------------- 3: packing
 
 
