@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.llm import decontamination, langid, packing, secrets, simhash
-from storyloom.llm._common import cut, quoted, table
+from storyloom.llm._common import carried, cut, quoted, table
 
 #: A prediction must be this many times as likely as pure chance, one over the number of languages.
 OVER_CHANCE = 1.2
@@ -33,8 +33,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     lang = quoted(docs, "lang") if "lang" in docs.columns else F.lit(None).cast("string")
     labelled = docs.select(quoted(docs, "text").alias("text"), lang.alias("lang"))
     model = langid.train(labelled, sample=2000, landmarks=256)
-    others = F.struct(F.lit(0).alias("none of them"), *[quoted(docs, c).alias(c) for c in docs.columns if c != "text"])
-    named = langid.identify(docs.select(others.alias("row"), quoted(docs, "text").alias("text")), model, with_text=True)
+    named = langid.identify(docs.select(carried(docs, "text").alias("row"), quoted(docs, "text").alias("text")), model, with_text=True)
     least = min(1.0, OVER_CHANCE / max(1, len(model.languages)))
     kept = named.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= least))
     filled = {"lang": F.coalesce(F.col("row").getField("lang"), "lang_pred")} if "lang" in docs.columns else {}
