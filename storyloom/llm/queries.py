@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import decontamination, langid, lattice, licenses, multi_index, packing, secrets, sharding, simhash, sql, url_rules
+from storyloom.llm import decontamination, langid, lattice, licenses, multi_index, packing, secrets, sharding, simhash, sql, url_rules, whitening
 from storyloom.llm._common import fold, slim, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -250,3 +250,12 @@ def op6_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_inverted_multi_index"] = op6_inverted_multi_index
+
+# ---------------------------------------------------------------- op12
+
+
+def op12_polarised_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), k=4)
+
+
+QUERIES["op12_polarised_whitening"] = op12_polarised_whitening
