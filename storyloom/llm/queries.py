@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import decontamination, langid, lattice, licenses, multi_index, packing, secrets, sharding, simhash, sql, url_rules, whitening
-from storyloom.llm._common import fold, slim, table
+from storyloom.llm import decontamination, langid, lattice, licenses, multi_index, packing, secrets, sharding, simhash, sql, token_files, url_rules, whitening
+from storyloom.llm._common import fold, shared_folder, slim, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -259,3 +260,14 @@ def op12_polarised_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op12_polarised_whitening"] = op12_polarised_whitening
+
+# ---------------------------------------------------------------- op13
+
+
+def op13_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    back = token_files.write_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES["op13_simple8b_files"] = op13_simple8b_files
