@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import decontamination, langid, lattice, licenses, multi_index, packing, secrets, sharding, simhash, sql, token_files, url_rules, whitening
+from storyloom.llm import collocations, decontamination, langid, lattice, licenses, multi_index, packing, secrets, sharding, simhash, sql, token_files, url_rules, whitening
 from storyloom.llm._common import fold, shared_folder, slim, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -271,3 +271,32 @@ def op13_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op13_simple8b_files"] = op13_simple8b_files
+
+# ---------------------------------------------------------------- op11
+
+
+def op11_son_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), support=30, top=2000, contained=80, shards=8)
+
+
+QUERIES["op11_son_collocations"] = op11_son_collocations
+ORACLES["op11_son_collocations"] = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, array_to_string(ws[i + 1 : i + k], ' ') AS phrase
+  FROM w, (SELECT unnest(range(1, 5)) AS k), LATERAL (SELECT unnest(range(greatest(len(ws) - k + 1, 0))) AS i)),
+f AS MATERIALIZED (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY 1),
+cuts AS (SELECT lang, k, phrase, a, i, array_to_string(ws[1 : i], ' ') AS head, array_to_string(ws[i + 1 : k], ' ') AS rest
+  FROM f, LATERAL (SELECT unnest(range(1, k)) AS i)),
+s AS (SELECT cuts.lang, cuts.phrase, cuts.a, i, l.a AS l, r.a AS r, ((2000000::HUGEINT * cuts.a) // (l.a + r.a))::BIGINT AS score
+  FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = head JOIN f r ON r.lang = cuts.lang AND r.phrase = rest),
+least AS (SELECT lang, phrase, a, arg_min(struct_pack(l := l, r := r, score := score), (score, i)) AS m FROM s GROUP BY ALL),
+inner_parts AS (SELECT lang, a, unnest(list_concat([array_to_string(ws[i : i + 1], ' ') FOR i IN range(1, k)],
+    CASE WHEN k > 3 THEN [array_to_string(ws[i : i + 2], ' ') FOR i IN range(1, k - 1)] ELSE [] END)) AS phrase FROM f WHERE k > 2),
+longest AS (SELECT lang, phrase, max(a) AS longer FROM inner_parts GROUP BY ALL),
+kept AS (SELECT least.* FROM least LEFT JOIN longest USING (lang, phrase) WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY m.score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, m.l AS l, m.r AS r, n, m.score AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
