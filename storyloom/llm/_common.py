@@ -57,6 +57,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most so many rows go to Python at once, unless the session has a setting of its own: texts can be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's own
+        spark.conf.set(key, str(rows))
+
+
 def slim(df: DataFrame, **columns: Column | str) -> DataFrame:
     """Only the named columns, so that others, whatever their names, can't clash with what an operator adds."""
     return df.select(*[(F.col(c) if isinstance(c, str) else c).alias(k) for k, c in columns.items()])

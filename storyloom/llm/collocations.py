@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.llm._common import LOWER, cut, quoted
+from storyloom.llm._common import LOWER, cut, quoted, small_batches
 
 #: Words of the longest phrase.
 LONGEST = 4
@@ -32,7 +32,7 @@ UNKNOWN = "und"
 BITS = 1 << 26
 _BUCKET = 1 << 15
 #: A task counts so many bytes of text at once.
-_AT_ONCE = 8 << 20
+_AT_ONCE = 4 << 20
 #: A-Z lower-cased, the ends of pieces as line feeds, tabs as spaces.
 _PLAIN = bytes(10 if chr(b) in ".,;:!?\n\v\f\r" else 32 if b == 9 else b for b in LOWER)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -70,13 +70,13 @@ class Words:
         offsets, data = joined.buffers()[1:]
         plain = pa.StringArray.from_buffers(len(joined), offsets, pa.py_buffer((data.to_pybytes() if data else b"").translate(_PLAIN)), None, 0, joined.offset)
         pieces = pc.split_pattern(plain, "\n")
-        of_piece = np.repeat(np.arange(len(plain)), pc.list_value_length(pieces).to_numpy())
+        of_piece = np.repeat(np.arange(len(plain), dtype=np.int32), pc.list_value_length(pieces).to_numpy())
         words = pc.split_pattern(pieces.flatten(), " ")
-        piece = np.repeat(np.arange(len(of_piece)), pc.list_value_length(words).to_numpy())
+        piece = np.repeat(np.arange(len(of_piece), dtype=np.int32), pc.list_value_length(words).to_numpy())
         flat = words.flatten()
         there = pc.greater(pc.binary_length(flat), 0)
         coded = flat.filter(there).dictionary_encode()
-        self.dictionary, self.ids = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        self.dictionary, self.ids = coded.dictionary, coded.indices.to_numpy()
         self.piece = piece[there.to_numpy(zero_copy_only=False)]
         self.group_keys, self.groups = self._grouped(langs, shards, of_piece[self.piece])
         self.hashed: tuple[np.ndarray, np.ndarray] | None = None
@@ -84,7 +84,7 @@ class Words:
     def _grouped(self, langs: pa.Array, shards: np.ndarray, row: np.ndarray) -> tuple[tuple[pa.Array, np.ndarray], np.ndarray]:
         coded = langs.dictionary_encode()
         keys, group = np.unique(coded.indices.to_numpy().astype(np.int64) << 32 | shards, return_inverse=True)
-        return (coded.dictionary.take(pa.array(keys >> 32)), keys & 0xFFFFFFFF), group[row] if len(keys) else row
+        return (coded.dictionary.take(pa.array(keys >> 32)), keys & 0xFFFFFFFF), group.astype(np.int32)[row] if len(keys) else row
 
     def bits(self, at: np.ndarray, k: int, bitmap: np.ndarray) -> np.ndarray:
         """Whether the bitmap has the phrases of k words that begin at the places `at`."""
@@ -102,7 +102,7 @@ class Words:
     def counted(self, at: np.ndarray, k: int) -> pa.RecordBatch:
         """(lang, shard, phrase, n) of the different phrases of k words at these places."""
         size = len(self.dictionary)
-        number = self.groups[at]
+        number = self.groups[at].astype(np.int64)
         for j in range(k):
             number = number * size + self.ids[at + j]
             if j in (1, 2):  # fewer numbers, so that the next product stays below 2^63
@@ -190,6 +190,7 @@ def _bitmap(phrases: DataFrame) -> object:
 
 def phrase_counts(docs: DataFrame, support: int = 30, shards: int = 8, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, n) of all phrases of 1 to 4 words that occur `support` times or more, and (lang, n) of all words."""
+    small_batches(docs.sparkSession)
     given = docs.select(quoted(docs, text).alias("text"), F.coalesce(quoted(docs, lang), F.lit(UNKNOWN)).alias("lang"))
     given = given.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int"))
     words = cut(_count(given, (1,)))
@@ -227,7 +228,7 @@ def collocations(docs: DataFrame, support: int = 30, top: int = 2000, contained:
     score and a falling, then the phrase's bytes. All arithmetic is exact.
 
     A null text is empty; a null lang is `und`; repeated rows count each. Texts are read whole, and one longer than
-    8 MB is counted at once. A language without such phrases, or an empty table, gives no rows. Further columns,
+    4 MB is counted at once. A language without such phrases, or an empty table, gives no rows. Further columns,
     whatever their names, are not looked at.
     """
     frequent, totals = phrase_counts(docs, support, shards, text, lang)
