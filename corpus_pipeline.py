@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.llm import decontamination, langid, packing, secrets, simhash
-from storyloom.llm._common import carried, cut, quoted, table
+from storyloom.llm._common import carried, cut, quoted, small_batches, table
 
 #: A prediction must be this many times as likely as pure chance, one over the number of languages.
 OVER_CHANCE = 1.2
@@ -30,6 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     in order. With a single language learnt every text with letters stays; with none learnt (no labelled
     rows), no text can be told and all go.
     """
+    small_batches(spark)
     lang = quoted(docs, "lang") if "lang" in docs.columns else F.lit(None).cast("string")
     labelled = docs.select(quoted(docs, "text").alias("text"), lang.alias("lang"))
     model = langid.train(labelled, sample=2000, landmarks=256)
@@ -46,6 +47,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Null and empty texts are one text; texts of fewer than five words are alike only if their words are the
     same. Of a row that repeats, one stays; a null id comes last; of equal ids the smaller text key stays.
     """
+    small_batches(spark)
     return simhash.drop_near_duplicates(docs, shingle=5, similarity=0.8)
 
 
@@ -55,6 +57,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     Null and empty texts hold nothing and stay; repeated rows are judged alike and each kept; without a
     benchmark all stay.
     """
+    small_batches(spark)
     found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"), size=10, carry=True)
     return found.where("n_hit = 0").select(*_with(docs, "row"))
 
@@ -78,6 +81,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Null and empty texts are a piece of the end id alone; repeated rows are packed each, equal lengths in the
     order of ids. Of the documents' columns only doc_id is returned.
     """
+    small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096, with_ids=True)
 
 
