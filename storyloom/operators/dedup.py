@@ -1,4 +1,4 @@
-"""Duplicate articles: exact hashes, urls, opening paragraphs and character shingles."""
+"""Duplicate articles: exact hashes, urls, opening paragraphs, titles, titles with contents, character shingles."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as tx
+from storyloom.operators import ordering, textsim
 from storyloom.sources import tables as tb
 
 
@@ -40,16 +41,94 @@ def by_url(pages: DataFrame) -> DataFrame:
     return first_by(pages, F.when(F.contains(key, F.lit("/")), key))
 
 
-def cascade(stages: list[DataFrame]) -> DataFrame:
-    """(article_id, duplicate_of, stage): for each article the match of the first stage that has one."""
+def cascade(stages: list[DataFrame], numbers: list[int] | None = None) -> DataFrame:
+    """(article_id, duplicate_of, stage): for each article the match of the first stage that has one; stages are
+    numbered from 1 unless numbers are given."""
     every = None
-    for number, stage in enumerate(stages, 1):
+    for number, stage in zip(numbers or range(1, len(stages) + 1), stages):
         own = stage.withColumn("stage", F.lit(number))
         every = own if every is None else every.unionByName(own)
     best = F.min(F.struct("stage", "duplicate_of")).alias("best")
     return every.groupBy("article_id").agg(best).select("article_id", "best.duplicate_of", "best.stage")
 
 
+#: How long a candidate stays one, in hours.
+WINDOW = 7 * 24
+#: Least ratio of near-exact titles; for near duplicates the least ratio of titles and similarity of
+#: contents, what nearness in time (hours), a very similar title and one source take off the latter.
+TITLE, TITLE_NEAR, CONTENT_NEAR = 0.96, 0.65, 0.75
+TIME_BOOSTS = [(2, 0.10), (6, 0.07), (12, 0.05), (24, 0.03), (WINDOW, 0.0)]
+TITLE_HIGH, TITLE_BONUS, SOURCE_BONUS = 0.85, 0.04, 0.02
+
+
+def _members(articles: DataFrame, key: dict[str, Column], more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Articles that have a time and a title, by class of equal keys: (class, article_id, ts, more), and (class, keys)."""
+    given = articles.select("article_id", F.col("published_at").alias("ts"), *more, *[v.alias(k) for k, v in key.items()])
+    given = given.where(F.col("ts").isNotNull() & (F.col("title_key") != ""))
+    classes = given.groupBy(*key).agg(F.min("article_id").alias("class"))
+    return tb.written(given.join(classes, list(key)).select("class", "article_id", "ts", *more)), tb.written(classes)
+
+
+def _latest(asks: DataFrame, posts: DataFrame) -> DataFrame:
+    """(article_id, duplicate_of): the newest earlier post that any ask of the article finds within its hours."""
+    found = ordering.latest_before(posts, asks, WINDOW * 3600)
+    gap = F.unix_timestamp("ts") - F.unix_timestamp("found.ts")
+    newest = found.where(F.col("found").isNotNull() & (gap <= F.col("hours") * 3600)).groupBy(F.col("id").alias("article_id")).agg(F.max("found").alias("found"))
+    return newest.select("article_id", F.col("found.id").alias("duplicate_of"))
+
+
+def _directed(pairs: DataFrame, *more: str) -> DataFrame:
+    """Each pair both ways, the asking class first, with the ratio of the asker's title in the other's."""
+    one = pairs.select(F.col("a").alias("class"), F.col("b").alias("other"), F.col("ratio_ab").alias("ratio"), *more)
+    return one.unionByName(pairs.select(F.col("b").alias("class"), F.col("a").alias("other"), F.col("ratio_ba").alias("ratio"), *more))
+
+
+def titles(articles: DataFrame, threshold: float = TITLE) -> DataFrame:
+    """(article_id, duplicate_of): the newest earlier article within seven days whose title has this ratio or more.
+
+    Equal titles are one class, so their copies never meet each other, only the newest before them. Articles without a
+    title or a time take no part. All earlier articles are candidates, however many, duplicates among them.
+    """
+    members, classes = _members(articles, {"title_key": tx.normalized(F.col("title"), lowercase=True)})
+    pairs = textsim.title_pairs(classes.select(F.col("class").alias("id"), F.col("title_key").alias("title")), members.select(F.col("class").alias("id"), "ts"), threshold, WINDOW)
+    reach = _directed(pairs).where(F.col("ratio") >= threshold).select("class", "other")
+    asking = members.join(reach, "class").select(F.col("other").alias("key"), "ts", F.col("article_id").alias("id"))
+    posts = members.select(F.col("class").alias("key"), "ts", F.col("article_id").alias("id"))
+    return _latest(asking.unionByName(posts).withColumn("hours", F.lit(WINDOW)), posts)
+
+
+def near(articles: DataFrame) -> DataFrame:
+    """(article_id, duplicate_of): the newest earlier article within seven days with a similar title and content.
+
+    Contents are compared by the cosine of the term vectors of their first 2000 characters; how near they must be falls
+    with the time between the articles, for very similar titles and within a source. Articles of one title and content
+    are one class; a class asks another for its newest article, of any source and of its own, each within the hours
+    that their similarity allows. Articles without a title or a time take no part; all earlier ones are candidates.
+    """
+    body = F.substring(tx.normalized(F.col("content"), lowercase=True), 1, 2000)
+    members, classes = _members(articles, {"title_key": tx.normalized(F.col("title"), lowercase=True), "body": body}, ("source",))
+    vectors = tb.written(textsim.term_vectors(classes.select(F.col("class").alias("id"), "body")))
+    floor = CONTENT_NEAR - TIME_BOOSTS[0][1] - TITLE_BONUS - SOURCE_BONUS
+    met = textsim.near(WINDOW, members.select(F.col("class").alias("id"), "ts"), textsim.heads(vectors, floor), "term")
+    pairs = textsim.with_ratios(textsim.cosine_pairs(met, vectors, floor), classes.select(F.col("class").alias("id"), F.col("title_key").alias("title")), TITLE_NEAR)
+    own = vectors.select(F.col("id").alias("class"), F.col("id").alias("other"), F.lit(1.0).alias("ratio"), F.lit(1.0).alias("cosine"))
+    reach = _directed(pairs, "cosine").unionByName(own).where(F.col("ratio") >= TITLE_NEAR)
+    bonus = F.when(F.col("ratio") >= TITLE_HIGH, TITLE_BONUS).otherwise(0.0)
+
+    def hours(source: float) -> Column:
+        """The most hours at which the contents are near enough; none if never."""
+        fits = [F.when(F.col("cosine") >= F.lit(CONTENT_NEAR) - F.lit(boost) - bonus - F.lit(source), F.lit(h)) for h, boost in TIME_BOOSTS]
+        return F.coalesce(*fits[::-1])
+
+    reach = reach.select("class", "other", hours(0.0).alias("any"), hours(SOURCE_BONUS).alias("same"))
+    asking = members.join(reach, "class")
+    no_source = F.lit(None).cast(articles.schema["source"].dataType)
+    ask = lambda source, h: asking.where(h.isNotNull()).select(F.struct(F.col("other").alias("class"), source.alias("source"), F.lit(source is not no_source).alias("own")).alias("key"), "ts", F.col("article_id").alias("id"), h.alias("hours"))
+    post = lambda source: members.select(F.struct("class", source.alias("source"), F.lit(source is not no_source).alias("own")).alias("key"), "ts", F.col("article_id").alias("id"))
+    source = F.coalesce(F.col("source").cast("string"), F.lit("")).cast(articles.schema["source"].dataType)
+    return _latest(ask(no_source, F.col("any")).unionByName(ask(source, F.col("same"))), post(no_source).unionByName(post(source)))
+
+
 def _bodies(articles: DataFrame, size: int, least: int, prefix: int) -> DataFrame:
     body = F.substring(F.lower(tx.clean(F.col("content"))), 1, prefix)
     return articles.where(F.char_length("content") >= least).select("article_id", body.alias("body")).where(F.char_length("body") >= size)
@@ -112,28 +191,11 @@ def shingle_members(articles: DataFrame, size: int = 5, threshold: float = 0.75,
     firsts = bodies.groupBy("key").agg(F.min("article_id").alias("body_id"), F.count("*").alias("copies"))
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both.join(firsts.select(F.col("body_id").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("near"))
-    named = firsts.join(near.withColumnRenamed("a", "body_id"), "body_id", "left").join(_least_reachable(both), "body_id", "left")
+    named = firsts.join(near.withColumnRenamed("a", "body_id"), "body_id", "left").join(ordering.components(both).toDF("body_id", "class_id"), "body_id", "left")
     links = (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links")
     return bodies.join(named, "key").select("article_id", "body_id", F.coalesce("class_id", "body_id").alias("class_id"), links), pairs
 
 
-def _least_reachable(both: DataFrame) -> DataFrame:
-    """(body_id, class_id): the smallest node reachable over links given in both directions.
-
-    Each round takes the least label among the neighbours and then that label's own label, which halves chains.
-    """
-    now = both.groupBy(F.col("a").alias("body_id")).agg(F.least(F.first("a"), F.min("b")).alias("class_id"))
-    while True:
-        now = tb.written(now)
-        around = both.join(now.withColumnRenamed("body_id", "b"), "b").groupBy(F.col("a").alias("body_id")).agg(F.min("class_id").alias("around"))
-        least = now.join(around, "body_id").select("body_id", F.col("class_id").alias("before"), F.least("class_id", "around").alias("label"))
-        jump = now.select(F.col("body_id").alias("label"), F.col("class_id").alias("jump"))
-        after = tb.written(least.join(jump, "label").select("body_id", "before", F.least("label", "jump").alias("class_id")))
-        now = after.select("body_id", "class_id")
-        if after.where("class_id != before").isEmpty():
-            return now
-
-
 def shingle_links(articles: DataFrame, **options) -> DataFrame:
     """(a, b, similarity, class_id): shingle_pairs, and each further copy of a body (b) beside that body's first article (a)."""
     members, pairs = shingle_members(articles, **options)

@@ -167,6 +167,23 @@ def cascade_shingles(spark, sf):
     return dedup.cascade([dedup.exact(rows), dedup.paragraph(rows), dedup.shingles(rows)])
 
 
+@register("dup5_near_title")
+def near_titles(spark, sf):
+    return dedup.titles(tb.articles(spark, sf))
+
+
+@register("dup6_near_duplicate")
+def near_duplicates(spark, sf):
+    return dedup.near(tb.articles(spark, sf))
+
+
+@register("dup1_cascade_titles")
+def cascade_titles(spark, sf):
+    """The stages that articles without a url, a story or shingles can show: 1, 3, 4 and 5."""
+    rows = tb.articles(spark, sf)
+    return dedup.cascade([dedup.exact(rows), dedup.paragraph(rows), dedup.titles(rows), dedup.near(rows)], [1, 3, 4, 5])
+
+
 @register(
     "dup8_shingle_jaccard",
     f"""WITH RECURSIVE {tb.ARTICLES}, bodies AS (SELECT article_id, substr(lower({CONTENT}), 1, 2000) AS body FROM articles WHERE length(content) >= 300),
