@@ -1,30 +1,213 @@
-"""Stories: articles with one opening, their spans, importance and confirmation; alerts with dedup keys."""
+"""Stories: articles assigned in their order to the best recent story; spans, importance and confirmation; alerts."""
 
 from __future__ import annotations
 
+from collections import defaultdict
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.functions import scores
 from storyloom.functions import text as tx
+from storyloom.operators import ordering, textsim
+from storyloom.sources import tables as tb
+
+#: How much titles, contents and entities count, the least sum, and the days a story stays open.
+TITLE, CONTENT, ENTITIES, LEAST, OPEN_DAYS = 0.30, 0.35, 0.35, 0.35, 3
+#: Without a common entity even equal titles ask for contents this near.
+NEAREST = (LEAST - TITLE) / CONTENT
+_OPEN = OPEN_DAYS * 86400
+_STORY = "story long, title string, last double, terms array<long>, weights array<double>, names array<string>"
+
+
+class _Open:
+    """The stories of one block while its articles are taken in order: found by the terms of their newest article and by
+    their entities."""
+
+    def __init__(self) -> None:
+        self.stories: dict[int, dict] = {}
+        self.by_term: dict[int, dict[int, float]] = defaultdict(dict)
+        self.by_name: dict[str, set[int]] = defaultdict(set)
+        self.story_of: dict[int, int] = {}
+
+    def put(self, key: int, title: str, last: float, terms, weights, names) -> None:
+        self.stories[key] = {"title": title, "last": last, "terms": [], "weights": [], "names": set(), "members": []}
+        self._newest(key, terms, weights)
+        self._name(key, names)
+
+    def _newest(self, key: int, terms, weights) -> None:
+        story = self.stories[key]
+        for t in story["terms"]:
+            del self.by_term[t][key]
+        story["terms"], story["weights"] = list(terms), list(weights)
+        for t, w in zip(story["terms"], story["weights"]):
+            self.by_term[t][key] = w
+
+    def _name(self, key: int, names) -> None:
+        for n in names:
+            self.stories[key]["names"].add(n)
+            self.by_name[n].add(key)
+
+    def best(self, title: str, ts: float, terms, weights, names) -> int | None:
+        """The story of the highest score, if that is enough; of equal ones the newest, then the smallest."""
+        near: dict[int, float] = defaultdict(float)
+        common: dict[int, int] = defaultdict(int)
+        for t, w in zip(terms, weights):
+            for key, other in self.by_term.get(t, {}).items():
+                near[key] += w * other
+        for n in names:
+            for key in self.by_name.get(n, ()):
+                common[key] += 1
+        open_ones = [k for k in near.keys() | common.keys() if self.stories[k]["last"] >= ts - _OPEN and (near[k] >= NEAREST - 1e-9 or common[k])]
+        found, highest = None, 0.0
+        for key in sorted(open_ones, key=lambda k: (-self.stories[k]["last"], k)):
+            story = self.stories[key]
+            either = len(names) + len(story["names"]) - common[key]
+            rest = CONTENT * min(1.0, near[key]) + ENTITIES * (common[key] / either if either else 0.0)
+            if TITLE + rest < max(highest, LEAST) - 1e-9:
+                continue
+            score = TITLE * textsim.ratio(title, story["title"]) + rest
+            if score > highest and score >= LEAST:
+                found, highest = key, score
+        return found
+
+    def take(self, key: int, article: int, ts: float) -> None:
+        story = self.stories[key]
+        story["last"] = max(story["last"], ts)
+        story["members"].append(article)
+        self.story_of[article] = key
+
+    def article(self, row) -> None:
+        key = self.best(row.title, row.ts, row.terms, row.weights, row.names)
+        if key is None:
+            key = row.id
+            self.put(key, row.title, row.ts, row.terms, row.weights, row.names)
+        else:
+            self._newest(key, row.terms, row.weights)
+            self._name(key, row.names)
+        self.take(key, row.id, row.ts)
+
+    def copy(self, row) -> None:
+        """A duplicate goes where its original is and changes nothing but the story's times."""
+        self.take(self.story_of.get(row.original, row.story), row.id, row.ts)
+
+
+def _block(rows: pd.DataFrame) -> pd.DataFrame:
+    """The stories of a block after its articles, each with the articles it got."""
+    held = _Open()
+    for row in rows[rows.kind == 0].itertuples():
+        held.put(row.id, row.title, row.ts, row.terms, row.weights, row.names)
+    for row in rows[rows.kind > 0].sort_values(["ts", "id"]).itertuples():
+        held.article(row) if row.kind == 1 else held.copy(row)
+    out = [(k, s["title"], s["last"], np.array(s["terms"], np.int64), np.array(s["weights"], float), sorted(s["names"]), np.array(s["members"], np.int64)) for k, s in held.stories.items()]
+    return pd.DataFrame(out, columns=["story", "title", "last", "terms", "weights", "names", "members"])
+
+
+def _originals(duplicates: DataFrame) -> DataFrame:
+    """(id, original): what each duplicate is a duplicate of in the end, by halving chains."""
+    now = tb.written(duplicates.select(F.col("article_id").alias("id"), F.col("duplicate_of").alias("original")))
+    while True:
+        onward = now.select(F.col("id").alias("original"), F.col("original").alias("onward"))
+        after = tb.written(now.join(onward, "original", "left").select("id", F.coalesce("onward", "original").alias("original"), F.col("onward").isNotNull().alias("moved")))
+        now = after.select("id", "original")
+        if after.where("moved").isEmpty():
+            return now
+
+
+def assign(articles: DataFrame, entities: DataFrame, duplicates: DataFrame, hours: int = OPEN_DAYS * 24) -> DataFrame:
+    """(article_id, story): stories are named by their first article.
+
+    Articles are taken in the order of their times and ids. A duplicate (article_id, duplicate_of) goes to the story
+    of its original, which must be earlier. Any other joins the story, among those with an article in the last three
+    days, of the highest score: .30 of the titles' ratio (with the story's first title), .35 of the contents' cosine
+    (with its newest article that is no duplicate) and .35 of the entities' Jaccard similarity (with all its articles
+    that are none), if that is .35 or more; of equal scores the newest story wins. Else it begins a story. All open
+    stories are candidates. An article without a time has no story; a duplicate of such a one counts as none.
+
+    What one article does matters to later ones only if they can share a story: they have an entity in common, or
+    contents near enough. So time is cut into slices of some hours, one after the other; within a slice, articles and
+    open stories that are linked in this way form blocks, and blocks are independent: Spark works on all at once, a
+    block's articles in their order. From slice to slice only open stories are carried, in written tables; a closed
+    one is looked up again if a duplicate reopens it. A block is one task: the shorter the slice, the smaller it is.
+    """
+    title = tx.normalized(F.col("title"), lowercase=True)
+    given = articles.where("published_at IS NOT NULL").select(F.col("article_id").alias("id"), F.unix_micros("published_at").alias("micros"), title.alias("title"), F.substring(tx.normalized(F.col("content"), lowercase=True), 1, 2000).alias("body"))
+    given = given.withColumn("ts", F.col("micros") / 1e6).withColumn("slice", F.floor(F.col("ts") / (3600 * hours)))
+    originals = _originals(duplicates)
+    timed = originals.join(given.select(F.col("id").alias("original")), "original")
+    base = tb.written(given.join(timed, "id", "left"))
+    vectors = textsim.term_vectors(base.where("original IS NULL").select("id", "body"))
+    names = entities.select(F.col("article_id").alias("id"), F.col("name").cast("string").alias("name")).where("name IS NOT NULL").groupBy("id").agg(F.collect_set("name").alias("names"))
+    none = lambda kind: F.expr(f"cast(array() AS array<{kind}>)")
+    full = tb.written(
+        base.where("original IS NULL").join(vectors, "id", "left").join(names, "id", "left")
+        .select("slice", "id", "ts", "title", F.coalesce("terms", none("long")).alias("terms"), F.coalesce("weights", none("double")).alias("weights"), F.coalesce("names", none("string")).alias("names"))
+    )
+    copies = tb.written(base.where("original IS NOT NULL").select("slice", "id", "ts", "original"))
+
+    spark = articles.sparkSession
+    open_ones, closed, assigned = spark.createDataFrame([], _STORY), [], []
+    for number in sorted(r[0] for r in base.select("slice").distinct().collect()):  # one row for each stretch of time
+        now, after = full.where(F.col("slice") == number), copies.where(F.col("slice") == number)
+        if assigned:
+            earlier = reduce(DataFrame.unionByName, assigned).withColumnRenamed("article_id", "original")
+            after = after.join(earlier, "original", "left")
+        else:
+            after = after.withColumn("story", F.lit(None).cast("long"))
+        after = tb.written(after.select("id", "ts", "original", "story"))
+        if closed:
+            wanted = after.where("story IS NOT NULL").select("story").distinct().join(open_ones, "story", "left_anti")
+            again = reduce(DataFrame.unionByName, closed).join(wanted, "story").groupBy("story").agg(F.max_by(F.struct("title", "last", "terms", "weights", "names"), "last").alias("s"))
+            open_ones = tb.written(open_ones.unionByName(again.select("story", "s.*")))
+        stories = _step(now, after, open_ones)
+        made = stories.select(F.explode("members").alias("article_id"), "story")
+        assigned.append(tb.written(made))
+        still = F.col("last") >= (number + 1) * 3600 * hours - _OPEN
+        held = stories.drop("members")
+        closed.append(tb.written(held.where(~still)))
+        open_ones = tb.written(held.where(still))
+    return reduce(DataFrame.unionByName, assigned) if assigned else spark.createDataFrame([], "article_id long, story long")
+
 
+def _step(now: DataFrame, after: DataFrame, open_ones: DataFrame) -> DataFrame:
+    """All stories after a slice's articles and copies, with the members that each got."""
+    columns = ["id", "kind", "ts", "title", "terms", "weights", "names", "original", "story"]
+    unknown = F.lit(None).cast("long")
+    story_rows = open_ones.select(F.col("story").alias("id"), F.lit(0).alias("kind"), F.col("last").alias("ts"), "title", "terms", "weights", "names", unknown.alias("original"), unknown.alias("story"))
+    article_rows = now.withColumns({"kind": F.lit(1), "original": unknown, "story": unknown}).select(*columns)
+    nothing = {"title": F.lit(""), "terms": F.expr("cast(array() AS array<long>)"), "weights": F.expr("cast(array() AS array<double>)"), "names": F.expr("cast(array() AS array<string>)")}
+    copy_rows = after.withColumns({"kind": F.lit(2), **nothing}).select(*columns)
+    nodes = tb.written(story_rows.unionByName(article_rows).unionByName(copy_rows))
 
-def story_key(length: int = 200) -> Column:
-    """Articles with the same opening words are one story."""
-    return F.sha1(F.substring(F.lower(tx.clean(F.col("content"))), 1, length))
+    with_terms = nodes.where("kind < 2 AND size(terms) > 0")
+    vectors = with_terms.select("id", "terms", "weights")
+    first = tb.written(textsim.heads(vectors, NEAREST).join(nodes.select("id", "kind"), "id"))
+    left, right = first.where("kind = 1").select("term", F.col("id").alias("x")), first.select("term", F.col("id").alias("y"), "kind")
+    met = left.join(right, "term").where("x < y OR (x != y AND kind = 0)").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    near = textsim.cosine_pairs(met, vectors, NEAREST).select("a", "b")
+    named = nodes.where("kind < 2").select("id", F.explode("names").alias("name"))
+    named = named.join(named.groupBy("name").agg(F.min("id").alias("a")), "name").where("id != a").select("a", F.col("id").alias("b"))
+    copied = nodes.where("kind = 2").select(F.col("id").alias("a"), F.coalesce("story", "original").alias("b"))
+    blocks = ordering.components(near.unionByName(named).unionByName(copied))
+    placed = nodes.join(blocks.withColumnRenamed("node", "id"), "id", "left").withColumn("block", F.coalesce("root", "id"))
+    placed = placed.withColumns({c: F.coalesce(c, "id") for c in ("original", "story")})  # without nulls, so that pandas keeps whole numbers
+    return tb.written(placed.groupBy("block").applyInPandas(_block, f"{_STORY}, members array<long>"))
 
 
-def refresh(articles: DataFrame) -> DataFrame:
+def refresh(articles: DataFrame, assigned: DataFrame) -> DataFrame:
     """Per story: first and last publication, articles, distinct sources, and whether two sources confirm it."""
-    out = articles.withColumn("story", story_key()).groupBy("story").agg(
+    out = articles.join(assigned, "article_id").groupBy("story").agg(
         F.min("published_at").alias("first_ts"), F.max("published_at").alias("last_ts"), F.count("*").alias("articles"), F.count_distinct("source").alias("sources")
     )
     return out.withColumn("confirmed", F.col("sources") >= 2)
 
 
-def importance(scored: DataFrame, trust: DataFrame, topics: DataFrame, as_of: Column) -> DataFrame:
-    """Per article: .25 trust, .25 frequency of its story, .20 topics, .15 quality and .15 recency, in [0, 1]."""
-    keyed = scored.withColumn("story", story_key()).select("article_id", "source", "story", "quality", "published_at")
+def importance(scored: DataFrame, assigned: DataFrame, trust: DataFrame, topics: DataFrame, as_of: Column) -> DataFrame:
+    """Per article with a story: .25 trust, .25 frequency of its story, .20 topics, .15 quality and .15 recency, in [0, 1]."""
+    keyed = scored.join(assigned, "article_id").select("article_id", "source", "story", "quality", "published_at")
     sizes = keyed.groupBy("story").agg(F.count("*").alias("story_articles"))
     labels = F.size(F.array_distinct(F.flatten(F.collect_list(F.split("labels", ",")))))
     number = topics.groupBy("article_id").agg(F.greatest(F.count_distinct("topic"), labels).alias("topics"))

@@ -12,7 +12,7 @@ from storyloom.plans.articles import CONTENT
 from storyloom.plans.entities import EDGES, INFLUENCE, _edges, _influence
 from storyloom.plans.registry import register
 from storyloom.plans.signals import T, _as_of
-from storyloom.plans.stories import ALERTS, STORY
+from storyloom.plans.stories import ALERTS, _assigned
 from storyloom.sources import tables as tb
 
 # ---------------------------------------------------------------- anomalies, correlations, patterns of countries
@@ -269,14 +269,16 @@ def entity_metrics(spark, sf):
 
 @register(
     "val15_cluster_metrics",
-    f"""WITH {tb.ARTICLES}, k AS (SELECT {STORY} AS predicted, source || '/' || coalesce(language, '') AS truth FROM articles),
+    f"""WITH {tb.ARTICLES}, k AS (SELECT md5(substr(lower({CONTENT}), 1, 500)) AS predicted, source || '/' || coalesce(language, '') AS truth FROM articles),
 p AS (SELECT (SELECT sum(n * (n - 1) // 2) FROM (SELECT count(*) AS n FROM k GROUP BY truth)) AS same, (SELECT sum(n * (n - 1) // 2) FROM (SELECT count(*) AS n FROM k WHERE predicted IS NOT NULL GROUP BY predicted)) AS merged,
   (SELECT sum(n * (n - 1) // 2) FROM (SELECT count(*) AS n FROM k WHERE predicted IS NOT NULL GROUP BY truth, predicted)) AS both_same, (SELECT count(*) * (count(*) - 1) // 2 FROM k) AS every)
 SELECT round(both_same / same, 6) AS same_event_accuracy, round((merged - both_same) / (every - same), 6) AS false_merge_rate, round(1 - both_same / same, 6) AS missed_grouping_rate, every::BIGINT AS total_pairs FROM p""",
 )
 def cluster_metrics(spark, sf):
+    """Opening paragraphs (the key of dup4) against source and language."""
     truth = F.concat_ws("/", "source", F.coalesce("language", F.lit("")))
-    return evaluation.cluster_metrics(tb.articles(spark, sf).select(stories.story_key().alias("predicted"), truth.alias("truth")), "truth", "predicted")
+    opening = F.md5(F.substring(F.lower(tx.clean(F.col("content"))), 1, 500))
+    return evaluation.cluster_metrics(tb.articles(spark, sf).select(opening.alias("predicted"), truth.alias("truth")), "truth", "predicted")
 
 
 OUTCOMES = "outcomes AS (SELECT source, CASE WHEN quality = 1 AND toxic = 0 THEN 'accurate' WHEN quality = 1 OR toxic = 0 THEN 'partial' ELSE 'wrong' END AS outcome FROM labels JOIN documents USING (doc_id))"
@@ -318,9 +320,9 @@ def sources_list(spark, sf):
     return tb.articles(spark, sf).where(F.col("source").ilike("%1%")).groupBy("source").agg(F.count("*").alias("articles"), F.max("published_at").alias("last_ts"))
 
 
-@register("qry7_stories_list", f"WITH {tb.ARTICLES} SELECT {STORY} AS story, max(published_at) AS last_ts, count(*) AS articles FROM articles GROUP BY 1 HAVING count(*) >= 2 ORDER BY last_ts DESC, story LIMIT 50")
+@register("qry7_stories_list")
 def stories_list(spark, sf):
-    return stories.refresh(tb.articles(spark, sf)).where("articles >= 2").orderBy(F.desc("last_ts"), "story").limit(50).select("story", "last_ts", "articles")
+    return stories.refresh(tb.articles(spark, sf), _assigned(spark, sf)).where("articles >= 2").orderBy(F.desc("last_ts"), "story").limit(50).select("story", "last_ts", "articles")
 
 
 @register("qry39_country_rollup", f"WITH {tb.REPORTS} SELECT country, count(*) AS events, count(DISTINCT subject) AS types, max(value) AS top, max(ts) AS last_ts FROM reports GROUP BY 1")

@@ -8,17 +8,27 @@ from pyspark.sql import functions as F
 from storyloom.functions import scores
 from storyloom.operators import dedup, graph, quality, stories, topics
 from storyloom.plans import entities as en
-from storyloom.plans.articles import CONTENT, EXACT, QUALITY, RULES
+from storyloom.plans.articles import RULES
 from storyloom.plans.registry import register
 from storyloom.plans.signals import T
 from storyloom.sources import tables as tb
 
-STORY = f"sha1(substr(lower({CONTENT}), 1, 200))"
+def _assigned(spark, sf):
+    """Articles' stories: entities are the parts of the order of an article's number, duplicates those of equal contents or openings."""
+    rows = tb.articles(spark, sf)
+    same = dedup.cascade([dedup.exact(rows), dedup.paragraph(rows)], [1, 3])
+    named = tb.article_entities(spark, sf).select("article_id", F.col("entity_id").alias("name"))
+    return stories.assign(rows, named, same)
+
+
+@register("clu1_story_assignment")
+def story_assignment(spark, sf):
+    return _assigned(spark, sf)
 
 
-@register("clu5_stories", f"WITH {tb.ARTICLES} SELECT {STORY} AS story, min(published_at) AS first_ts, max(published_at) AS last_ts, count(*) AS articles, count(DISTINCT source) AS sources, count(DISTINCT source) >= 2 AS confirmed FROM articles GROUP BY 1")
+@register("clu5_stories")
 def story_table(spark, sf):
-    return stories.refresh(tb.articles(spark, sf))
+    return stories.refresh(tb.articles(spark, sf), _assigned(spark, sf))
 
 
 TOPIC_COUNTS = f"""rules(topic, label, kind, pattern, target) AS (VALUES {", ".join(str(r) for r in RULES)}),
@@ -29,28 +39,18 @@ lm AS (SELECT article_id, topic, label, kind FROM (SELECT *, CASE target WHEN 't
     ELSE contains(t, lower(pattern)) END),
 lt AS (SELECT article_id, topic, list(DISTINCT label) FILTER (kind != 'exclusion') AS labels FROM lm GROUP BY 1, 2 HAVING count(*) FILTER (kind = 'exclusion') = 0),
 tc AS (SELECT article_id, greatest(count(DISTINCT topic), len(list_distinct(flatten(list(labels))))) AS topics FROM lt GROUP BY 1)"""
-IMPORTANCE = f"""{QUALITY}, {EXACT}, {TOPIC_COUNTS}, rel AS (SELECT source, count(*) AS articles, count(e.article_id) AS duplicates, avg(quality) AS mean_quality FROM scored LEFT JOIN exact e USING (article_id) GROUP BY 1),
-trust AS (SELECT source, CASE WHEN articles >= 10 THEN round(greatest(0.05, least(1.0, 0.4 * mean_quality + 0.3 * (1 - duplicates / articles) + 0.3)), 4) END AS trust FROM rel),
-k AS (SELECT article_id, source, {STORY} AS story, quality, published_at FROM scored), z AS (SELECT story, count(*) AS n FROM k GROUP BY 1),
-i AS (SELECT article_id, story, 0.25 * coalesce(trust, 0.5) + 0.25 * CASE WHEN n <= 1 THEN 0.1 WHEN n <= 2 THEN 0.3 WHEN n <= 5 THEN 0.6 WHEN n <= 10 THEN 0.8 ELSE 1 END
-  + 0.20 * CASE coalesce(topics, 0) WHEN 0 THEN 0.1 WHEN 1 THEN 0.4 WHEN 2 THEN 0.7 ELSE 1 END + 0.15 * quality
-  + 0.15 * CASE WHEN epoch({T} - published_at) < 3600 THEN 1 WHEN epoch({T} - published_at) < 21600 THEN 0.8 WHEN epoch({T} - published_at) < 86400 THEN 0.5 ELSE 0.2 END AS total
-  FROM k JOIN z USING (story) LEFT JOIN tc USING (article_id) LEFT JOIN trust USING (source)),
-importance AS (SELECT article_id, story, {scores.half_even_sql("greatest(0.0, least(1.0, total))::DOUBLE")} AS importance FROM i)"""
-
-
 def _importance(spark, sf):
     rows = tb.articles(spark, sf)
     scored = quality.quality(rows)
-    return stories.importance(scored, quality.source_reliability(scored, dedup.exact(rows)), topics.match_rules(rows, RULES), F.lit("2024-01-20 00:00:00").cast("timestamp"))
+    return stories.importance(scored, _assigned(spark, sf), quality.source_reliability(scored, dedup.exact(rows)), topics.match_rules(rows, RULES), F.lit("2024-01-20 00:00:00").cast("timestamp"))
 
 
-@register("sco7_importance", f"WITH {IMPORTANCE} SELECT article_id, importance FROM importance")
+@register("sco7_importance")
 def importance(spark, sf):
     return _importance(spark, sf).select("article_id", "importance")
 
 
-@register("sco11_story_importance", f"WITH {IMPORTANCE} SELECT story, count(*) AS articles, {scores.half_even_sql("avg(importance)")} AS importance FROM importance ANTI JOIN exact USING (article_id) GROUP BY 1")
+@register("sco11_story_importance")
 def story_importance(spark, sf):
     kept = _importance(spark, sf).join(dedup.exact(tb.articles(spark, sf)), "article_id", "left_anti")
     return kept.groupBy("story").agg(F.count("*").alias("articles"), scores.half_even(F.avg("importance")).alias("importance"))
