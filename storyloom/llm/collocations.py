@@ -188,7 +188,7 @@ def _bitmap(phrases: DataFrame) -> object:
     return phrases.sparkSession.sparkContext.broadcast(bitmap)
 
 
-def phrase_counts(docs: DataFrame, support: int = 30, shards: int = 8, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, support: int = 30, shards: int = 4, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, n) of all phrases of 1 to 4 words that occur `support` times or more, and (lang, n) of all words."""
     small_batches(docs.sparkSession)
     given = docs.select(quoted(docs, text).alias("text"), F.coalesce(quoted(docs, lang), F.lit(UNKNOWN)).alias("lang"))
@@ -218,7 +218,7 @@ def _slices(words: Column, sizes: Column) -> Column:
     return F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.array_join(F.slice(words, i, k), " "))))
 
 
-def collocations(docs: DataFrame, support: int = 30, top: int = 2000, contained: int = 80, shards: int = 8, text: str = "text", lang: str = "lang") -> DataFrame:
+def collocations(docs: DataFrame, support: int = 30, top: int = 2000, contained: int = 80, shards: int = 4, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first `top` phrases of 2 to 4 words.
 
     Words stand between spaces and tabs, phrases within pieces that end at `.,;:!?` or a line's end, A-Z lower-cased.

@@ -276,7 +276,7 @@ QUERIES["op13_simple8b_files"] = op13_simple8b_files
 
 
 def op11_son_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collocations.collocations(table(spark, sf_dir, "documents"), support=30, top=2000, contained=80, shards=8)
+    return collocations.collocations(table(spark, sf_dir, "documents"), support=30, top=2000, contained=80, shards=4)
 
 
 QUERIES["op11_son_collocations"] = op11_son_collocations
