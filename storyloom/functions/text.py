@@ -19,23 +19,41 @@ def content_hash(title: Column, content: Column) -> Column:
     return F.sha2(F.concat(F.lower(clean(title)), F.lit("||"), F.lower(clean(content))), 256)
 
 
+#: Schemes whose urls have a host, even if it is empty.
+HOST_SCHEMES = ["http", "https", "ftp", "file", "ws", "wss", "sftp", "git", "svn", "rsync"]
+_URL = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
+
+
+def url_parts(url: Column) -> dict[str, Column]:
+    """scheme and host, lower-cased, path, params (of the last segment, with their semicolon) and query; empty where missing.
+
+    White space before the url, and tabs and line ends within, don't count. A null url is empty.
+    """
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(url, F.lit("")), r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    part = lambda n: F.coalesce(F.regexp_extract(bare, _URL, n), F.lit(""))
+    given = part(3)
+    params = F.regexp_extract(given, "(;[^/]*)$", 1)
+    path = F.substring(given, F.lit(1), F.char_length(given) - F.char_length(params))
+    return {"scheme": F.lower(part(1)), "host": F.lower(part(2)), "path": path, "params": params, "query": part(4)}
+
+
 def canonical_url(url: Column) -> Column:
     """Scheme and host lower-cased, tracking parameters (in any case), fragment and closing slashes dropped, order kept.
 
     A path of slashes alone stays, and no path becomes one slash. Parameters are decoded and encoded again;
-    an empty url stays empty.
+    an empty url stays empty. What has no scheme or no host gets none.
     """
-    bare = F.regexp_replace(url, "#.*$", "")
-    scheme = F.lower(F.regexp_extract(bare, r"^([A-Za-z]+)://", 1))
-    host = F.lower(F.regexp_extract(bare, r"^[A-Za-z]+://([^/?]*)", 1))
-    given = F.regexp_extract(bare, r"^[A-Za-z]+://[^/?]*([^?]*)", 1)
-    short = F.regexp_replace(given, "/+$", "")
-    path = F.when(short != "", short).when(given != "", given).otherwise("/")
-    query = F.regexp_extract(bare, r"\?(.*)$", 1)
-    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(_decoded(F.substring_index(p, "=", 1))).isin(TRACKING))
-    kept = F.transform(kept, lambda p: F.concat(_encoded(F.substring_index(p, "=", 1)), F.lit("="), _encoded(F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise(""))))
+    p = url_parts(url)
+    short = F.regexp_replace(p["path"], "/+$", "")
+    path = F.when(short != "", short).when(p["path"] != "", p["path"]).otherwise("/")
+    kept = F.filter(F.split(p["query"], "&"), lambda q: (q != "") & ~F.lower(_decoded(F.substring_index(q, "=", 1))).isin(TRACKING))
+    kept = F.transform(kept, lambda q: F.concat(_encoded(F.substring_index(q, "=", 1)), F.lit("="), _encoded(F.when(F.contains(q, F.lit("=")), F.regexp_replace(q, "^[^=]*=", "")).otherwise(""))))
     tail = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
-    return F.when(F.coalesce(url, F.lit("")) == "", "").otherwise(F.concat(scheme, F.lit("://"), host, path, tail))
+    rooted = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit("/"), path))
+    host_like = F.startswith(path, F.lit("//")) | (p["scheme"].isin(HOST_SCHEMES) & F.startswith(path, F.lit("/")))
+    place = F.when(p["host"] != "", F.concat(F.lit("//"), p["host"], rooted)).when(host_like, F.concat(F.lit("//"), path)).otherwise(path)
+    scheme = F.when(p["scheme"] != "", F.concat(p["scheme"], F.lit(":"))).otherwise("")
+    return F.when(F.coalesce(url, F.lit("")) == "", "").otherwise(F.concat(scheme, place, p["params"], tail))
 
 
 def _decoded(part: Column) -> Column:
@@ -63,16 +81,30 @@ def html_to_text(html: Column) -> Column:
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 
 
+def _resolved(path: Column, relative: Column) -> Column:
+    """A path without its `.` and `..` segments, from the root. Empty segments within a relative path are dropped first."""
+    given = F.split(path, "/", -1)
+    inner = F.slice(given, F.lit(2), F.size(given) - 2)
+    full = F.concat(F.slice(given, F.lit(1), F.lit(1)), F.filter(inner, lambda x: x != ""), F.slice(given, F.size(given), F.lit(1)))
+    segments = F.when(relative & (F.size(given) > 1), full).otherwise(given)
+    step = lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    kept = F.aggregate(segments, F.expr("cast(array() AS array<string>)"), step)
+    joined = F.concat(F.array_join(kept, "/"), F.when(F.element_at(given, -1).isin(".", ".."), "/").otherwise(""))
+    return F.concat(F.lit("/"), F.regexp_replace(joined, "^/", ""))
+
+
 def absolute_url(base: Column, link: Column) -> Column:
-    """The link as seen from the base: whole, without scheme, from the root, a query or fragment, or beside the base's path."""
+    """The link as seen from the base: whole, without scheme, from the root, a query or fragment, or beside the base's
+    path, `.` and `..` followed. An empty or null link is empty."""
     scheme, origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1), F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     page = F.regexp_extract(base, r"^([^?#]*)", 1)
     path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)?", 1)
-    folder = F.concat(origin, F.when(path == "", "/").otherwise(F.regexp_extract(path, "^(.*/)", 1)))
+    own, tail = F.regexp_extract(link, r"^([^?#]*)", 1), F.regexp_extract(link, r"([?#].*)$", 1)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, "^(.*/)", 1))
     return (
-        F.when(link == "", base).when(F.regexp_like(link, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:")), link).when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link))
-        .when(F.startswith(link, F.lit("/")), F.concat(origin, link)).when(F.startswith(link, F.lit("?")), F.concat(page, link))
-        .when(F.startswith(link, F.lit("#")), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), link)).otherwise(F.concat(folder, link))
+        F.when(F.coalesce(link, F.lit("")) == "", "").when(F.regexp_like(link, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:")), link).when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link))
+        .when(F.startswith(link, F.lit("/")), F.concat(origin, _resolved(own, F.lit(False)), tail)).when(F.startswith(link, F.lit("?")), F.concat(page, link))
+        .when(F.startswith(link, F.lit("#")), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), link)).otherwise(F.concat(origin, _resolved(F.concat(folder, own), F.lit(True)), tail))
     )
 
 

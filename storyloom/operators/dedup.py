@@ -35,10 +35,10 @@ def paragraph(articles: DataFrame, length: int = 500, least: int = 200) -> DataF
 
 
 def by_url(pages: DataFrame) -> DataFrame:
-    """Pages of one host and path; a bare host never matches."""
-    canonical = tx.canonical_url(F.col("url"))
-    key = F.regexp_replace(F.regexp_replace(F.substring_index(canonical, "?", 1), "^[a-z]+://", ""), r"^www\.", "")
-    return first_by(pages, F.when(F.contains(key, F.lit("/")), key))
+    """Pages of one host (without www.) and path, in any case and without closing slashes; a bare host never matches."""
+    parts = tx.url_parts(F.col("url"))
+    path = F.lower(F.regexp_replace(parts["path"], "/+$", ""))
+    return first_by(pages, F.when(path != "", F.concat(F.replace(parts["host"], F.lit("www.")), F.lit(" "), path)))
 
 
 def cascade(stages: list[DataFrame], numbers: list[int] | None = None) -> DataFrame:

@@ -64,7 +64,7 @@ def raw_hash(spark, sf):
 
 @register("nrm7_absolute_links", """WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a[^>]+href="([^"]*)"', 1)) AS link FROM pages),
 b AS (SELECT *, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS origin, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)?', 1) AS path FROM l)
-SELECT page_id, link, CASE WHEN link = '' THEN url WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN link WHEN starts_with(link, '//') THEN split_part(url, ':', 1) || ':' || link
+SELECT page_id, link, CASE WHEN link = '' THEN '' WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN link WHEN starts_with(link, '//') THEN split_part(url, ':', 1) || ':' || link
   WHEN starts_with(link, '/') THEN origin || link WHEN starts_with(link, '?') THEN regexp_extract(url, '^([^?#]*)', 1) || link WHEN starts_with(link, '#') THEN split_part(url, '#', 1) || link
   ELSE origin || CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '^(.*/)', 1) END || link END AS absolute FROM b""")
 def absolute_links(spark, sf):
@@ -142,7 +142,7 @@ def paragraph_duplicates(spark, sf):
 
 @register(
     "dup3_url",
-    f"""WITH {CANONICAL}, k AS (SELECT page_id, regexp_replace(regexp_replace(string_split(url, '?')[1], '^[a-z]+://', ''), '^www\\.', '') AS key FROM canonical)
+    f"""WITH {CANONICAL}, k AS (SELECT page_id, lower(regexp_replace(replace(regexp_replace(string_split(url, '?')[1], '^[a-z]+://', ''), 'www.', ''), '/+$', '')) AS key FROM canonical)
 SELECT article_id, duplicate_of FROM (SELECT page_id AS article_id, min(page_id) OVER (PARTITION BY key) AS duplicate_of FROM k WHERE contains(key, '/')) WHERE article_id != duplicate_of""",
 )
 def url_duplicates(spark, sf):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import scores
 from storyloom.functions import text as tx
-from storyloom.operators import early_warning, graph
+from storyloom.operators import dedup, early_warning, graph
 
 
 def one(spark, column, **values):
@@ -24,6 +24,13 @@ def one(spark, column, **values):
         ("http://a.com/a//?UTM_Source=1&q=a%20b&flag", "http://a.com/a?q=a+b&flag="),
         ("", ""),
         ("http://a.com/x?b=2&a=1", "http://a.com/x?b=2&a=1"),
+        ("/a/b", "/a/b"),
+        ("mailto:x", "mailto:x"),
+        ("www.h.org/p/?gclid=1", "www.h.org/p"),
+        ("//H.org/p", "//h.org/p"),
+        ("?q=1", "/?q=1"),
+        ("http:/a", "http:///a"),
+        (" http://A.com/p;x=1?q=2", "http://a.com/p;x=1?q=2"),
     ],
 )
 def test_canonical_url(spark, url, want):
@@ -102,11 +109,25 @@ def test_safe_decimal(spark, value, want):
     assert one(spark, scores.safe_decimal(F.col("v").cast("double")), v=value) == want
 
 
-@pytest.mark.parametrize("link, want", [("", "http://h/a/b?x#y"), ("mailto:q", "mailto:q"), ("//o/p", "http://o/p"), ("/r", "http://h/r"), ("?z", "http://h/a/b?z"), ("#f", "http://h/a/b?x#f"), ("c", "http://h/a/c")])
+@pytest.mark.parametrize("link", ["../c", "./c", "a/../b", "/x/../y", "../../../z", ".", "..", "c/./d//e?q=../r", "/../y#./z", "a//b", "/a//b", "c/..", "x/../../y/"])
+def test_absolute_url_follows_dots(spark, link):
+    from urllib.parse import urljoin
+
+    for base in ("http://h/a/b?x#y", "http://h", "http://h/a/b/c/", "http://h/a/../b/c"):
+        assert one(spark, tx.absolute_url(F.col("b"), F.col("l")), b=base, l=link) == urljoin(base, link)
+
+
+@pytest.mark.parametrize("link, want", [("", ""), ("mailto:q", "mailto:q"), ("//o/p", "http://o/p"), ("/r", "http://h/r"), ("?z", "http://h/a/b?z"), ("#f", "http://h/a/b?x#f"), ("c", "http://h/a/c")])
 def test_absolute_url(spark, link, want):
     assert one(spark, tx.absolute_url(F.col("b"), F.col("l")), b="http://h/a/b?x#y", l=link) == want
 
 
+def test_urls_of_one_host_and_path(spark):
+    urls = ["http://www.A.org/P/x/", "https://a.org/p/X?q=1", "/p/x", "mailto:me", "http://a.org/", "http://a.org", "mailto:you", None, "/P/x/"]
+    rows = spark.createDataFrame([(i, 0, u) for i, u in enumerate(urls)], "article_id long, published_at int, url string")
+    assert {(r.article_id, r.duplicate_of) for r in dedup.by_url(rows).collect()} == {(1, 0), (8, 2)}
+
+
 def test_html_and_arabic_key(spark):
     html = "<p>a&amp;b</p><script>x < y</script><!-- no --><b>c</b>"
     assert one(spark, tx.html_to_text(F.col("h")), h=html) == "a&b c"
