@@ -105,3 +105,4 @@ def rows(batches: Iterable[pa.RecordBatch], size: int = 2000, column: int | None
                 cuts.append(at)
         for at, end in zip(cuts, cuts[1:]):
             yield batch.slice(at, end - at)
+        pa.default_memory_pool().release_unused()  # a worker outlives its task; what it doesn't use goes back
