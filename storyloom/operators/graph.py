@@ -8,21 +8,23 @@ from pyspark.sql import functions as F
 from storyloom.sources import tables as tb
 
 
-def relationships(links: DataFrame, as_of: Column, days: int = 90, least: int = 2) -> DataFrame:
-    """(a, b, n, sources, strength, confidence) for entities named together in `least` articles or more.
+def article_pairs(links: DataFrame) -> DataFrame:
+    """(a, b, article_id, s, last): entities a < b of one article, a's sources there and its latest time.
 
-    Pairs are made within an article, whose entities are few and distinct; the counts over articles are
-    pre-aggregated. Strength mixes the count, its age (a half-life of 30 days) and the share of all sources.
+    Pairs are made within an article, whose entities are few and distinct.
     """
-    recent = links.where(F.col("published_at") >= as_of - F.expr(f"INTERVAL {days} DAYS"))
-    own = recent.select("article_id", "entity_id", "source_id", "published_at").distinct()
+    own = links.select("article_id", "entity_id", "source_id", "published_at").distinct()
     other = own.select("article_id", F.col("entity_id").alias("b")).distinct()
     pairs = own.join(other, "article_id").where(F.col("entity_id") < F.col("b")).withColumnRenamed("entity_id", "a")
-    # Distinct articles first: only the sources are then counted as a set.
-    by_article = pairs.groupBy("a", "b", "article_id").agg(F.collect_set("source_id").alias("s"), F.max("published_at").alias("last"))
-    first = by_article.groupBy("a", "b").agg(F.count("*").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_set("s")))).alias("sources"), F.max("last").alias("last"))
-    kept = first.where(F.col("n") >= least)
-    kept = kept.crossJoin(F.broadcast(links.agg(F.count_distinct("source_id").alias("all_sources"))))  # one row
+    return pairs.groupBy("a", "b", "article_id").agg(F.collect_set("source_id").alias("s"), F.max("published_at").alias("last"))
+
+
+def scored(pairs: DataFrame, all_sources: DataFrame, as_of: Column, least: int = 2) -> DataFrame:
+    """(a, b, n, sources, strength, confidence) for pairs (a, b, n, sources, last); all_sources is one row.
+
+    Strength mixes the count, its age (a half-life of 30 days) and the share of all sources.
+    """
+    kept = pairs.where(F.col("n") >= least).crossJoin(F.broadcast(all_sources))  # one row
     diversity = F.least(F.lit(1.0), F.col("sources") / F.greatest(F.col("all_sources"), F.lit(1)))
     age = (F.unix_timestamp(as_of) - F.unix_timestamp("last")) / 86400
     strength = 0.40 * F.least(F.lit(1.0), F.log1p("n") / F.log(F.lit(101.0))) + 0.20 * F.pow(F.lit(2.0), -age / 30) + 0.25 * diversity + 0.15 * (1 - 1 / F.col("n"))
@@ -30,6 +32,17 @@ def relationships(links: DataFrame, as_of: Column, days: int = 90, least: int =
     return kept.select("a", "b", "n", "sources", F.round(strength, 6).alias("strength"), F.round(confidence, 6).alias("confidence"))
 
 
+def relationships(links: DataFrame, as_of: Column, days: int = 90, least: int = 2) -> DataFrame:
+    """(a, b, n, sources, strength, confidence) for entities named together in `least` articles or more.
+
+    The counts over articles are pre-aggregated.
+    """
+    recent = links.where(F.col("published_at") >= as_of - F.expr(f"INTERVAL {days} DAYS"))
+    # Distinct articles first: only the sources are then counted as a set.
+    counted = article_pairs(recent).groupBy("a", "b").agg(F.count("*").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_set("s")))).alias("sources"), F.max("last").alias("last"))
+    return scored(counted, links.agg(F.count_distinct("source_id").alias("all_sources")), as_of, least)
+
+
 def influence(links: DataFrame, edges: DataFrame, as_of: Column, least: int = 2) -> DataFrame:
     """Per entity of `least` articles or more: mentions in 1, 7, 30 and the prior 7 days, degree, sources, score and growth.
 
