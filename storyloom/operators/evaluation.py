@@ -7,13 +7,21 @@ from pyspark.sql import functions as F
 
 
 def language_balance(articles: DataFrame, size: int, floor: int = 10) -> DataFrame:
-    """Articles of each language in its share of `size`, `floor` at least, by a hash; then cut to `size`."""
+    """`size` articles (all, if fewer), those of each language in its share of `size`, `floor` at least, first, by a hash;
+    what is then missing is filled up with the others, by the hash.
+
+    A language's articles are first ranked within parts, so that no task sorts all of them: behind the first `size` of
+    a part none can be among the first `size` of the language.
+    """
     shares = articles.groupBy("language").agg(F.count("*").alias("n"))
     total = shares.agg(F.sum("n").alias("total"))
-    shares = shares.crossJoin(F.broadcast(total)).select("language", F.greatest(F.lit(floor), F.floor(size * F.col("n") / F.col("total"))).alias("places"))
+    shares = shares.crossJoin(F.broadcast(total)).select(F.col("language").alias("of"), F.greatest(F.lit(floor), F.floor(size * F.col("n") / F.col("total"))).alias("places"))
     keyed = articles.select("article_id", "language", F.md5(F.col("article_id").cast("string")).alias("h"))
-    ranked = keyed.withColumn("r", F.row_number().over(Window.partitionBy("language").orderBy("h"))).join(shares, "language")
-    return ranked.where("r <= places").orderBy("r", "language").limit(size).select("article_id", "language")
+    part = Window.partitionBy("language", F.substring("h", 1, 2)).orderBy("h", "article_id")
+    few = keyed.withColumn("r", F.row_number().over(part)).where(F.col("r") <= max(size, floor))
+    ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("language").orderBy("h", "article_id")))
+    joined = ranked.join(shares, F.col("language").eqNullSafe(F.col("of"))).withColumn("more", F.col("r") > F.col("places"))
+    return joined.orderBy("more", F.when(F.col("more"), 0).otherwise(F.col("r")), F.when(F.col("more"), F.col("h")), "language", "article_id").limit(size).select("article_id", "language")
 
 
 def set_metrics(predicted: DataFrame, truth: DataFrame, on: list[str], by: str) -> DataFrame:
@@ -27,6 +35,23 @@ def set_metrics(predicted: DataFrame, truth: DataFrame, on: list[str], by: str)
     return out.select(by, "tp", "fp", "fn", F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"), F.round(f1, 6).alias("f1"))
 
 
+def entity_metrics(predicted: DataFrame, truth: DataFrame, article: str, name: str, kind: str) -> DataFrame:
+    """(kind, tp, fp, fn, precision, recall, f1): names matched within an article, whatever their types.
+
+    What is found or missed counts for the true type, what is wrong for the predicted one. Names are compared in lower
+    case without outer spaces, empty ones don't count; of several types of a name the last in order counts.
+    """
+    def one(rows: DataFrame, as_: str) -> DataFrame:
+        named = rows.select(F.col(article).alias("article"), F.lower(F.trim(F.col(name).cast("string"))).alias("name"), F.lower(F.col(kind).cast("string")).alias(as_))
+        return named.where("name != ''").groupBy("article", "name").agg(F.max(as_).alias(as_))
+
+    both = one(predicted, "p").join(one(truth, "t"), ["article", "name"], "full")
+    out = both.groupBy(F.coalesce("t", "p").alias(kind)).agg(F.count_if(F.col("p").isNotNull() & F.col("t").isNotNull()).alias("tp"), F.count_if(F.col("t").isNull()).alias("fp"), F.count_if(F.col("p").isNull()).alias("fn"))
+    tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))
+    share = lambda whole: F.when(whole > 0, tp / whole).otherwise(0.0)
+    return out.select(kind, "tp", "fp", "fn", F.round(share(tp + fp), 6).alias("precision"), F.round(share(tp + fn), 6).alias("recall"), F.round(F.when(tp > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(0.0), 6).alias("f1"))
+
+
 def cluster_metrics(clusters: DataFrame, truth: str, predicted: str) -> DataFrame:
     """One row over all pairs, by counts of pairs within groups instead of pairs; a null prediction is alone."""
 

@@ -43,6 +43,22 @@ def relationships(links: DataFrame, as_of: Column, days: int = 90, least: int =
     return scored(counted, links.agg(F.count_distinct("source_id").alias("all_sources")), as_of, least)
 
 
+def mention_signals(mentions: DataFrame, as_of: Column) -> DataFrame:
+    """(entity, kind, severity, d1, d7, prior7) for mentions (entity, ts).
+
+    A spike: five mentions in a day and twice the week's daily mean, at least two; high above five times the mean (one
+    at least). Rapid growth: five mentions in the week before, and half as many again in this one.
+    """
+    def back(days: int) -> Column:
+        return F.col("ts") >= as_of - F.expr(f"INTERVAL {days} DAYS")
+
+    counts = mentions.where(back(14) & (F.col("ts") <= as_of)).groupBy("entity").agg(F.count_if(back(1)).alias("d1"), F.count_if(back(7)).alias("d7"), F.count_if(~back(7)).alias("prior7"))
+    mean = F.greatest(F.col("d7") / 7, F.lit(1.0))
+    spike = counts.where((F.col("d1") >= 5) & (F.col("d1") >= 2 * mean)).select("entity", F.lit("mention_spike").alias("kind"), F.when(F.col("d1") > 5 * mean, "high").otherwise("medium").alias("severity"), "d1", "d7", "prior7")
+    growth = counts.where("prior7 >= 5 AND d7 >= 1.5 * prior7").select("entity", F.lit("rapid_growth").alias("kind"), F.lit("medium").alias("severity"), "d1", "d7", "prior7")
+    return spike.unionByName(growth)
+
+
 def influence(links: DataFrame, edges: DataFrame, as_of: Column, least: int = 2) -> DataFrame:
     """Per entity of `least` articles or more: mentions in 1, 7, 30 and the prior 7 days, degree, sources, score and growth.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from storyloom.operators import evolution
 from storyloom.plans.registry import register
 from storyloom.sources import tables as tb
 
@@ -111,3 +112,10 @@ def overview(spark, sf):
     for part in parts[1:]:
         out = out.join(part.withColumn("one", F.lit(1)), "one")
     return out.drop("one")
+
+
+@register("clu17_temporal_track")
+def temporal_track(spark, sf):
+    """The vectors of each label as the descriptions of one event, a minute apart."""
+    rows = tb.read(spark, sf, "embeddings").select(F.col("label").alias("key"), F.timestamp_seconds(F.lit(1704067200) + F.col("vec_id") * 60).alias("ts"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return evolution.track(rows).select(F.col("key").alias("label"), F.col("id").alias("vec_id"), "is_change")

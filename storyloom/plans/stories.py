@@ -102,9 +102,19 @@ def table_counts(spark, sf):
     return out
 
 
-@register("grf12_mention_spikes", f"WITH {en.INFLUENCE} SELECT entity_id, d7, prior7 FROM influence WHERE prior7 >= 1 AND d7 >= 1.5 * prior7")
+@register(
+    "grf12_mention_spikes",
+    f"""WITH b AS (SELECT p_brand AS entity, l_shipdate::TIMESTAMP AS ts FROM lineitem JOIN part ON l_partkey = p_partkey),
+c AS (SELECT entity, count(*) FILTER (ts >= {en.T} - INTERVAL 1 DAY) AS d1, count(*) FILTER (ts >= {en.T} - INTERVAL 7 DAY) AS d7, count(*) FILTER (ts < {en.T} - INTERVAL 7 DAY) AS prior7
+  FROM b WHERE ts >= {en.T} - INTERVAL 14 DAY AND ts <= {en.T} GROUP BY 1)
+SELECT entity, 'mention_spike' AS kind, CASE WHEN d1 > 5 * greatest(d7 / 7, 1) THEN 'high' ELSE 'medium' END AS severity, d1, d7, prior7 FROM c WHERE d1 >= 5 AND d1 >= 2 * greatest(d7 / 7, 1)
+UNION ALL SELECT entity, 'rapid_growth', 'medium', d1, d7, prior7 FROM c WHERE prior7 >= 5 AND d7 >= 1.5 * prior7""",
+)
 def mention_spikes(spark, sf):
-    return en._influence(spark, sf).where("prior7 >= 1 AND d7 >= 1.5 * prior7").select("entity_id", "d7", "prior7")
+    """Brands as entities: parts are named too seldom for a week of five mentions."""
+    brands = tb.read(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("entity"))
+    rows = tb.article_entities(spark, sf).join(brands, F.col("entity_id") == F.col("p_partkey")).select("entity", F.col("published_at").alias("ts"))
+    return graph.mention_signals(rows, F.lit(en.AS_OF).cast("timestamp"))
 
 
 @register("grf20_strength_stats", f"WITH {en.EDGES} SELECT CASE WHEN strength >= 0.7 THEN 'strong' WHEN strength >= 0.45 THEN 'moderate' ELSE 'weak' END AS level, count(*) AS edges, round(avg(strength), 6) AS mean, max(n) AS most FROM edges GROUP BY 1")
