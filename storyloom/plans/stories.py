@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import scores
-from storyloom.operators import dedup, graph, quality, stories, topics
+from storyloom.operators import dedup, events, graph, quality, stories, topics
 from storyloom.plans import entities as en
 from storyloom.plans.articles import RULES
 from storyloom.plans.registry import register
@@ -205,3 +205,23 @@ def accuracy_history(spark, sf):
     good, half = ((F.col("quality") == 1) & (F.col("toxic") == v) for v in (0, 1))
     rows = tb.read(spark, sf, "labels").groupBy(F.date_trunc("hour", ts).alias("hour"))
     return rows.agg(F.count("*").alias("n"), F.round((F.sum(good.cast("int")) + 0.5 * F.sum(half.cast("int"))) / F.count("*"), 4).alias("accuracy"))
+
+
+def _told(spark, sf):
+    """Reports of 90 or more as stories: type, country (of some only its first word) and a title of both and a word more."""
+    rows = tb.reports(spark, sf).where("value >= 90")
+    place = F.when(F.col("report_id") % 5 == 0, F.substring_index("country", " ", 1)).when(F.col("report_id") % 7 == 0, None).otherwise(F.col("country"))
+    kind = F.when(F.col("subject") != "view", F.col("subject"))
+    title = F.concat_ws(" ", "subject", "country", F.concat(F.lit("w"), F.col("source_id") % 11), F.concat(F.lit("v"), F.col("report_id") % 13))
+    return rows.select(F.col("report_id").alias("story"), title.alias("title"), kind.alias("type"), place.alias("place"), F.col("ts").alias("first_ts"), F.col("ts").alias("last_ts"), (F.col("value") / 100).alias("importance"))
+
+
+@register("clu7_event_resolution")
+def event_resolution(spark, sf):
+    return events.resolve(_told(spark, sf))
+
+
+@register("clu8_events")
+def event_table(spark, sf):
+    rows = _told(spark, sf)
+    return events.refresh(rows, events.resolve(rows))
