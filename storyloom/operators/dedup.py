@@ -154,29 +154,75 @@ def shingle_hashes(texts: DataFrame, size: int) -> DataFrame:
     return texts.select(F.col("id").cast("long"), "body").mapInArrow(run, "id bigint, grams array<bigint>")
 
 
+def _size_classes(most: int, threshold: float) -> np.ndarray:
+    """Where classes of set sizes begin: two sets that are alike enough are of one class or of neighbouring ones."""
+    begins = [1]
+    while begins[-1] <= most:
+        begins.append(int(begins[-1] / threshold + 1e-9) + 1)
+    return np.array([*begins, int(begins[-1] / threshold + 1e-9) + 1, 1 << 62])
+
+
+def set_signatures(sets: DataFrame, threshold: float, most: int) -> DataFrame:
+    """(id, pair, key, need) for sets (id, grams) of at most `most` elements: sets with a Jaccard similarity of at least
+    the threshold have, for one pair of size classes, as many keys in common as either needs.
+
+    Such sets differ in at most d elements, where d follows from the largest sizes of their classes. Elements are dealt
+    over half as many buckets again by a hash, and d buckets at most differ: of the buckets in which a set has anything,
+    all but d are the same in the other. A bucket's key is the hash of its elements; empty buckets say nothing and
+    have none. A set with no more than d others could miss a partner that has as few, so all such sets share a key.
+    """
+    begins = _size_classes(most, threshold)
+    share = (1 - threshold) / (1 + threshold)
+
+    def keys(grams: np.ndarray, pair: int, d: int) -> tuple[np.ndarray, int]:
+        buckets = d + d // 2 + 1
+        mixed = (grams.view(np.uint64) ^ np.uint64(pair)) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+        place = (mixed % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        there, first = np.unique(place[order], return_index=True)
+        sums = np.add.reduceat(mixed[order] * np.uint64(0x9E3779B97F4A7C15), first)  # in any order
+        own = (sums ^ (sums >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + there.astype(np.uint64) * np.uint64(0x94D049BB133111EB) + np.uint64(pair)
+        return (own, len(there) - d) if len(there) > d else (np.append(own, np.uint64(pair)), 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [[], [], [], []]
+            for i, number in enumerate(batch.column(0).to_pylist()):
+                grams = batch.column(1)[i].values.to_numpy()
+                at = int(np.searchsorted(begins, len(grams), "right")) - 1
+                tops = begins[1:] - 1  # the largest size of each class
+                pairs = [(2 * at, tops[at], tops[at]), (2 * at + 1, tops[at], tops[at + 1])] + ([(2 * at - 1, tops[at - 1], tops[at])] if at else [])
+                for pair, x, y in pairs:
+                    own, need = keys(grams, pair, int(share * (min(x, most) + min(y, most)) + 1e-9))
+                    for column, values in zip(columns, (np.full(len(own), number), np.full(len(own), pair, np.int32), own.view(np.int64), np.full(len(own), need, np.int32))):
+                        column.append(values)
+                if i % 200 == 199 or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["id", "pair", "key", "need"])
+                    columns = [[], [], [], []]
+
+    return sets.select("id", "grams").mapInArrow(run, "id long, pair int, key long, need int")
+
+
 def shingle_pairs(articles: DataFrame, size: int = 5, threshold: float = 0.75, least: int = 300, prefix: int = 2000) -> DataFrame:
     """(a, b, similarity) for different texts whose character shingles have this Jaccard similarity or more.
 
-    Equal texts are one row before the join. Shingles are ordered by how many texts have them; two texts meet
-    at their first common shingle only if behind it both have as many as they need in common, and shorter
-    texts are not met at all. Shingles of one text only take up places and meet nothing. What meets is
+    Equal texts are one row before the join. Two texts meet if enough of their signatures are the same, and are then
     verified on the whole sets. The reference's prefix of each text is the feature, not a cap.
     """
     texts = _bodies(articles, size, least, prefix).groupBy("body").agg(F.min("article_id").alias("id"))
     sets = tb.written(shingle_hashes(texts, size))
-    spread = sets.select("id", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
-    counts = spread.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    ordered = spread.join(counts, "gram").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g"))
-    lone = F.col("size") - F.size("g")
-    places = F.col("size") - F.ceil(threshold * F.col("size")).cast("int") + 1 - lone
-    heads = ordered.where(places > 0).select("id", "size", lone.alias("lone"), F.posexplode(F.slice("g.gram", F.lit(1), places)).alias("at", "gram"))
-    heads = tb.written(heads.select("id", "size", "gram", (F.col("size") - F.col("lone") - F.col("at")).alias("rest")))
-    left, right = (heads.select("gram", *[F.col(c).alias(f"{c}_{n}") for c in ("id", "size", "rest")]) for n in "ab")
-    needed = F.ceil(threshold / (1 + threshold) * (F.col("size_a") + F.col("size_b")) - 1e-9)
-    able = (F.col("id_a") < F.col("id_b")) & (F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b")) & (F.least("rest_a", "rest_b") >= needed)
-    pairs = left.join(right, "gram").where(able).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    keys = tb.written(set_signatures(sets, threshold, prefix))
+    both = ["pair", "key"]
+    shared = keys.join(keys.groupBy(*both).agg(F.count("*").alias("n")).where("n > 1").select(*both), both, "left_semi")
+    left, right = (shared.select(*both, F.col("id").alias(n), F.col("need").alias(f"need_{n}")) for n in "ab")
+    met = left.join(right, both).where("a < b").groupBy("a", "b", "pair").agg(F.count("*").alias("n"), F.max(F.greatest("need_a", "need_b")).alias("need"))
+    pairs = met.where("n >= need").select("a", "b").distinct()
     left, right = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
-    near = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("common"), (F.size("ga") + F.size("gb")).alias("both"))
+    able = F.least(F.size("ga"), F.size("gb")) >= threshold * F.greatest(F.size("ga"), F.size("gb"))
+    near = pairs.join(left, "a").join(right, "b").where(able).select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("common"), (F.size("ga") + F.size("gb")).alias("both"))
     return near.where(F.col("common") >= threshold * (F.col("both") - F.col("common"))).select("a", "b", (F.col("common") / (F.col("both") - F.col("common"))).alias("similarity"))
 
 

@@ -84,3 +84,31 @@ def test_cascade_has_the_shingle_stage(spark, monkeypatch):
     got = {r.article_id: (r.duplicate_of, r.stage) for r in plans.cascade_shingles(spark, "").collect()}
     assert got == {5: (2, 1), 3: (2, 2), 4: (2, 2), 1: (2, 3)}
     assert 1 not in {r.article_id for r in plans.cascade(spark, "").collect()}
+
+
+def test_alike_sets_share_a_signature(spark):
+    """Sets of every size, changed as far as the similarity allows: one that is at least 0.75 alike has a common key."""
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    sets, alike = [], []
+    for size in [*range(1, 40), 55, 90, 200, 431, 700, 1200, 1999]:
+        base = draw.integers(-(1 << 62), 1 << 62, 2 * size)
+        sets.append(set(base[:size].tolist()))
+        for _ in range(3):
+            gone, new = draw.integers(0, size // 4 + 1), draw.integers(0, size // 3 + 1)
+            other = set(base[gone:size].tolist()) | set(base[size : size + new].tolist())
+            if other and len(other) <= 2000 and len(sets[-1 - 0] & other) >= 0.75 * len(sets[-1 - 0] | other):
+                alike.append((len(sets) - 1, sets[-1], other))
+    rows = [(i, sorted(s)) for i, s in enumerate(sets)] + [(1000 + i, sorted(o)) for i, (_, _, o) in enumerate(alike)]
+    keys, need = {}, {}
+    for r in dedup.set_signatures(spark.createDataFrame(rows, "id long, grams array<long>"), 0.75, 2000).collect():
+        keys.setdefault((r.id, r.pair), set()).add(r.key)
+        need[r.id, r.pair] = r.need
+
+    def meet(a, b):
+        shared = [p for i, p in keys if i == a and (b, p) in keys]
+        return any(len(keys[a, p] & keys[b, p]) >= max(need[a, p], need[b, p]) for p in shared)
+
+    assert len(alike) > 60 and all(meet(1000 + i, at) for i, (at, _, _) in enumerate(alike))
+    assert sum(meet(a, b) for a in range(len(sets)) for b in range(a)) < 20
