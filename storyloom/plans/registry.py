@@ -28,7 +28,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Modules register their queries when they are first imported."""
-    from storyloom.plans import articles, entities, explore, incremental, learning, rules, signals, state, stories  # noqa: F401
+    from storyloom.plans import articles, entities, explore, incremental, learning, names, rules, signals, state, stories  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
