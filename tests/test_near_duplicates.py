@@ -121,3 +121,23 @@ def test_cascade_takes_the_first_stage(spark, sf):
 def test_no_articles(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert dedup.titles(none).count() == 0 and dedup.near(none).count() == 0
+
+
+def test_stretches_meet_once(spark):
+    """Rows of many parts meet in one group if they are near enough in time, and none is compared with all."""
+    draw = random.Random(1)
+    rows = [(i, draw.randrange(40 * 3600) * 1_000_000) for i in range(400)]
+    dealt = ordering.stretches(spark.createDataFrame(rows, "id long, at long"), 3600 * 4, most=30)
+    groups = {}
+    for r in dealt.collect():
+        groups.setdefault((r.stretch, r.i, r.j), []).append(r)
+    met = Counter((x.id, y.id) for g in groups.values() for x in g if x.asks for y in g if y.posts)
+    near = {(x, y) for x, at in rows for y, before in rows if 0 <= at - before <= 4 * 3600 * 1_000_000}
+    assert near <= set(met) and set(met.values()) == {1} and max(map(len, groups.values())) < 120
+    assert max(map(len, groups.values())) < len(rows) / 3
+
+
+def test_titles_without_a_row_for_each_pair(spark):
+    """The plan has no join of titles with each other: its rows are the articles, not their pairs."""
+    plan = dedup.titles(spark.createDataFrame(made(), SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "FlatMapGroupsInArrow" in plan
