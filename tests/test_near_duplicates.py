@@ -6,6 +6,8 @@ from collections import Counter
 from datetime import datetime, timedelta
 from difflib import SequenceMatcher
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from storyloom.operators import dedup, ordering, textsim
@@ -137,6 +139,19 @@ def test_stretches_meet_once(spark):
     assert max(map(len, groups.values())) < len(rows) / 3
 
 
+def test_bounds_lose_nothing():
+    titles = sorted({t for _, t, *_ in made(6) if t})
+    held = textsim.Ratios(titles, 0.65)
+    able = held.able(np.arange(len(titles)), slice(0, len(titles)))
+    assert all(able[x, y] for x in range(len(titles)) for y in range(len(titles)) if held(x, y) >= 0.65) and not able.all()
+    draw = np.random.default_rng(2)
+    terms = [np.unique(draw.integers(-50, 50, 30)) for _ in range(40)]
+    weights = [(w := draw.random(len(t))) / np.sqrt(w @ w) for t in terms]
+    cosines = textsim.Cosines(pa.chunked_array([pa.array(terms, pa.list_(pa.int64()))]), pa.chunked_array([pa.array(weights, pa.list_(pa.float64()))]), buckets=16)
+    able = cosines.able(np.arange(40), slice(5, 40), 0.4)
+    assert all(able[x, y - 5] for x in range(40) for y in range(5, 40) if cosines(x, y) >= 0.4)
+
+
 def test_titles_without_a_row_for_each_pair(spark):
     """The plan has no join of titles with each other: its rows are the articles, not their pairs."""
     plan = dedup.titles(spark.createDataFrame(made(), SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
