@@ -156,3 +156,25 @@ def test_titles_without_a_row_for_each_pair(spark):
     """The plan has no join of titles with each other: its rows are the articles, not their pairs."""
     plan = dedup.titles(spark.createDataFrame(made(), SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and "FlatMapGroupsInArrow" in plan
+
+
+def test_terms_are_counted_by_parts(spark):
+    """A part's terms stand once in its first row, whatever texts have them; rows hold small places."""
+    words = [[7, 7, 9], [9], None, []] + [[9, i % 3] for i in range(2 * textsim.PART)]
+    made = list(textsim._counts([pa.RecordBatch.from_arrays([pa.array(range(len(words)), pa.int64()), pa.array(words, pa.list_(pa.int64()))], names=["id", "words"])]))
+    assert [b.num_rows for b in made] == [textsim.PART, textsim.PART, 4]
+    for batch in made:
+        first, *others = batch.to_pylist()
+        assert not any(r["terms"] or r["texts"] for r in others)
+        for row in (first, *others):
+            given = words[row["id"]] or []
+            assert {first["terms"][p]: n for p, n in zip(row["places"], row["counts"])} == Counter(given) and row["part"] == first["id"]
+        assert dict(zip(first["terms"], first["texts"])) == Counter(w for r in batch.to_pylist() for w in set(words[r["id"]] or []))
+    texts = [(i, " ".join(f"w{j}" for j in range(i % 7)) + (" w1" if i % 2 else "")) for i in range(50)]
+    got = {r.id: r.weights for r in textsim.term_vectors(spark.createDataFrame(texts, "id long, body string").repartition(3)).collect()}
+    df = Counter(w for _, t in texts for w in set(t.split()))
+    for i, t in texts:
+        own = [n * math.log((1 + len(texts)) / (1 + df[w])) for w, n in Counter(t.split()).items()]
+        assert (i in got) == bool(own)
+        if own:
+            assert sorted(got[i]) == pytest.approx(sorted(x / math.sqrt(sum(y * y for y in own)) for x in own), abs=1e-12)
