@@ -75,7 +75,7 @@ def resolve(stories: DataFrame) -> DataFrame:
     empty; stories without a time are left out (a missing last_ts is the first).
 
     A story can only join an event whose founder has the same type and a like place, or a like title and the same type
-    or place. These links make blocks; a block is sorted and read as a stream, and only its open events are held.
+    or place. Links between all that may be so make blocks, which may be larger than needed; a block is sorted and read as a stream, and only its open events are held.
     """
     given = stories.where("first_ts IS NOT NULL").select(
         "story", tx.normalized(F.col("title"), lowercase=True).alias("body"), F.coalesce("type", F.lit(UNKNOWN)).alias("type"), F.lower(F.coalesce("place", F.lit(""))).alias("place"),
@@ -91,21 +91,21 @@ def resolve(stories: DataFrame) -> DataFrame:
     like = a.where((F.col("type") != UNKNOWN) & (F.col("place_a") != "")).join(b, "type").where((F.col("a") != F.col("b")) & F.contains("place_b", F.col("place_a"))).select("a", "b")
     same = grouped.where("story != group AND ((type != 'unknown' AND place != '') )").select(F.col("story").alias("a"), F.col("group").alias("b"))
     near = (LEAST - TYPE) / TITLE
-    first = tb.written(textsim.heads(vectors, near))
-    met = first.select("term", F.col("id").alias("a")).join(first.select("term", F.col("id").alias("b")), "term").where("a < b").select("a", "b").distinct()
-    alike = textsim.cosine_pairs(met, vectors, near).select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(vectors.select(F.col("id").alias("x"), F.col("id").alias("y")))
     owners = tb.written(grouped.join(titles, "body").select("story", "type", "place", F.col("id").alias("titled")))
-    # Of each title only the smallest story of each type, and of each place: the others are linked to it.
+    # Alike titles have one of their rarest terms in common (textsim.heads). So of each such term, and of each title, the
+    # stories of one type, or of one place, are linked to the smallest: no pairs of titles are made.
+    spread = textsim.heads(vectors, near).select(F.col("id").alias("titled"), "term").unionByName(owners.select("titled", F.xxhash64(F.lit("title"), "titled").alias("term")).distinct())
+    termed = tb.written(owners.join(spread, "titled").select("story", "type", "place", "term"))
     reps = {}
     for by in ("type", "place"):
-        smallest = owners.where(F.col(by) != (UNKNOWN if by == "type" else "")).groupBy("titled", by).agg(F.min("story").alias("rep"))
-        own = owners.join(smallest, ["titled", by]).where("story != rep").select(F.col("story").alias("a"), F.col("rep").alias("b"))
-        x, y = smallest.toDF("x", by, "a"), smallest.toDF("y", by, "b")
-        reps[by] = own.unionByName(alike.where("x < y").join(x, "x").join(y, ["y", by]).select("a", "b"))
+        smallest = termed.where(F.col(by) != (UNKNOWN if by == "type" else "")).groupBy("term", by).agg(F.min("story").alias("b"))
+        reps[by] = termed.join(smallest, ["term", by]).where("story != b").select(F.col("story").alias("a"), "b").distinct()
     # A very like title makes a place within another do, whatever the types.
-    places = owners.where("place != ''").groupBy("titled", "place").agg(F.min("story").alias("rep"))
-    x, y = places.toDF("x", "place_x", "a"), places.toDF("y", "place_y", "b")
-    parts = alike.join(x, "x").join(y, "y").where((F.col("a") != F.col("b")) & (F.contains("place_x", F.col("place_y")) | F.contains("place_y", F.col("place_x")))).select("a", "b")
+    places = tb.written(termed.where("place != ''").groupBy("term", "place").agg(F.min("story").alias("rep")))
+    names = places.select("place").distinct()
+    inside = names.toDF("place_x").join(names.toDF("place_y"), F.contains("place_y", "place_x") & (F.col("place_x") != F.col("place_y")))
+    x, y = places.toDF("term", "place_x", "a"), places.toDF("term", "place_y", "b")
+    parts = x.join(inside, "place_x").join(y, ["term", "place_y"]).select("a", "b")
     links = same.unionByName(like).unionByName(reps["type"]).unionByName(reps["place"]).unionByName(parts)
     blocks = ordering.components(links).toDF("story", "block")
 

@@ -82,3 +82,11 @@ def test_query_and_none(spark, sf):
     got = {r.story: r.event for r in plans.event_resolution(spark, sf).collect()}
     assert got == plain([tuple(r) for r in told])
     assert events.resolve(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_common_words_make_no_pairs_of_titles(spark, monkeypatch):
+    """Many titles that share words are linked by stars, not pair by pair."""
+    monkeypatch.setattr(events.textsim, "cosine_pairs", None)
+    rows = made(3, 120)
+    got = {r.story: r.event for r in events.resolve(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == plain(rows)
