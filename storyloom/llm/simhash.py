@@ -166,18 +166,23 @@ def _sized(met: DataFrame, key: list[str]) -> DataFrame:
     return met.withColumn("n", F.count("*").over(Window.partitionBy(*key))).where("n > 1")
 
 
+def _forests(crowded: DataFrame, by: list[str], most: int) -> DataFrame:
+    """(key, u, v): a spanning forest of the links of each group of rows (key, fp); a group is what a task holds."""
+
+    def run(group: pa.Table) -> pa.Table:
+        u, v = _forest(np.sort(group["fp"].to_numpy().view(np.uint64)), most).view(np.int64).T
+        own = pa.array(np.repeat(group["key"].to_numpy()[:1], len(u)))
+        return pa.table([own, pa.array(np.ascontiguousarray(u)), pa.array(np.ascontiguousarray(v))], names=["key", "u", "v"])
+
+    return crowded.groupBy(*by).applyInArrow(run, "key bigint, u bigint, v bigint")
+
+
 def _tiled(crowded: DataFrame, key: list[str], most: int) -> DataFrame:
     """(key, u, v): spanning forests of the links of each key, by tiles of two of its buckets each."""
     dealt = crowded.withColumn("sides", F.ceil(F.col("n") / TILE).cast("int")).withColumn("side", F.expr("cast(pmod(xxhash64(fp), sides) AS int)"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, sides - 1)")))
     tiles = dealt.select("fp", *key, F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
-
-    def run(tile: pa.Table) -> pa.Table:
-        u, v = _forest(np.sort(tile["fp"].to_numpy().view(np.uint64)), most).view(np.int64).T
-        own = pa.array(np.repeat(tile["key"].to_numpy()[:1], len(u)))
-        return pa.table([own, pa.array(np.ascontiguousarray(u)), pa.array(np.ascontiguousarray(v))], names=["key", "u", "v"])
-
-    return tiles.groupBy(*key, "low", "high").applyInArrow(run, "key bigint, u bigint, v bigint")
+    return _forests(tiles, [*key, "low", "high"], most)
 
 
 def links(fps: DataFrame, most: int = 3) -> DataFrame:
@@ -202,7 +207,7 @@ def links(fps: DataFrame, most: int = 3) -> DataFrame:
     )
     met = cut(_sized(variants, ["rest", "key"]).select("key", "fp", "n"))
     found = _near(met.where(f"n <= {RUN}"), ["key"], most)
-    found = found.unionByName(_tiled(met.where(f"n > {RUN} AND n <= {TILE}"), ["key"], most))
+    found = found.unionByName(_forests(met.where(f"n > {RUN} AND n <= {TILE}").select("key", "fp"), ["key"], most))
     crowded = met.where(f"n > {TILE}")
     kind = F.expr("cast(shiftrightunsigned(key, 38) AS int)").alias("view")
     if crowded.isEmpty():
@@ -215,7 +220,9 @@ def links(fps: DataFrame, most: int = 3) -> DataFrame:
     pieces = pieces.select("key", "fp", "piece", F.expr(f"shiftrightunsigned(others, {size} * piece) & {(1 << size) - 1}L").alias("part"))
     key = ["key", "piece", "part"]
     closer = cut(_sized(pieces, key))
-    found = found.unionByName(_near(closer.where(f"n <= {RUN}"), key, most)).unionByName(_tiled(closer.where(f"n > {RUN}"), key, most))
+    found = found.unionByName(_near(closer.where(f"n <= {RUN}"), key, most))
+    found = found.unionByName(_forests(closer.where(f"n > {RUN} AND n <= {TILE}").select("fp", *key), key, most))
+    found = found.unionByName(_tiled(closer.where(f"n > {TILE}"), key, most))
     return found.select(kind, "u", "v").distinct()
 
 

@@ -294,6 +294,15 @@ def test_a_crowded_key_keeps_components(spark):
     assert len(roots) == 1 and nodes == len(fps) - 1 and links.count() < len(fps) ** 2 / 8
 
 
+def test_keys_that_a_task_holds_are_not_dealt_into_tiles(spark):
+    """Each of their rows used to pass a generator of its tiles, of which there was one."""
+    base = 0x1234567890ABCDEF
+    fps = [base ^ (1 << a) ^ (1 << b) for a in range(32, 44) for b in range(32, a)]
+    links = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"))
+    assert "Generate" not in links._jdf.queryExecution().optimizedPlan().toString() and "FlatMapGroupsInArrow" in links._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.root for r in components.components(links).collect()} == {min(fps)}
+
+
 def test_tiles_keep_components(spark, monkeypatch):
     monkeypatch.setattr(simhash, "RUN", 4)
     monkeypatch.setattr(simhash, "TILE", 16)
