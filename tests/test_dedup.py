@@ -112,3 +112,34 @@ def test_alike_sets_share_a_signature(spark):
 
     assert len(alike) > 60 and all(meet(1000 + i, at) for i, (at, _, _) in enumerate(alike))
     assert sum(meet(a, b) for a in range(len(sets)) for b in range(a)) < 20
+
+
+def test_meetings_are_all_shared_keys():
+    import numpy as np
+
+    from storyloom.operators import similarity
+
+    draw = np.random.default_rng(5)
+    rows = np.unique(draw.integers(0, [40, 60], (900, 2)), axis=0)
+    rows = np.concatenate([rows[rows[:, 0] != 7], [[7, k] for k in range(60)]])
+    held = {o: set(rows[rows[:, 0] == o, 1].tolist()) for o in range(40)}
+    want = {(x, y): len(held[x] & held[y]) for y in held for x in range(y) if held[x] & held[y]}
+    for most in (1, 100, 1 << 22):
+        blocks = list(similarity.meetings(rows[:, 0], rows[:, 1], most))
+        got = [tuple(r) for block in blocks for r in np.stack(block, 1).tolist()]
+        assert len(got) == len(want) and {(x, y): n for x, y, n in got} == want and (len(blocks) == 1) == (most > 100)
+    assert list(similarity.meetings(rows[:0, 0], rows[:0, 1])) == []
+
+
+def test_keys_that_all_texts_have_make_no_pairs(spark):
+    """Texts that share some keys of a part, but fewer than they need, used to be pairs that were shuffled and counted."""
+    import numpy as np
+    import pyarrow as pa
+
+    draw = np.random.default_rng(6)
+    grid = draw.integers(1, 1 << 32, (300, 30), np.uint32)
+    grid[:, :5] = 9
+    grid[8, :20] = grid[3, :20]
+    ids = np.arange(300) * 7 % 301
+    group = pa.table({"id": ids, "need": np.full(300, 8 * dedup.PARTS - 5, np.int32), "keys": [row.tobytes() for row in grid]})
+    assert [tuple(r.values()) for r in dedup._met(group).to_pylist()] == [(min(ids[3], ids[8]), max(ids[3], ids[8]))]
