@@ -53,16 +53,28 @@ def velocity(rows: DataFrame, by: str, as_of: Column) -> DataFrame:
 def bursts(anomalies: DataFrame, least: int = 3, least_types: int = 2, seconds: int = 7200) -> DataFrame:
     """Anchors with `least` anomalies of `least_types` types in the two hours from them on, by day so that windows stay bounded.
 
-    A window that passes midnight is looked at from both days: rows of the day's first hours are given to
-    the day before as well, and only anchors of the own day are returned.
+    Anomalies are counted by second and type first. Each such count begins to be ahead of an anchor `seconds` before it
+    and ends behind itself, and its type is new to anchors behind the one before of that type: both numbers are sums of
+    such steps up to the anchor's second, over no more rows than a day has seconds and types. A window that passes
+    midnight is looked at from both days: the first hours of a day are given to the day before as well, and a day
+    answers for its own seconds.
     """
-    at = F.col("ts").cast("timestamp").cast("long")
-    days = F.array_distinct(F.array(F.to_date("ts"), F.to_date(F.timestamp_seconds(at - seconds))))
-    dealt = anomalies.withColumn("at", at).withColumn("day", F.explode(days))
-    ahead = Window.partitionBy("day").orderBy("at").rangeBetween(0, seconds)
-    out = dealt.withColumn("n", F.count("*").over(ahead)).withColumn("types", F.size(F.collect_set("subject").over(ahead)))
-    out = out.where((F.col("day") == F.to_date("ts")) & (F.col("n") >= least) & (F.col("types") >= least_types))
-    return out.select("report_id", "n", "types", F.round(F.least(F.lit(1.0), F.col("n") / 8 + 0.3), 6).alias("score"))
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    counts = anomalies.where("ts IS NOT NULL").groupBy(at.alias("at"), "subject").agg(F.count("*").alias("c"))
+    own, before = F.floor(F.col("at") / 86400), F.floor((F.col("at") - seconds) / 86400)
+    dealt = counts.select("at", "subject", "c", F.explode(F.sequence(before, own)).alias("day"))
+    last = F.lag("at").over(Window.partitionBy("day", "subject").orderBy("at"))
+    known, ahead = F.col("subject").isNotNull().cast("int"), F.col("at") - seconds
+    step = lambda second, n, types: F.struct(second.alias("second"), n.alias("n"), types.alias("types"))
+    zero = F.lit(0).cast("long")
+    steps = F.array(step(ahead, F.col("c"), F.lit(0)), step(F.greatest(ahead, F.coalesce(last + 1, ahead)), zero, known), step(F.col("at") + 1, -F.col("c"), -known))
+    spread = dealt.select("day", "at", steps.alias("steps")).select("day", F.explode("steps").alias("s"), "at")
+    sums = spread.select("day", "s.*").unionByName(dealt.select("day", F.col("at").alias("second"), zero.alias("n"), F.lit(0).alias("types")))
+    sums = sums.groupBy("day", "second").agg(F.sum("n").alias("n"), F.sum("types").alias("types"))
+    until = Window.partitionBy("day").orderBy("second").rowsBetween(Window.unboundedPreceding, 0)
+    found = sums.select("day", "second", F.sum("n").over(until).alias("n"), F.sum("types").over(until).cast("int").alias("types"))
+    found = found.where((F.floor(F.col("second") / 86400) == F.col("day")) & (F.col("n") >= least) & (F.col("types") >= least_types))
+    return anomalies.select("report_id", at.alias("second")).join(found, "second").select("report_id", "n", "types", F.round(F.least(F.lit(1.0), F.col("n") / 8 + 0.3), 6).alias("score"))
 
 
 def geo_radar(located: DataFrame, as_of: Column, hours: int = 48, grid: float = 0.5, least: int = 3) -> DataFrame:

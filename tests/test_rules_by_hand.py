@@ -73,3 +73,23 @@ def test_mention_signals(spark):
     rows = made("spike", 5, 5, 0) + made("high", 6, 6, 0) + made("few", 4, 4, 0) + made("flat", 5, 21, 0) + made("grows", 0, 8, 5) + made("small", 0, 8, 4) + made("slow", 0, 7, 5)
     got = {(r.entity, r.kind, r.severity) for r in graph.mention_signals(spark.createDataFrame(rows, "entity string, ts timestamp"), F.lit(now)).collect()}
     assert got == {("spike", "mention_spike", "medium"), ("high", "mention_spike", "high"), ("grows", "rapid_growth", "medium")}
+
+
+def test_bursts_are_sums_of_steps(spark):
+    """Against all pairs, over midnights and ties; each anchor's set of types used to be collected from all rows ahead of it."""
+    import random
+    from datetime import datetime, timedelta
+
+    from storyloom.operators import early_warning as ew
+
+    draw = random.Random(4)
+    rows = [(i, datetime(2024, 1, 1, 20) + timedelta(seconds=draw.choice([0, 600, 7200, 7201]) + 3600 * draw.randrange(12) + draw.randrange(3), microseconds=draw.choice([0, 999999])), draw.choice(["a", "b", "c", None])) for i in range(150)]
+    df = spark.createDataFrame([*rows, (1000, None, "a")], "report_id long, ts timestamp, subject string")
+    out = ew.bursts(df, least=10, least_types=3)
+    want = {}
+    for i, t, _ in rows:
+        ahead = [s for _, u, s in rows if 0 <= (u.replace(microsecond=0) - t.replace(microsecond=0)).total_seconds() <= 7200]
+        if len(ahead) >= 10 and len({*ahead} - {None}) >= 3:
+            want[i] = (len(ahead), len({*ahead} - {None}))
+    assert {r.report_id: (r.n, r.types) for r in out.collect()} == want and 20 < len(want) < 150
+    assert "collect_set" not in out._jdf.queryExecution().optimizedPlan().toString()
