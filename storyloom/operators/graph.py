@@ -11,12 +11,12 @@ from storyloom.sources import tables as tb
 def article_pairs(links: DataFrame) -> DataFrame:
     """(a, b, article_id, s, last): entities a < b of one article, a's sources there and its latest time.
 
-    Pairs are made within an article, whose entities are few and distinct.
+    Pairs are made within an article, whose entities are few and distinct; links are shuffled by article only.
     """
-    own = links.select("article_id", "entity_id", "source_id", "published_at").distinct()
-    other = own.select("article_id", F.col("entity_id").alias("b")).distinct()
-    pairs = own.join(other, "article_id").where(F.col("entity_id") < F.col("b")).withColumnRenamed("entity_id", "a")
-    return pairs.groupBy("a", "b", "article_id").agg(F.collect_set("source_id").alias("s"), F.max("published_at").alias("last"))
+    placed = links.where("article_id IS NOT NULL AND entity_id IS NOT NULL").select("article_id", "entity_id", "source_id", "published_at").repartition("article_id")
+    own = placed.groupBy("article_id", "entity_id").agg(F.collect_set("source_id").alias("s"), F.max("published_at").alias("last"))
+    other = placed.select("article_id", F.col("entity_id").alias("b")).distinct()
+    return own.join(other, "article_id").where(F.col("entity_id") < F.col("b")).select(F.col("entity_id").alias("a"), "b", "article_id", "s", "last")
 
 
 def scored(pairs: DataFrame, all_sources: DataFrame, as_of: Column, least: int = 2) -> DataFrame:
@@ -35,11 +35,13 @@ def scored(pairs: DataFrame, all_sources: DataFrame, as_of: Column, least: int =
 def relationships(links: DataFrame, as_of: Column, days: int = 90, least: int = 2) -> DataFrame:
     """(a, b, n, sources, strength, confidence) for entities named together in `least` articles or more.
 
-    The counts over articles are pre-aggregated.
+    A pair's sources are counted by key, not collected: each article counts in the row of its first source.
     """
     recent = links.where(F.col("published_at") >= as_of - F.expr(f"INTERVAL {days} DAYS"))
-    # Distinct articles first: only the sources are then counted as a set.
-    counted = article_pairs(recent).groupBy("a", "b").agg(F.count("*").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_set("s")))).alias("sources"), F.max("last").alias("last"))
+    rows = article_pairs(recent).select("a", "b", "last", F.posexplode_outer("s").alias("at", "source"))
+    rows = rows.select("a", "b", "source", "last", F.when(F.col("at") > 0, 0).otherwise(1).alias("one"))
+    by_source = tb.dealt(rows, links, "a", "b").groupBy("a", "b", "source").agg(F.sum("one").alias("n"), F.max("last").alias("last"))
+    counted = by_source.groupBy("a", "b").agg(F.sum("n").alias("n"), F.count("source").cast("int").alias("sources"), F.max("last").alias("last"))
     return scored(counted, links.agg(F.count_distinct("source_id").alias("all_sources")), as_of, least)
 
 
@@ -74,7 +76,7 @@ def influence(links: DataFrame, edges: DataFrame, as_of: Column, least: int = 2)
         F.count_distinct("article_id").alias("articles"), F.count_distinct("source_id").alias("sources"), days(1).alias("d1"), days(7).alias("d7"), days(30).alias("d30"), days(14, 7).alias("prior7")
     ).where(F.col("articles") >= least)
     ends = edges.select(F.explode(F.array("a", "b")).alias("entity_id"), "strength").groupBy("entity_id").agg((F.sum(F.round(F.col("strength") * 1_000_000).cast("long")) / 1_000_000).alias("degree"))  # exact, whatever the order
-    out = counts.join(ends, "entity_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0.0)))
+    out = tb.written(counts.join(ends, "entity_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0.0))))
     most = out.agg(F.max("degree").alias("max_degree"), F.max("d7").alias("max_d7")).crossJoin(links.agg(F.count_distinct("source_id").alias("all_sources")))
     out = out.crossJoin(F.broadcast(most))  # one row
     velocity = F.col("d7") / F.greatest("max_d7", F.lit(1))

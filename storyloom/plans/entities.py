@@ -18,7 +18,8 @@ edges AS (SELECT a, b, n, sources, round(0.40 * least(1.0, ln(1 + n) / ln(101.0)
 
 
 def _edges(spark, sf):
-    return graph.relationships(tb.article_entities(spark, sf), F.lit(AS_OF).cast("timestamp"), days=3650)
+    """Written once: most queries use them several times, and pairs of a single article aren't among them."""
+    return tb.written(graph.relationships(tb.article_entities(spark, sf), F.lit(AS_OF).cast("timestamp"), days=3650))
 
 
 @register("grf1_relationships", f"WITH {EDGES} SELECT a, b, n, sources, strength, confidence FROM edges")
@@ -39,8 +40,8 @@ influence AS (SELECT *, round(d7 / greatest(1, max(d7) OVER ()), 4) AS velocity,
   round(0.40 * CASE WHEN max(degree) OVER () > 0 THEN degree / max(degree) OVER () ELSE 0 END + 0.35 * d7 / greatest(1, max(d7) OVER ()) + 0.25 * sources / total, 5) AS influence FROM e)"""
 
 
-def _influence(spark, sf):
-    return graph.influence(tb.article_entities(spark, sf), _edges(spark, sf), F.lit(AS_OF).cast("timestamp"))
+def _influence(spark, sf, edges=None):
+    return graph.influence(tb.article_entities(spark, sf), edges or _edges(spark, sf), F.lit(AS_OF).cast("timestamp"))
 
 
 @register("grf10_influence", f"WITH {INFLUENCE} SELECT entity_id, articles, sources, d1, d7, d30, prior7, degree, velocity, influence, growing FROM influence")

@@ -224,7 +224,7 @@ def cosine(spark, sf):
 SELECT min(hops)::INTEGER AS hops FROM r WHERE node = (SELECT max(b) FROM edges) HAVING min(hops) IS NOT NULL""",
 )
 def shortest_path(spark, sf):
-    edges = tb.written(_edges(spark, sf))
+    edges = _edges(spark, sf)
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
     start, goal = ends.orderBy(F.desc("count"), "node").limit(1).select("node"), edges.agg(F.max("b").alias("node"))
     return graph.shortest_path(edges, start, goal).select("hops")
@@ -236,7 +236,9 @@ def shortest_path(spark, sf):
 SELECT a, b, n, strength FROM edges WHERE strength >= 0.2 AND (a IN (SELECT entity_id FROM t) OR b IN (SELECT entity_id FROM t)) ORDER BY strength DESC, a, b LIMIT 500""",
 )
 def entity_graph(spark, sf):
-    return graph.entity_graph(_edges(spark, sf), _influence(spark, sf)).select("a", "b", "n", "strength")
+    edges = _edges(spark, sf)
+    scored = _influence(spark, sf, edges)
+    return graph.entity_graph(edges, scored).select("a", "b", "n", "strength")
 
 
 # ---------------------------------------------------------------- evaluation and learning

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.operators import graph
+from storyloom.sources import tables as tb
 
 PAIRS = "a long, b long, n long, sources array<long>, last timestamp"
 SIGNALS = "a long, b long, kind string, severity string, n long, before long, created_at timestamp"
@@ -24,7 +25,7 @@ STRONG, NEW, SURGE = 3, 0.35, 2.0
 
 def deltas(links: DataFrame) -> DataFrame:
     """PAIRS of new articles alone: article_id, entity_id, source_id, published_at; an article comes in one batch."""
-    pairs = graph.article_pairs(links).groupBy("a", "b")
+    pairs = tb.dealt(graph.article_pairs(links), links, "a", "b").groupBy("a", "b")
     return pairs.agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_set("s"))).alias("sources"), F.max("last").alias("last"))
 
 

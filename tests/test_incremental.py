@@ -66,3 +66,16 @@ def test_signals_by_hand(spark):
     assert found == {(2, "new_relationship", "medium"), (4, "unusual_pair", "high"), (7, "unusual_pair", "high")}
     sent = spark.createDataFrame([(1, 2, "new_relationship", "medium", 3, 0, at(-24)), (1, 4, "unusual_pair", "high", 3, 1, at(-25)), (1, 7, "new_relationship", "medium", 3, 0, at(-1))], relationships.SIGNALS)
     assert {r.b for r in relationships.signals(pairs, sources, sent, F.lit(at(0))).collect()} == {4, 7}
+
+
+def test_links_are_shuffled_by_article_alone(spark):
+    """Pairs of articles with several sources, by hand; their links used to be dealt by article and entity, then by pair."""
+    NOW = datetime(2024, 5, 1)
+    rows = [(1, 5, 1, NOW), (1, 5, 2, NOW), (1, 6, 3, NOW), (1, 6, None, NOW), (2, 6, 3, NOW), (2, 5, 2, NOW), (2, None, 2, NOW), (3, 5, None, NOW), (3, 6, 4, NOW), (None, 5, 1, NOW)]
+    links = spark.createDataFrame(rows, "article_id long, entity_id long, source_id long, published_at timestamp")
+    pairs = graph.article_pairs(links)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(article_id#") == plan.count("Exchange ") == 2
+    assert {(r.a, r.b, r.article_id): set(r.s) for r in pairs.collect()} == {(5, 6, 1): {1, 2}, (5, 6, 2): {2}, (5, 6, 3): set()}
+    got = [(r.a, r.b, r.n, r.sources) for r in graph.relationships(links, F.lit(NOW)).collect()]
+    assert got == [(5, 6, 3, 2)]
