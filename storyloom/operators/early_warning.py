@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions import scores
+from storyloom.sources import tables as tb
 
 
 def _within(ts: str, as_of: Column, hours: int) -> Column:
@@ -176,7 +177,8 @@ def cross_entity(anomalies: DataFrame, links: DataFrame, least: int = 2, least_a
     able = anomalies.groupBy("entity_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("entity_id")
     own = links.join(able, "entity_id", "left_semi").select("article_id", "entity_id").distinct()
     left, right = own.select("article_id", F.col("entity_id").alias("a")), own.select("article_id", F.col("entity_id").alias("b"))
-    pairs = left.join(right, "article_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("articles")).where(F.col("articles") >= least_articles)
+    met = tb.dealt(left.join(right, "article_id").where("a < b").select("a", "b"), links, "a", "b")
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("articles")).where(F.col("articles") >= least_articles)
     return pairs.withColumn("score", F.round(F.least(F.lit(1.0), F.col("articles") / 20 + 0.3), 6))
 
 

@@ -132,3 +132,32 @@ def test_html_and_arabic_key(spark):
     html = "<p>a&amp;b</p><script>x < y</script><!-- no --><b>c</b>"
     assert one(spark, tx.html_to_text(F.col("h")), h=html) == "a&b c"
     assert one(spark, tx.arabic_key(F.col("t")), t="أمريكـا") == one(spark, tx.arabic_key(F.col("t")), t="امريكا")
+
+
+def test_overlaps_that_cannot_reach_the_least_are_not_shuffled(spark):
+    """Of large sets only candidates leave the task that counts a part; those used to be all pairs with a common member."""
+    import random
+
+    from storyloom.operators import similarity
+
+    draw = random.Random(2)
+    sets = {k: set(draw.sample(range(6000), 300)) for k in range(30)}
+    sets[40] = set(sorted(sets[3])[:200]) | set(range(7000, 7100))
+    sets |= {50: {9001, 9002}, 51: {9002}, 52: {1}}
+    rows = [(k, m) for k, s in sets.items() for m in s] + [(3, None), (None, 1), (50, 9001)]
+    df = spark.createDataFrame(rows, "owner long, member long")
+    got = {(r.a, r.b): (r.common, r.score) for r in similarity.overlap(df, "owner", "member", least=0.3).collect()}
+    want = {(a, b): (len(x & y), round(len(x & y) / len(x | y), 6)) for a, x in sets.items() for b, y in sets.items() if a < b and len(x & y) >= 0.3 * len(x | y)}
+    assert got == want and {(3, 40), (50, 51)} <= want.keys()
+    sized = df.dropna().distinct().join(spark.createDataFrame([(k, len(s)) for k, s in sets.items()], "owner long, size long"), "owner")
+    assert want.keys() <= {(r.a, r.b) for r in similarity._candidates(sized, 0.3).collect()} and similarity._candidates(sized, 0.3).count() < 435 / 2
+
+
+def test_contexts_are_counted_once_for_both_directions(spark):
+    from storyloom.operators import similarity
+
+    df = spark.createDataFrame([(1, 7), (1, 8), (1, 9), (2, 7), (2, 8), (2, 8), (3, 9), (4, 5)], "owner long, member long")
+    out = similarity.context(df, "owner", "member")
+    assert "(a#" in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "RepartitionByExpression [a#" in plan and " < " in plan
+    got = {(r.a, r.b): (r.shared, r.score) for r in out.collect()}
+    assert got == {(1, 2): (2, 0.85), (2, 1): (2, 0.85), (1, 3): (1, 0.733333), (3, 1): (1, 0.85)}
