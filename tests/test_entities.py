@@ -44,6 +44,24 @@ def test_groups_are_those_of_a_loop(spark):
     assert sorted(got, key=str) == plain(rows)
 
 
+def test_short_articles_are_grouped_without_joins(spark, monkeypatch):
+    """Only articles of more than AT_ONCE names go through joins; a missing article's names aren't compared."""
+    draw = random.Random(5)
+    short = [(a, p, " ".join(draw.choices("anna bo chen dee".split(), k=draw.randint(1, 3))), "person", draw.choice(["X", "x", "y"]), 1, None) for a in range(20) for p in range(draw.randint(1, entities.AT_ONCE))]
+    short += [(30, p, f"anna w{p}", "person", None, 2, "s") for p in range(entities.AT_ONCE)]
+    joined, by_joins = [], entities._by_joins
+    monkeypatch.setattr(entities, "_by_joins", lambda rows: joined.append({r.article_id for r in rows.collect()}) or by_joins(rows))
+    got = entities.group_names(spark.createDataFrame(short, SCHEMA)).collect()
+    assert not joined and len(got) < len(short)
+    long = [(40, p, draw.choice(["anna", "bo", f"anna w{p}", f"bo w{p % 7} x"]), "person", f"D{p}", p, "s" * (p % 5)) for p in range(entities.AT_ONCE + 9)]
+    rows = [r for r in short if r[4]] + long
+    got = [(*r[:5], tuple(r.aliases), r.snippet) for r in entities.group_names(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(got, key=str) == plain(rows) and joined == [{40}]
+    for n in (2, entities.AT_ONCE + 1):
+        missing = [(None, p, "anna", "person", "Anna", 1, "") for p in range(n)]
+        assert entities.group_names(spark.createDataFrame(missing, SCHEMA)).count() == n
+
+
 def test_surnames(spark):
     persons = [(1, "Ann Lee", 5), (2, "lee", 10), (3, "Bo Lee", 5), (4, "Chen", 3), (5, "Dee Chen", 1), (6, "Eli", 1), (7, "", 1), (8, None, 1), (9, "Lee", 11)]
     merges = entities.surname_merges(spark.createDataFrame(persons, "entity_id long, name string, articles long"))
