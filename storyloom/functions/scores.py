@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,14 +14,15 @@ BOILERPLATE = [r"subscribe\s+(now|today|here)", r"click\s+here\s+to", r"(buy\s+n
 BOILERPLATE_ARABIC = [r"اشترك\s+(الآن|هنا)", r"انقر\s+هنا", r"(اشتر\s+الآن|عرض\s+محدود|سجل\s+الآن)", r"تابعنا\s+على", r"جميع\s+الحقوق\s+محفوظة"]
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value found once for a row, however often it is used: the optimizer writes an expression out
+    wherever a filter or a projection names it, but not the one element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def half_even(value: Column, places: int = 2) -> Column:
     """Rounded half to even, by whole millionths, so that what a double can't hold makes no difference."""
-    unit = 10 ** (6 - places)
-    whole = F.round(value * 1_000_000).cast("long")
-    low = F.floor(whole / unit)
-    rest = whole - low * unit
-    up = (rest * 2 > unit) | ((rest * 2 == unit) & (low % 2 == 1))
-    return (low + up.cast("int")) / 10**places
+    return F.bround(F.round(value * 1_000_000).cast("long"), places - 6) / 1_000_000
 
 
 def half_even_sql(value: str, places: int = 2) -> str:
@@ -64,15 +67,16 @@ def title_score(title: Column) -> Column:
 
 
 def unique_score(content: Column) -> Column:
-    own = tx.words(content)
-    ratio = F.size(F.array_distinct(own)) / F.size(own)
-    return F.when(F.size(own) < 5, 0.0).when(ratio < 0.2, 0.1).when(ratio < 0.4, 0.5).otherwise(1.0)
+    def score(own: Column) -> Column:
+        return F.when(F.size(own) < 5, 0.0).otherwise(once(F.size(F.array_distinct(own)) / F.size(own), lambda ratio: ladder(ratio, [(0.2, 0.1), (0.4, 0.5)], 1.0)))
+
+    return once(tx.words(content), score)
 
 
 def caps_score(content: Column) -> Column:
-    letters = F.char_length(F.regexp_replace(content, r"[^\p{L}]", ""))
-    capitals = F.char_length(F.regexp_replace(content, r"[^\p{Lu}]", ""))
-    return F.when(letters == 0, 0.5).when(capitals / letters > 0.6, 0.1).otherwise(1.0)
+    capitals = lambda letters: F.char_length(F.regexp_replace(letters, r"[^\p{Lu}]+", ""))
+    score = lambda letters: F.when(letters == "", 0.5).when(capitals(letters) / F.char_length(letters) > 0.6, 0.1).otherwise(1.0)
+    return once(F.regexp_replace(content, r"[^\p{L}]+", ""), score)
 
 
 def boilerplate_score(content: Column, arabic: Column) -> Column:
@@ -80,7 +84,7 @@ def boilerplate_score(content: Column, arabic: Column) -> Column:
         return sum((F.regexp_like(content, F.lit("(?i)" + p)).cast("int") for p in patterns), F.lit(0))
 
     hits = F.when(arabic, found(BOILERPLATE_ARABIC)).otherwise(found(BOILERPLATE))
-    return F.when(hits == 0, 1.0).when(hits == 1, 0.6).otherwise(0.2)
+    return once(hits, lambda n: F.when(n == 0, 1.0).when(n == 1, 0.6).otherwise(0.2))
 
 
 def recency(age_hours: Column) -> Column:

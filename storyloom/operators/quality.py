@@ -19,7 +19,8 @@ def quality(articles: DataFrame, least: float = 0.30, least_length: int = 100) -
     arabic = F.startswith(F.coalesce("language", F.lit("")), F.lit("ar"))
     out = out.withColumn("boilerplate_score", scores.boilerplate_score(content, arabic))
     others = F.col("title_score") + F.col("length_score") + F.col("unique_score") + F.col("boilerplate_score")
-    mean = F.when(arabic, others / 4).otherwise((others + F.col("caps_score")) / 5)
+    # Each score once, since a filter on the quality writes them out.
+    mean = (others + F.when(arabic, 0.0).otherwise(F.col("caps_score"))) / F.when(arabic, 4).otherwise(5)
     out = out.withColumn("quality", scores.half_even(mean))
     return out.withColumn("passed", (F.col("quality") >= least) & (F.char_length(content) >= least_length))
 

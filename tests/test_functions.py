@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import scores
 from storyloom.functions import text as tx
-from storyloom.operators import dedup, early_warning, graph
+from storyloom.operators import dedup, early_warning, graph, quality
 
 
 def one(spark, column, **values):
@@ -109,6 +109,27 @@ def test_safe_decimal(spark, value, want):
     assert one(spark, scores.safe_decimal(F.col("v").cast("double")), v=value) == want
 
 
+def test_half_even_is_that_of_fractions(spark):
+    from decimal import ROUND_HALF_EVEN, Decimal
+
+    values = [k / 8000 - 1.5 for k in range(24000)] + [0.005, 0.015, -0.005, 1e6 + 0.125, None]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", scores.half_even(F.col("v")).alias("x"), scores.half_even(F.col("v"), 4).alias("y")).collect()
+    for r in got:
+        for x, step in ((r.x, "0.01"), (r.y, "0.0001")):
+            assert x == (None if r.v is None else float(Decimal(str(round(r.v, 6))).quantize(Decimal(step), ROUND_HALF_EVEN)))
+
+
+def test_texts_are_scored_and_hashed_once(spark):
+    """A filter on the quality doesn't write its scores out again and again, and a key isn't made for each of its uses."""
+    texts = ["ÀÉ abc", "", None, "a b c d e " * 9, "Subscribe now, click here to", "ÀÉ abc"]
+    rows = spark.createDataFrame([(i, "title", t, "en", i) for i, t in enumerate(texts)], "article_id long, title string, content string, language string, published_at long")
+    plan = quality.quality(rows).where("quality >= 0.9").select("article_id", "quality")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("subscribe") <= 2 and plan.count("p{Lu}") <= 2 and plan.count("array_distinct") <= 2  # in the filter and in what it keeps
+    same = dedup.exact(rows)
+    assert "sha2" not in same._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.article_id, r.duplicate_of) for r in same.collect()} == {(2, 1), (5, 0)}
+
+
 @pytest.mark.parametrize("link", ["../c", "./c", "a/../b", "/x/../y", "../../../z", ".", "..", "c/./d//e?q=../r", "/../y#./z", "a//b", "/a//b", "c/..", "x/../../y/"])
 def test_absolute_url_follows_dots(spark, link):
     from urllib.parse import urljoin
