@@ -13,10 +13,10 @@ from storyloom.plans.registry import register
 from storyloom.plans.signals import T
 from storyloom.sources import tables as tb
 
-def _assigned(spark, sf):
+def _assigned(spark, sf, exact=None):
     """Articles' stories: entities are the parts of the order of an article's number, duplicates those of equal contents or openings."""
     rows = tb.articles(spark, sf)
-    same = dedup.cascade([dedup.exact(rows), dedup.paragraph(rows)], [1, 3])
+    same = dedup.cascade([exact or dedup.exact(rows), dedup.paragraph(rows)], [1, 3])
     named = tb.article_entities(spark, sf).select("article_id", F.col("entity_id").alias("name"))
     return stories.assign(rows, named, same)
 
@@ -40,19 +40,23 @@ lm AS (SELECT article_id, topic, label, kind FROM (SELECT *, CASE target WHEN 't
 lt AS (SELECT article_id, topic, list(DISTINCT label) FILTER (kind != 'exclusion') AS labels FROM lm GROUP BY 1, 2 HAVING count(*) FILTER (kind = 'exclusion') = 0),
 tc AS (SELECT article_id, greatest(count(DISTINCT topic), len(list_distinct(flatten(list(labels))))) AS topics FROM lt GROUP BY 1)"""
 def _importance(spark, sf):
+    """Importance, and the exact duplicates; whole texts are scored once and made into keys once, and both written."""
     rows = tb.articles(spark, sf)
-    scored = quality.quality(rows)
-    return stories.importance(scored, _assigned(spark, sf), quality.source_reliability(scored, dedup.exact(rows)), topics.match_rules(rows, RULES), F.lit("2024-01-20 00:00:00").cast("timestamp"))
+    scored = tb.written(quality.quality(rows).select("article_id", "source", "quality", "published_at"))
+    exact = tb.written(dedup.exact(rows))
+    trust = quality.source_reliability(scored, exact)
+    return stories.importance(scored, _assigned(spark, sf, exact), trust, topics.match_rules(rows, RULES), F.lit("2024-01-20 00:00:00").cast("timestamp")), exact
 
 
 @register("sco7_importance")
 def importance(spark, sf):
-    return _importance(spark, sf).select("article_id", "importance")
+    return _importance(spark, sf)[0].select("article_id", "importance")
 
 
 @register("sco11_story_importance")
 def story_importance(spark, sf):
-    kept = _importance(spark, sf).join(dedup.exact(tb.articles(spark, sf)), "article_id", "left_anti")
+    made, exact = _importance(spark, sf)
+    kept = made.join(exact, "article_id", "left_anti")
     return kept.groupBy("story").agg(F.count("*").alias("articles"), scores.half_even(F.avg("importance")).alias("importance"))
 
 

@@ -114,6 +114,15 @@ def test_components(spark):
     assert {(r.node, r.root) for r in ordering.components(links).collect()} == {(5, 3), (4, 3), (3, 3), (9, 8), (8, 8)}
 
 
+def test_components_of_a_long_chain(spark, monkeypatch):
+    """Links are put together within the ranges of a task first, so a chain takes a few rounds, each of which writes twice."""
+    links = spark.createDataFrame([(k + 1, k) for k in range(5, 3000)] + [(9000, 9001)], "a long, b long")
+    writes, written = [], ordering.tb.written
+    monkeypatch.setattr(ordering.tb, "written", lambda df: writes.append(1) or written(df))
+    assert {(r.node, r.root) for r in ordering.components(links).collect()} == {(k, 5) for k in range(5, 3001)} | {(9000, 9000), (9001, 9000)}
+    assert len(writes) <= 10
+
+
 def test_cascade_takes_the_first_stage(spark, sf):
     got = {r.article_id: (r.duplicate_of, r.stage) for r in plans.cascade_titles(spark, sf).collect()}
     by_stage = Counter(stage for _, stage in got.values())

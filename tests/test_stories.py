@@ -6,9 +6,10 @@ from collections import Counter
 from datetime import datetime, timedelta
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 
-from storyloom.operators import stories
+from storyloom.operators import stories, textsim
 from storyloom.plans import stories as plans
 
 START = datetime(2024, 1, 1)
@@ -152,3 +153,29 @@ def test_whole_texts_are_compared(spark):
     none = spark.createDataFrame([], "article_id long, name string"), spark.createDataFrame([], "article_id long, duplicate_of long")
     got = {r.article_id: r.story for r in stories.assign(spark.createDataFrame(rows, SCHEMA), *none).collect()}
     assert got == plain(rows, {}, {}) == {i: i for i in range(6)}
+
+
+def test_only_open_stories_are_held():
+    """A block's table is as long as its open stories ask for, however many came before; a duplicate opens one again."""
+    draw, held, most = random.Random(4), stories._Open(), 0
+    terms = lambda: sorted(draw.sample(range(-5000, 5000), 6))
+    row = lambda i, title: type("Row", (), {"id": i, "original": i, "title": title, "ts": i * 3600.0, "terms": np.array(terms()), "weights": np.full(6, 6**-0.5), "names": [f"n{i}"]})
+    first = row(0, "the first")
+    held.article(first)
+    for i in range(1, 3000):
+        held.article(row(i, f"title {i}"))
+        most = max(most, len(held.keys))
+    assert len(held.stories) > 2900 and most < 300
+    again = row(3000, "the first")
+    again.terms, again.names = first.terms, ["n0"]
+    assert held.best(again.title, again.ts, again.terms, again.weights, again.names) == (None, 0.0)
+    held.copy(type("Row", (), {"id": 3001, "original": 0, "ts": again.ts}))
+    assert held.best(again.title, again.ts, again.terms, again.weights, again.names)[0] == 0
+
+
+def test_ratio_bound():
+    draw = random.Random(9)
+    for _ in range(400):
+        a, b = ("".join(draw.choices("abcde ", k=draw.randrange(40))) for _ in "ab")
+        assert textsim.ratio(a, b) <= textsim.ratio_bound(a, b) + 1e-12 and textsim.ratio_bound(a, a) == 1.0
+    assert textsim.ratio_bound("abcd", "dcba") == 0.25
