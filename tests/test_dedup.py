@@ -143,3 +143,40 @@ def test_keys_that_all_texts_have_make_no_pairs(spark):
     ids = np.arange(300) * 7 % 301
     group = pa.table({"id": ids, "need": np.full(300, 8 * dedup.PARTS - 5, np.int32), "keys": [row.tobytes() for row in grid]})
     assert [tuple(r.values()) for r in dedup._met(group).to_pylist()] == [(min(ids[3], ids[8]), max(ids[3], ids[8]))]
+
+
+def test_sketches_lose_no_pair_and_let_few_through():
+    """Sets of one vocabulary, some of them changed copies: all pairs alike enough stay, of the others hardly any."""
+    import numpy as np
+
+    draw = np.random.default_rng(8)
+    words = draw.integers(-(1 << 62), 1 << 62, 6000)
+    sets = []
+    for size in [1, 2, 3, 5, 9, 30, 80, 200, 340, 360, 690, 710, 1200, 1700, 1995]:
+        for _ in range(4):
+            base = draw.permutation(words)
+            sets.append(np.sort(base[:size]))
+            gone, new = draw.integers(0, size // 7 + 1), draw.integers(0, size // 6 + 1)
+            sets.append(np.sort(np.concatenate([base[gone:size], base[size : size + new]])))
+    sets.sort(key=len)
+    n = np.array([len(s) for s in sets])
+    bits = np.stack([dedup.sketch(s) for s in sets])
+    differ = lambda i, j: len(np.setxor1d(sets[i], sets[j], assume_unique=True))
+    every = [(i, j) for i in range(len(sets)) for j in range(len(sets))]
+    assert all(np.bitwise_count(bits[i] ^ bits[j]).sum() <= differ(i, j) for i, j in every)
+    alike = {(i, j) for i, j in every if 7 * differ(i, j) <= n[i] + n[j]}
+    for tile in ((64, 4096), (7, 11)):
+        got = [(x, y) for a, b in dedup.near_sketches(n, bits, n, bits, 0.75, tile) for x, y in zip(a.tolist(), b.tolist())]
+        assert len(got) == len(set(got)) and alike <= set(got) and len(set(got) - alike) < 10
+    assert len(alike) > len(sets) + 60
+
+
+def test_pairs_do_not_depend_on_blocks(spark, monkeypatch):
+    """Blocks of a few texts, each held against each other, give what one block gives; no shuffled row is a pair of keys."""
+    draw = random.Random(12)
+    base = [" ".join("".join(draw.choices("abcdefgh", k=5)) for _ in range(70)) for _ in range(30)]
+    rows = [(i, f"{base[i % 30][: 330 + draw.randrange(80)]} {draw.randrange(99)}") for i in range(150)]
+    df = spark.createDataFrame(rows, "article_id long, content string")
+    whole = {tuple(r) for r in dedup.shingle_pairs(df).collect()}
+    monkeypatch.setattr(dedup, "BLOCK", 40)
+    assert len(whole) > 150 and {tuple(r) for r in dedup.shingle_pairs(df).collect()} == whole
