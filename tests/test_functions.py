@@ -182,3 +182,21 @@ def test_contexts_are_counted_once_for_both_directions(spark):
     assert "(a#" in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "RepartitionByExpression [a#" in plan and " < " in plan
     got = {(r.a, r.b): (r.shared, r.score) for r in out.collect()}
     assert got == {(1, 2): (2, 0.85), (2, 1): (2, 0.85), (1, 3): (1, 0.733333), (3, 1): (1, 0.85)}
+
+
+def test_a_part_is_dealt_by_owners_if_it_is_large(spark, monkeypatch):
+    """Candidates are the same however many blocks of owners there are, and each pair is counted in one task."""
+    import random
+
+    from storyloom.operators import similarity
+
+    draw = random.Random(3)
+    sets = {f"o{k}": set(draw.sample(range(400), draw.randrange(1, 60))) for k in range(60)}
+    df = spark.createDataFrame([(k, m) for k, s in sets.items() for m in s], "owner string, member long")
+    sized = df.join(spark.createDataFrame([(k, len(s)) for k, s in sets.items()], "owner string, size long"), "owner")
+    one = {tuple(r) for r in similarity._candidates(sized, 0.15).collect()}
+    monkeypatch.setattr(similarity, "MOST", 15)
+    monkeypatch.setattr(similarity, "PARTS", 32)
+    assert {tuple(r) for r in similarity._candidates(sized, 0.15, df.count()).collect()} == one and len(one) > 50
+    got = {(r.a, r.b): r.common for r in similarity.overlap(df, "owner", "member", least=0.15).collect()}
+    assert got == {(a, b): len(x & y) for a, x in sets.items() for b, y in sets.items() if a < b and len(x & y) >= 0.15 * len(x | y)}
